@@ -76,3 +76,69 @@ def panel_full(spark, d) -> DataFrame:
     """Gold panel: cleaned store/transaction panel left-joined with the
     population table on (month, district, dong) (J6)."""
     return cleaned(spark, d).join(population_table(spark, d), ["month", "district", "dong"], "left")
+
+
+# ---------------------------------------------------------------- features
+from ..operators import features as fe  # noqa: E402
+from ..operators import risk as rk  # noqa: E402
+
+RATIO_COLS = [f"{band}_{str(v).lower()}_ratio" for band, vals in fx.POPULATION_PIVOTS.items()
+              for v in vals]
+LOG_COLS = ["visitors", "residents", "spend_total"]
+PARSE_COLS = ["affiliation_rate", "closure_rate", "visitors", "avg_ticket", "station_rate",
+              "spend_total"]
+CODE_COLS = ["industry", "dong", "district"]
+# candidate features (the reference's 28, on our stand-in columns)
+FEATURES = (["affiliation_rate", "station_rate", "tx_count", "tx_amount", "avg_ticket",
+             "visitors", "residents"] + RATIO_COLS
+            + ["spend_total", "industry_code", "dong_code", "district_code", "aff_trend"])
+# feature groups whose best-MI member is kept
+FEATURE_GROUPS = {
+    "status": ["status_f_ratio", "status_o_ratio"],
+    "flag": ["flag_a_ratio", "flag_n_ratio", "flag_r_ratio"],
+    "line": [f"line_{i}_ratio" for i in range(1, 8)],
+    "trade": ["tx_count", "tx_amount"],
+}
+FIXED_FEATURES = ["affiliation_rate", "visitors", "spend_total", "avg_ticket", "industry_code",
+                  "district_code", "dong_code", "aff_trend", "residents", "station_rate"]
+# model features (F8): 4 group winners + 10 fixed
+MODEL_FEATURES = ["status_o_ratio", "flag_r_ratio", "line_3_ratio", "tx_amount"] + FIXED_FEATURES
+# clustering features (reference: closure, affiliation, years, station, 3 logs)
+CLUSTER_FEATURES = ["closure_rate", "affiliation_rate", "avg_years", "station_rate",
+                    "spend_total_log", "visitors_log", "avg_ticket_log"]
+LABEL = "closed_label"
+ROW_KEY = ["month", "district", "dong", "industry"]
+
+
+def features(spark, d) -> DataFrame:
+    """F8 feature table: label codes, parsed numerics, log1p, rolling
+    affiliation trend, month number, closure label."""
+    f = panel_full(spark, d)
+    f = fe.label_codes(f, CODE_COLS)
+    f = fe.parse_columns(f, PARSE_COLS)
+    f = fe.log_columns(f, LOG_COLS)
+    f = fe.rolling_trend(f, "affiliation_rate", ["district", "dong"], ["month", "industry"],
+                         name="aff_trend")
+    f = fe.add_month_number(f)
+    return fe.closure_label(f)
+
+
+def cluster_input(spark, d) -> DataFrame:
+    """Raw panel with the three clustering log columns (no visitors log
+    upstream here: the clustering notebook logs raw values itself)."""
+    f = panel_full(spark, d)
+    return fe.log_columns(f, ["spend_total", "visitors", "avg_ticket"], suffix="_log")
+
+
+def fixed_score(df: DataFrame) -> DataFrame:
+    """Deterministic stand-in for the model probability (FIXTURES: features
+    with a fixed linear score)."""
+    return df.withColumn("p", 0.5 * (1 - F.col("station_rate")) + 0.5 * (1 - F.col("affiliation_rate")))
+
+
+def scored_panel(spark, d) -> DataFrame:
+    return rk.risk_score(fixed_score(features(spark, d)), "p")
+
+
+def clustered_panel(spark, d) -> DataFrame:
+    return cluster_input(spark, d).withColumn("cluster", rk.rule_cluster())

@@ -216,3 +216,172 @@ SQL["key_diff"] = with_ctes("""
 UNION ALL
 (SELECT district, dong, 'population_only' AS side FROM (
    SELECT DISTINCT district, dong FROM pop EXCEPT SELECT DISTINCT district, dong FROM cleaned))""")
+
+
+# ---------------------------------------------------------------- features, stats, risk
+FEATS = """enc AS (
+  SELECT *, CAST(dense_rank() OVER (ORDER BY industry) - 1 AS INTEGER) AS industry_code,
+         CAST(dense_rank() OVER (ORDER BY dong) - 1 AS INTEGER) AS dong_code,
+         CAST(dense_rank() OVER (ORDER BY district) - 1 AS INTEGER) AS district_code
+  FROM full_panel),
+feats AS (
+  SELECT * REPLACE (ln(1 + visitors) AS visitors, ln(1 + residents) AS residents,
+                    ln(1 + spend_total) AS spend_total),
+         affiliation_rate - avg(affiliation_rate) OVER (PARTITION BY district, dong ORDER BY month, industry
+                                                       ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS aff_trend,
+         CAST(month(CAST(month || '-01' AS DATE)) AS INTEGER) AS month_num,
+         CAST(closure_rate > 0 AS INTEGER) AS closed_label
+  FROM enc),
+risk_rr AS (
+  SELECT *, p * 0.8 + (1 - affiliation_rate) * 0.1 + (1 - visitors) * 0.05 + (1 - station_rate) * 0.05 AS risk_raw
+  FROM (SELECT *, 0.5 * (1 - station_rate) + 0.5 * (1 - affiliation_rate) AS p FROM feats)),
+risk AS (
+  SELECT *, CASE WHEN mx > mn THEN (risk_raw - mn) / (mx - mn) ELSE 0 END AS risk_score
+  FROM risk_rr, (SELECT min(risk_raw) AS mn, max(risk_raw) AS mx FROM risk_rr)),
+clustered AS (
+  SELECT *, ln(1 + spend_total) AS spend_total_log, ln(1 + visitors) AS visitors_log,
+         ln(1 + avg_ticket) AS avg_ticket_log,
+         CAST(closure_rate > 0.1 AS INTEGER) * 2 + CAST(affiliation_rate > 0.3 AS INTEGER) AS cluster
+  FROM full_panel)"""
+
+FCTES = PANEL_CTES + [FULL, FEATS]
+KEYS4 = "month, district, dong, industry"
+FEATURES = (["affiliation_rate", "station_rate", "tx_count", "tx_amount", "avg_ticket", "visitors",
+             "residents", "status_f_ratio", "status_o_ratio", "flag_a_ratio", "flag_n_ratio",
+             "flag_r_ratio"] + [f"line_{i}_ratio" for i in range(1, 8)]
+            + ["spend_total", "industry_code", "dong_code", "district_code", "aff_trend"])
+RAW_CLUSTER = ["closure_rate", "affiliation_rate", "visitors", "avg_years", "avg_ticket",
+               "station_rate", "spend_total"]
+CLUSTER_REPORT = ["closure_rate", "affiliation_rate", "avg_years", "station_rate",
+                  "spend_total_log", "visitors_log", "avg_ticket_log"]
+
+
+def F_(body: str) -> str:
+    return with_ctes(body, FCTES)
+
+
+SQL["label_encode"] = F_(f"SELECT {KEYS4}, industry_code, dong_code, district_code FROM feats")
+SQL["closure_label"] = F_(f"SELECT {KEYS4}, closure_rate, closed_label FROM feats")
+SQL["log_features"] = F_(f"SELECT {KEYS4}, {_r6(['visitors', 'residents', 'spend_total'])} FROM feats")
+SQL["rolling_mean"] = F_(f"""SELECT {KEYS4}, affiliation_rate,
+  {R('avg(affiliation_rate) OVER (PARTITION BY district, dong ORDER BY month, industry ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)', 6)} AS aff_rolling
+FROM full_panel""")
+SQL["rolling_trend"] = F_(f"SELECT {KEYS4}, {R('aff_trend', 6)} AS aff_trend, month_num FROM feats")
+
+_z = ", ".join(
+    f"{R(f'CASE WHEN s_{c} > 0 THEN ({c} - m_{c}) / s_{c} ELSE 0 END', 6)} AS {c}_z" for c in CLUSTER_REPORT)
+_zstats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in CLUSTER_REPORT)
+_znn = " AND ".join(f"{c} IS NOT NULL" for c in CLUSTER_REPORT)
+SQL["standardize"] = F_(f"""SELECT {KEYS4}, {_z}
+FROM (SELECT * FROM clustered WHERE {_znn}) x, (SELECT {_zstats} FROM clustered WHERE {_znn}) s""")
+
+SQL["class_weights"] = F_(f"""SELECT rows, pos, neg, {R('neg / pos', 6)} AS scale_pos_weight,
+  {R('rows / (2 * pos)', 6)} AS weight_pos, {R('rows / (2 * neg)', 6)} AS weight_neg
+FROM (SELECT count(*) AS rows, CAST(sum(closed_label) AS BIGINT) AS pos,
+             count(*) - CAST(sum(closed_label) AS BIGINT) AS neg FROM feats)""")
+
+SQL["null_profile"] = F_(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count(*) FILTER (WHERE {c} IS NULL) AS nulls FROM feats" for c in FEATURES))
+
+SQL["describe"] = F_(" UNION ALL ".join(
+    f"""SELECT '{c}' AS feature, CAST(count({c}) AS DOUBLE) AS count, {R(f'avg({c})', 6)} AS mean,
+  {R(f'stddev_samp({c})', 6)} AS std, {R(f'min({c})', 6)} AS min,
+  {R(f'quantile_cont({c}, 0.25)', 6)} AS q25, {R(f'quantile_cont({c}, 0.5)', 6)} AS q50,
+  {R(f'quantile_cont({c}, 0.75)', 6)} AS q75, {R(f'max({c})', 6)} AS max FROM full_panel""" for c in RAW_CLUSTER))
+
+SQL["histogram"] = F_(f"""SELECT feature, bin, {R('lo + (bin - 1) * ((hi - lo) / 30)', 6)} AS bin_lo,
+  {R('lo + bin * ((hi - lo) / 30)', 6)} AS bin_hi, count(*) AS count
+FROM (SELECT feature, value, lo, hi,
+        CAST(CASE WHEN hi > lo THEN least(floor((value - lo) / (hi - lo) * 30) + 1, 30) ELSE 1 END AS INTEGER) AS bin
+      FROM (SELECT feature, CAST(value AS DOUBLE) AS value FROM
+              (UNPIVOT (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in RAW_CLUSTER)} FROM full_panel)
+               ON {', '.join(RAW_CLUSTER)} INTO NAME feature VALUE value)) l
+      JOIN (SELECT feature, min(value) AS lo, max(value) AS hi FROM
+              (UNPIVOT (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in RAW_CLUSTER)} FROM full_panel)
+               ON {', '.join(RAW_CLUSTER)} INTO NAME feature VALUE value) GROUP BY feature) r USING (feature))
+GROUP BY feature, bin, lo, hi""")
+
+SQL["corr_target"] = F_(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {R(f'corr(CAST({c} AS DOUBLE), CAST(closed_label AS DOUBLE))', 6)} AS corr FROM feats"
+    for c in FEATURES))
+
+_pairs = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i:]]
+_cm = "SELECT " + ", ".join(
+    f"corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS \"{a}|{b}\"" for a, b in _pairs) + " FROM feats"
+SQL["corr_matrix"] = F_(f"""SELECT feature_a, feature_b, {R('c', 6)} AS corr FROM (
+  SELECT split_part(pair, '|', 1) AS feature_a, split_part(pair, '|', 2) AS feature_b, c
+  FROM (UNPIVOT ({_cm}) ON COLUMNS(*) INTO NAME pair VALUE c)
+  UNION ALL
+  SELECT split_part(pair, '|', 2), split_part(pair, '|', 1), c
+  FROM (UNPIVOT ({_cm}) ON COLUMNS(*) INTO NAME pair VALUE c)
+  WHERE split_part(pair, '|', 1) <> split_part(pair, '|', 2))""")
+
+_mi_long = ("(UNPIVOT (SELECT closed_label AS y, "
+            + ", ".join(f"CAST(coalesce(CAST({c} AS DOUBLE), 0) AS DOUBLE) AS {c}" for c in FEATURES)
+            + f" FROM feats) ON {', '.join(FEATURES)} INTO NAME feature VALUE value)")
+MI = f"""mi_long AS (SELECT * FROM {_mi_long}),
+mi_rng AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM mi_long GROUP BY feature),
+mi_cells AS (
+  SELECT feature, CASE WHEN hi > lo THEN least(floor((value - lo) / (hi - lo) * 10), 9) ELSE 0 END AS bin,
+         y, count(*) AS n
+  FROM mi_long JOIN mi_rng USING (feature) GROUP BY ALL),
+mi_t AS (
+  SELECT *, sum(n) OVER (PARTITION BY feature) AS nn, sum(n) OVER (PARTITION BY feature, bin) AS nx,
+         sum(n) OVER (PARTITION BY feature, y) AS ny FROM mi_cells),
+mi AS (SELECT feature, {R('sum((n / nn) * ln((n * nn) / (nx * ny)))', 6)} AS mutual_info FROM mi_t GROUP BY feature)"""
+SQL["mutual_info"] = with_ctes("SELECT * FROM mi", FCTES + [MI])
+_grp = {"status": ["status_f_ratio", "status_o_ratio"], "flag": ["flag_a_ratio", "flag_n_ratio", "flag_r_ratio"],
+        "line": [f"line_{i}_ratio" for i in range(1, 8)], "trade": ["tx_count", "tx_amount"]}
+_case = "CASE " + " ".join(f"WHEN feature IN ({', '.join(repr(f) for f in fs)}) THEN '{g}'" for g, fs in _grp.items()) + " END"
+SQL["mi_group_top"] = with_ctes(f"""SELECT "group", feature, mutual_info FROM (
+  SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY mutual_info DESC, feature) AS rn
+  FROM (SELECT {_case} AS "group", feature, mutual_info FROM mi) WHERE "group" IS NOT NULL) WHERE rn = 1""",
+                                FCTES + [MI])
+
+SQL["risk_score"] = F_(f"SELECT {KEYS4}, {_r6(['p', 'risk_raw', 'risk_score'])} FROM risk")
+
+
+def _top(keys: list[str], where: str = "", label: bool = False) -> str:
+    k = ", ".join(keys)
+    nn = " AND ".join(f"{x} IS NOT NULL" for x in keys)
+    lab = ", " + " || ' - ' || ".join(keys) + " AS area" if label else ""
+    cond = f"WHERE {nn}" + (f" AND {where}" if where else "")
+    return f"""SELECT {k}, {R('avg(risk_score)', 6)} AS mean_risk{lab} FROM risk {cond}
+GROUP BY {k} ORDER BY mean_risk DESC, {k} LIMIT 10"""
+
+
+SQL["risk_by_dong"] = F_(_top(["dong"]))
+SQL["risk_by_industry"] = F_(_top(["industry"]))
+SQL["risk_by_district_industry"] = F_(_top(["district", "industry"], label=True))
+SQL["risk_benchmarks"] = F_(f"""SELECT
+  (SELECT {R('avg(m)', 6)} FROM (SELECT avg(risk_score) AS m FROM risk WHERE dong IS NOT NULL GROUP BY dong)) AS dong_mean_of_means,
+  (SELECT {R('avg(m)', 6)} FROM (SELECT avg(risk_score) AS m FROM risk WHERE industry IS NOT NULL GROUP BY industry)) AS industry_mean_of_means,
+  (SELECT {R('avg(m)', 6)} FROM (SELECT avg(risk_score) AS m FROM risk WHERE district IS NOT NULL AND industry IS NOT NULL GROUP BY district, industry)) AS district_industry_mean_of_means,
+  (SELECT {R('avg(risk_score)', 6)} FROM risk) AS row_mean""")
+
+SQL["cluster_profile"] = F_("SELECT cluster, " + ", ".join(f"{R(f'avg({c})', 3)} AS {c}" for c in CLUSTER_REPORT)
+                            + " FROM clustered GROUP BY cluster")
+SQL["cluster_sizes"] = F_("SELECT cluster, count(*) AS rows FROM clustered GROUP BY cluster")
+ROLES = """prof AS (SELECT cluster, avg(closure_rate) AS cl, avg(affiliation_rate) AS af FROM {src} GROUP BY cluster),
+dz AS (SELECT cluster AS danger FROM prof ORDER BY cl DESC, cluster LIMIT 1),
+op AS (SELECT cluster AS opp FROM prof WHERE cluster <> (SELECT danger FROM dz) ORDER BY af ASC, cluster LIMIT 1),
+roles AS (SELECT *, CASE WHEN cluster = (SELECT danger FROM dz) THEN 'danger'
+                         WHEN cluster = (SELECT opp FROM op) THEN 'opportunity' ELSE 'other' END AS role FROM {src})"""
+
+
+def _pct(c: str, cond: str) -> str:
+    return R(f"avg(CASE WHEN {cond} THEN {c} END) * 100", 2)
+
+
+SQL["cluster_kpi"] = with_ctes(f"""SELECT
+  {_pct('closure_rate', "role = 'danger'")} AS danger_closure_pct,
+  {_pct('affiliation_rate', "role = 'danger'")} AS danger_affiliation_pct,
+  {_pct('closure_rate', "role = 'opportunity'")} AS opportunity_closure_pct,
+  {_pct('affiliation_rate', "role = 'opportunity'")} AS opportunity_affiliation_pct,
+  {_pct('closure_rate', "role <> 'danger'")} AS non_danger_closure_pct,
+  {_pct('affiliation_rate', "role <> 'danger'")} AS non_danger_affiliation_pct
+FROM roles""", FCTES + [ROLES.format(src="clustered")])
+SQL["cluster_top_areas"] = with_ctes(
+    _top(["dong"]).replace("FROM risk", "FROM roles").replace("WHERE dong IS NOT NULL", "WHERE dong IS NOT NULL AND role = 'danger'"),
+    FCTES + ["rc AS (SELECT *, CAST(closure_rate > 0.1 AS INTEGER) * 2 + CAST(affiliation_rate > 0.3 AS INTEGER) AS cluster FROM risk)",
+             ROLES.format(src="rc")])

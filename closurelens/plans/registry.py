@@ -137,3 +137,159 @@ def q_panel_full(spark, d):
 def q_key_diff(spark, d):
     return keys.key_diff(domain.cleaned(spark, d), domain.population_table(spark, d),
                          ["district", "dong"], "panel", "population")
+
+
+# ---------------------------------------------------------------- features, stats
+from ..operators import features as fe  # noqa: E402
+from ..operators import risk as rk  # noqa: E402
+from ..operators import stats as st  # noqa: E402
+
+KEY = domain.ROW_KEY
+
+
+@query("label_encode")
+def q_label_encode(spark, d):
+    return domain.features(spark, d).select(*KEY, "industry_code", "dong_code", "district_code")
+
+
+@query("closure_label")
+def q_closure_label(spark, d):
+    return domain.features(spark, d).select(*KEY, "closure_rate", "closed_label")
+
+
+@query("log_features")
+def q_log_features(spark, d):
+    return r6(domain.features(spark, d).select(*KEY, *domain.LOG_COLS), *domain.LOG_COLS)
+
+
+@query("rolling_mean")
+def q_rolling_mean(spark, d):
+    f = fe.rolling_mean(domain.panel_full(spark, d), "affiliation_rate", ["district", "dong"],
+                        ["month", "industry"], name="aff_rolling")
+    return r6(f.select(*KEY, "affiliation_rate", "aff_rolling"), "aff_rolling")
+
+
+@query("rolling_trend")
+def q_rolling_trend(spark, d):
+    return r6(domain.features(spark, d).select(*KEY, "aff_trend", "month_num"), "aff_trend")
+
+
+@query("standardize")
+def q_standardize(spark, d):
+    cols = domain.CLUSTER_FEATURES
+    z = fe.standardize(domain.cluster_input(spark, d).na.drop(subset=cols), cols)
+    return r6(z.select(*KEY, *[f"{c}_z" for c in cols]), *[f"{c}_z" for c in cols])
+
+
+@query("class_weights")
+def q_class_weights(spark, d):
+    f = domain.features(spark, d)
+    y = F.col(domain.LABEL)
+    row = f.agg(F.count(F.lit(1)).alias("rows"), F.sum(y).cast("long").alias("pos"))
+    row = row.withColumn("neg", F.col("rows") - F.col("pos"))
+    return r6(row.withColumns({
+        "scale_pos_weight": F.try_divide(F.col("neg"), F.col("pos")),
+        "weight_pos": F.try_divide(F.col("rows"), 2 * F.col("pos")),
+        "weight_neg": F.try_divide(F.col("rows"), 2 * F.col("neg")),
+    }), "scale_pos_weight", "weight_pos", "weight_neg")
+
+
+@query("null_profile")
+def q_null_profile(spark, d):
+    return st.null_profile(domain.features(spark, d), domain.FEATURES)
+
+
+RAW_CLUSTER = ["closure_rate", "affiliation_rate", "visitors", "avg_years", "avg_ticket",
+               "station_rate", "spend_total"]
+
+
+@query("describe")
+def q_describe(spark, d):
+    return r6(st.describe(domain.panel_full(spark, d), RAW_CLUSTER),
+              "mean", "std", "min", "q25", "q50", "q75", "max")
+
+
+@query("histogram")
+def q_histogram(spark, d):
+    return r6(st.histogram(domain.panel_full(spark, d), RAW_CLUSTER, 30), "bin_lo", "bin_hi")
+
+
+@query("density")
+def q_density(spark, d):
+    return st.density(domain.panel_full(spark, d), "closure_rate")
+
+
+@query("corr_target")
+def q_corr_target(spark, d):
+    return r6(st.corr_target(domain.features(spark, d), domain.FEATURES, domain.LABEL), "corr")
+
+
+@query("corr_matrix")
+def q_corr_matrix(spark, d):
+    return r6(st.corr_matrix(domain.features(spark, d), domain.FEATURES), "corr")
+
+
+@query("mutual_info")
+def q_mutual_info(spark, d):
+    return st.mutual_info(domain.features(spark, d), domain.FEATURES, domain.LABEL)
+
+
+@query("mi_group_top")
+def q_mi_group_top(spark, d):
+    mi = st.mutual_info(domain.features(spark, d), domain.FEATURES, domain.LABEL)
+    return st.group_top(mi, domain.FEATURE_GROUPS)
+
+
+# ---------------------------------------------------------------- risk and clusters
+
+
+@query("risk_score")
+def q_risk_score(spark, d):
+    s = domain.scored_panel(spark, d)
+    return r6(s.select(*KEY, "p", "risk_raw", "risk_score"), "p", "risk_raw", "risk_score")
+
+
+@query("risk_by_dong")
+def q_risk_by_dong(spark, d):
+    return rk.top_groups(domain.scored_panel(spark, d), ["dong"])
+
+
+@query("risk_by_industry")
+def q_risk_by_industry(spark, d):
+    return rk.top_groups(domain.scored_panel(spark, d), ["industry"])
+
+
+@query("risk_by_district_industry")
+def q_risk_by_district_industry(spark, d):
+    return rk.top_groups(domain.scored_panel(spark, d), ["district", "industry"], label="area")
+
+
+@query("risk_benchmarks")
+def q_risk_benchmarks(spark, d):
+    return rk.benchmarks(domain.scored_panel(spark, d))
+
+
+CLUSTER_REPORT = ["closure_rate", "affiliation_rate", "avg_years", "station_rate",
+                  "spend_total_log", "visitors_log", "avg_ticket_log"]
+
+
+@query("cluster_profile")
+def q_cluster_profile(spark, d):
+    return rk.cluster_profile(domain.clustered_panel(spark, d), "cluster", CLUSTER_REPORT)
+
+
+@query("cluster_sizes")
+def q_cluster_sizes(spark, d):
+    return rk.cluster_sizes(domain.clustered_panel(spark, d), "cluster")
+
+
+@query("cluster_kpi")
+def q_cluster_kpi(spark, d):
+    return rk.cluster_kpi(domain.clustered_panel(spark, d), "cluster")
+
+
+@query("cluster_top_areas")
+def q_cluster_top_areas(spark, d):
+    s = domain.scored_panel(spark, d).withColumn("cluster", rk.rule_cluster())
+    danger = rk.cluster_roles(s, "cluster").where(F.col("role") == "danger")
+    return rk.top_groups(danger, ["dong"])
