@@ -385,3 +385,75 @@ SQL["cluster_top_areas"] = with_ctes(
     _top(["dong"]).replace("FROM risk", "FROM roles").replace("WHERE dong IS NOT NULL", "WHERE dong IS NOT NULL AND role = 'danger'"),
     FCTES + ["rc AS (SELECT *, CAST(closure_rate > 0.1 AS INTEGER) * 2 + CAST(affiliation_rate > 0.3 AS INTEGER) AS cluster FROM risk)",
              ROLES.format(src="rc")])
+
+
+# ---------------------------------------------------------------- sources, cleaning, metrics
+SQL["scan_not_null"] = with_ctes("SELECT store_id AS uid, dong, close_month FROM stores WHERE close_month IS NOT NULL",
+                                 [STORES])
+SQL["csv_roundtrip"] = SQL["panel_rates"]
+SQL["parse_numeric"] = """SELECT id, amount_text, TRY_CAST(replace(amount_text, ',', '') AS DOUBLE) AS amount
+FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'n/a'
+             ELSE format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) END AS amount_text FROM orders)"""
+LIC = """lic AS (
+  SELECT o_orderkey AS id, o_orderdate AS open_date,
+         CASE WHEN o_orderstatus = 'F' THEN strftime(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 900 AS INTEGER), '%Y-%m-%d')
+              WHEN o_orderstatus = 'P' THEN 'unknown' END AS close_text
+  FROM orders),
+licp AS (SELECT *, try_strptime(close_text, '%Y-%m-%d') AS close_date FROM lic)"""
+SQL["study_window_filter"] = with_ctes("""
+SELECT id, strftime(open_date, '%Y-%m-%d') AS open_date, close_text, strftime(close_date, '%Y-%m-%d') AS close_date,
+       CAST(close_date IS NOT NULL AS INTEGER) AS closed_flag
+FROM licp
+WHERE open_date <= TIMESTAMP '2001-09-30' AND (close_date IS NULL OR close_date BETWEEN TIMESTAMP '2000-01-01' AND TIMESTAMP '2001-09-30')""",
+                                       [LIC])
+SQL["drop_incomplete"] = with_ctes("""
+SELECT id, strftime(open_date, '%Y-%m-%d') AS open_date, coalesce(close_text, '') AS close_text,
+       strftime(close_date, '%Y-%m-%d') AS close_date
+FROM licp WHERE open_date IS NOT NULL AND close_date IS NOT NULL""", [LIC])
+SQL["mode_fill"] = """WITH src AS (
+  SELECT c_custkey AS unique_id, CAST(c_nationkey AS VARCHAR) AS legal_dong_code,
+         nullif(CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END, '') AS dong,
+         nullif(CASE WHEN c_custkey % 5 = 0 THEN '' ELSE substr(c_mktsegment, 1, 2) END, '') AS dong_code
+  FROM customer),
+v AS (SELECT * FROM src WHERE dong IS NOT NULL AND dong_code IS NOT NULL),
+m1 AS (SELECT legal_dong_code, m_dong FROM (
+  SELECT legal_dong_code, dong AS m_dong, row_number() OVER (PARTITION BY legal_dong_code ORDER BY count(*) DESC, dong) AS rn
+  FROM v GROUP BY legal_dong_code, dong) WHERE rn = 1),
+m2 AS (SELECT legal_dong_code, m_code FROM (
+  SELECT legal_dong_code, dong_code AS m_code, row_number() OVER (PARTITION BY legal_dong_code ORDER BY count(*) DESC, dong_code) AS rn
+  FROM v GROUP BY legal_dong_code, dong_code) WHERE rn = 1)
+SELECT unique_id, legal_dong_code, coalesce(dong, m_dong) AS dong, coalesce(dong_code, m_code) AS dong_code
+FROM src LEFT JOIN m1 USING (legal_dong_code) LEFT JOIN m2 USING (legal_dong_code)"""
+SQL["json_flatten"] = """SELECT event_id AS uid, user_id, TRY_CAST(json_extract(props, '$.k') AS INTEGER) AS k,
+       json_extract_string(props, '$.text') AS text, json_extract_string(props, '$.level1') AS level1,
+       json_extract_string(props, '$.level2') AS level2
+FROM events"""
+SCORED = """scored AS (
+  SELECT o_orderkey AS id, CAST(o_orderstatus = 'F' AS INTEGER) AS y,
+         """ + R("o_totalprice / 500000", 2) + """ AS p FROM orders),
+sp AS (SELECT *, CAST(p >= 0.5 AS INTEGER) AS pred FROM scored),
+sc AS (SELECT p AS score, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM scored GROUP BY p)"""
+SQL["confusion"] = with_ctes("SELECT y AS actual, pred AS predicted, count(*) AS count FROM sp GROUP BY 1, 2", [SCORED])
+_cls = []
+for k in (0, 1):
+    _cls.append(f"""SELECT '{k}' AS class, coalesce(tp / nullif(pp, 0), 0) AS precision,
+       coalesce(tp / nullif(support, 0), 0) AS recall, CAST(support AS BIGINT) AS support
+FROM (SELECT CAST(count(*) FILTER (WHERE y = {k} AND pred = {k}) AS DOUBLE) AS tp,
+             CAST(count(*) FILTER (WHERE pred = {k}) AS DOUBLE) AS pp,
+             count(*) FILTER (WHERE y = {k}) AS support FROM sp)""")
+SQL["class_report"] = with_ctes(f"""pr AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1
+FROM ({' UNION ALL '.join(_cls)})),
+allr AS (
+  SELECT class, precision, recall, f1, support FROM pr
+  UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM pr
+  UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+                   sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM pr)
+SELECT class, {R('precision', 6)} AS precision, {R('recall', 6)} AS recall, {R('f1', 6)} AS f1, support FROM allr""",
+                                [SCORED]).replace("WITH scored", "WITH scored", 1).replace(
+    ")\npr AS", "),\npr AS", 1)
+SQL["roc_auc"] = with_ctes(f"""SELECT {R('sum(pos * (cum_neg - neg) + 0.5 * pos * neg) / (sum(pos) * sum(neg))', 6)} AS roc_auc
+FROM (SELECT *, sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_neg FROM sc)""",
+                           [SCORED])
+SQL["average_precision"] = with_ctes(f"""SELECT {R('sum(pos * cum_pos / (cum_pos + cum_neg)) / sum(pos)', 6)} AS average_precision
+FROM (SELECT *, sum(pos) OVER w AS cum_pos, sum(neg) OVER w AS cum_neg FROM sc
+      WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""", [SCORED])

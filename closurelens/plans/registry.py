@@ -293,3 +293,90 @@ def q_cluster_top_areas(spark, d):
     s = domain.scored_panel(spark, d).withColumn("cluster", rk.rule_cluster())
     danger = rk.cluster_roles(s, "cluster").where(F.col("role") == "danger")
     return rk.top_groups(danger, ["dong"])
+
+
+# ---------------------------------------------------------------- sources, cleaning, metrics
+import os as _os  # noqa: E402
+import uuid as _uuid  # noqa: E402
+
+from ..operators import clean as cl  # noqa: E402
+from ..operators import metrics as mt  # noqa: E402
+from ..functions.numeric import parse_numeric  # noqa: E402
+from ..session import checkpoint_dir  # noqa: E402
+from ..sources import io as sio  # noqa: E402
+
+STUDY_START, STUDY_END = "2000-01-01 00:00:00", "2001-09-30 00:00:00"
+
+
+@query("scan_not_null")
+def q_scan_not_null(spark, d):
+    domain.stores(spark, d).createOrReplaceTempView("cl_stores")
+    return spark.sql("SELECT store_id AS uid, dong, close_month FROM cl_stores WHERE close_month IS NOT NULL")
+
+
+@query("csv_roundtrip")
+def q_csv_roundtrip(spark, d):
+    path = _os.path.join(checkpoint_dir(spark), "closurelens", f"csv-{_uuid.uuid4().hex}")
+    return sio.csv_roundtrip(domain.rates(spark, d), path)
+
+
+@query("parse_numeric")
+def q_parse_numeric(spark, d):
+    t = fx.text_numbers(spark, d)
+    return t.withColumn("amount", parse_numeric("amount_text"))
+
+
+def _licences_window(spark, d):
+    lic = fx.licences(spark, d).withColumn("close_date", cl.lenient_timestamp("close_text"))
+    return cl.study_window(lic, "open_date", "close_date", STUDY_START, STUDY_END)
+
+
+def _datestr(df, *cols):
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in cols})
+
+
+@query("study_window_filter")
+def q_study_window_filter(spark, d):
+    return _datestr(_licences_window(spark, d), "open_date", "close_date")
+
+
+@query("drop_incomplete")
+def q_drop_incomplete(spark, d):
+    lic = fx.licences(spark, d).withColumn("close_date", cl.lenient_timestamp("close_text"))
+    out = cl.drop_incomplete(lic, ["open_date", "close_date"], blank_fill=["close_text"])
+    return _datestr(out, "open_date", "close_date")
+
+
+@query("mode_fill")
+def q_mode_fill(spark, d):
+    return cl.mode_fill(fx.mode_src(spark, d), "legal_dong_code", ["dong", "dong_code"])
+
+
+@query("json_flatten")
+def q_json_flatten(spark, d):
+    return sio.json_flatten(fx.json_src(spark, d), "response",
+                            "k INT, text STRING, level1 STRING, level2 STRING")
+
+
+def _scored(spark, d):
+    return fx.scored(spark, d).withColumn("pred", (F.col("p") >= 0.5).cast("int"))
+
+
+@query("confusion")
+def q_confusion(spark, d):
+    return mt.confusion(_scored(spark, d))
+
+
+@query("class_report")
+def q_class_report(spark, d):
+    return mt.class_report(_scored(spark, d))
+
+
+@query("roc_auc")
+def q_roc_auc(spark, d):
+    return r6(mt.roc_auc(_scored(spark, d)), "roc_auc")
+
+
+@query("average_precision")
+def q_average_precision(spark, d):
+    return r6(mt.average_precision(_scored(spark, d)), "average_precision")

@@ -207,3 +207,16 @@ def vectors(spark: SparkSession, d: str, n_features: int = 7) -> DataFrame:
     e = table(spark, d, "embeddings", "vec_id", "embedding", "label")
     cols = [F.get("embedding", i).cast("double").alias(f"f{i + 1}") for i in range(n_features)]
     return e.select(F.col("vec_id").alias("id"), *cols, F.col("label"))
+
+
+def licences(spark: SparkSession, d: str) -> DataFrame:
+    """Licence rows for the study-window filter: open = order date; close
+    text = a date for finished orders, unparseable text for pending ones,
+    null for open ones."""
+    o = table(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_orderdate")
+    close = (F.when(F.col("o_orderstatus") == "F",
+                    F.date_format(F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 900).cast("int")),
+                                  "yyyy-MM-dd"))
+             .when(F.col("o_orderstatus") == "P", F.lit("unknown")))
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("open_date"),
+                    close.alias("close_text"))
