@@ -457,3 +457,81 @@ FROM (SELECT *, sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING A
 SQL["average_precision"] = with_ctes(f"""SELECT {R('sum(pos * cum_pos / (cum_pos + cum_neg)) / sum(pos)', 6)} AS average_precision
 FROM (SELECT *, sum(pos) OVER w AS cum_pos, sum(neg) OVER w AS cum_neg FROM sc
       WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""", [SCORED])
+
+
+# ---------------------------------------------------------------- merchant names
+NAMES = r"""raw AS (
+  SELECT p_partkey AS uid,
+         CASE p_partkey % 10 WHEN 0 THEN '(주)' || p_name WHEN 1 THEN p_name || ' 서면점'
+              WHEN 2 THEN replace(p_name, ' ', '') || '점' WHEN 3 THEN p_name || '(brand)'
+              WHEN 4 THEN '(' || upper(p_name) || ')' WHEN 5 THEN '주식회사  ' || p_name
+              WHEN 6 THEN p_name || '(한시적)' WHEN 7 THEN '!' WHEN 8 THEN NULL
+              ELSE replace(p_name, ' ', '') END AS raw_name
+  FROM part),
+s1 AS (SELECT uid, raw_name, trim(regexp_replace(raw_name, '\s+', ' ', 'g')) AS s FROM raw),
+s2 AS (SELECT uid, raw_name,
+         replace(replace(replace(replace(replace(replace(replace(replace(replace(s, '(주)', ''), '( 주)', ''),
+           '(주', ''), '주)', ''), '( 주', ''), '주식회사', ''), '-한시적', ''), ' -한시적', ''), '(한시적)', '') AS s
+       FROM s1),
+s3 AS (SELECT uid, raw_name, regexp_extract_all(s, '\(([^)]*[a-z][^)]*)\)', 1) AS eng,
+              trim(regexp_replace(s, '\([^)]*\)', '', 'g')) AS s FROM s2),
+s4 AS (SELECT uid, raw_name, eng, regexp_replace(s, '\s+\S{1,20}(지점|점|센터|분점)$', '') AS s FROM s3),
+c1 AS (SELECT uid, raw_name,
+         CASE WHEN raw_name IS NULL THEN NULL
+              WHEN regexp_matches(s, '[가-힣a-z0-9]{2,}(지점|점|센터|분점)$') THEN 'HOLD'
+              WHEN regexp_full_match(s, '[^\w\s]') THEN NULL
+              WHEN trim(s) = '' THEN NULL
+              WHEN trim(s) = '주' AND len(eng) = 0 THEN NULL
+              WHEN len(eng) > 0 THEN trim(s) || ' ' || array_to_string(eng, ' ')
+              ELSE trim(s) END AS first
+       FROM s4),
+names_clean AS (
+  SELECT uid, raw_name,
+         coalesce(first, CASE WHEN regexp_matches(raw_name, '\(([^)]*[a-zA-Z][^)]*)\)')
+                                   AND lower(trim(regexp_replace(raw_name, '[()]', '', 'g'))) <> 'null'
+                              THEN lower(trim(regexp_replace(raw_name, '[()]', '', 'g'))) END) AS clean_name
+  FROM c1),
+vocab AS (
+  SELECT clean_name AS brand, count(*) AS freq, CAST(length(clean_name) AS INTEGER) AS len
+  FROM names_clean WHERE clean_name IS DISTINCT FROM 'HOLD' AND length(clean_name) >= 2
+  GROUP BY clean_name ORDER BY freq DESC, brand LIMIT 500),
+hold AS (
+  SELECT uid, raw_name, trim(replace(regexp_replace(raw_name, '\s*\( ?주\)?\s*', '', 'g'), '주식회사', '')) AS nb
+  FROM names_clean WHERE clean_name = 'HOLD'),
+cand AS (
+  SELECT h.uid, h.raw_name, v.brand,
+         row_number() OVER (PARTITION BY h.uid ORDER BY v.len DESC, v.freq DESC, v.brand) AS rn
+  FROM hold h JOIN vocab v
+    ON CASE WHEN v.len <= 2 AND regexp_matches(v.brand, '[a-z]') THEN regexp_matches(h.nb, '\b' || v.brand || '\b')
+            ELSE contains(h.nb, v.brand) END),
+hb AS (SELECT uid, raw_name, brand FROM cand WHERE rn = 1),
+hk AS (SELECT uid, raw_name, brand AS clean_name, brand AS result FROM hb
+       WHERE brand IN (SELECT brand FROM hb GROUP BY brand HAVING count(*) >= 3)
+         AND brand NOT IN ('중앙', '잡화', '우리', '우정', '제일', '그린', '대성', '드림', '타임', '스타',
+                           '마루', '명가', '정성', '코코', '현대')),
+names_final AS (
+  SELECT uid, raw_name, clean_name, clean_name AS result FROM names_clean WHERE clean_name IS DISTINCT FROM 'HOLD'
+  UNION ALL SELECT * FROM hk),
+syn AS (
+  SELECT uid, raw_name,
+         lower(CASE clean_name WHEN '씨유' THEN 'CU' WHEN '씨유 CU' THEN 'CU' WHEN '지에스25' THEN 'GS25'
+               WHEN '지에스25 GS' THEN 'GS25' WHEN '지에스25 GS25' THEN 'GS25' WHEN '이디야' THEN '이디야커피'
+               ELSE clean_name END) AS clean_name,
+         lower(CASE result WHEN '씨유' THEN 'CU' WHEN '씨유 CU' THEN 'CU' WHEN '지에스25' THEN 'GS25'
+               WHEN '지에스25 GS' THEN 'GS25' WHEN '지에스25 GS25' THEN 'GS25' WHEN '이디야' THEN '이디야커피'
+               ELSE result END) AS result
+  FROM names_final),
+embed AS (
+  SELECT uid, raw_name,
+         trim(regexp_replace(regexp_replace(translate(regexp_replace(clean_name, '[()]', '', 'g'), ',/', '  '),
+              '[^가-힣a-z0-9\s\-&.·]', '', 'g'), '\s+', ' ', 'g')) AS clean_name,
+         trim(regexp_replace(regexp_replace(translate(regexp_replace(result, '[()]', '', 'g'), ',/', '  '),
+              '[^가-힣a-z0-9\s\-&.·]', '', 'g'), '\s+', ' ', 'g')) AS result
+  FROM syn
+  WHERE clean_name IS NOT NULL AND (NOT regexp_full_match(clean_name, '[0-9]+') OR length(clean_name) = 4))"""
+
+SQL["names_clean"] = with_ctes("SELECT uid, raw_name, clean_name, clean_name AS result FROM names_clean", [NAMES])
+SQL["names_vocab"] = with_ctes("SELECT * FROM vocab", [NAMES])
+SQL["brand_extract"] = with_ctes("SELECT * FROM hk", [NAMES])
+SQL["names_final"] = with_ctes("SELECT * FROM names_final", [NAMES])
+SQL["names_embed_ready"] = with_ctes("SELECT * FROM embed WHERE length(trim(clean_name)) > 1", [NAMES])

@@ -380,3 +380,47 @@ def q_roc_auc(spark, d):
 @query("average_precision")
 def q_average_precision(spark, d):
     return r6(mt.average_precision(_scored(spark, d)), "average_precision")
+
+
+# ---------------------------------------------------------------- merchant names
+from ..operators import names as nm  # noqa: E402
+
+# frequency threshold for brands among HOLD rows on the fixture (the
+# reference's 500 presumes a city-sized merchant table)
+MIN_BRAND_FREQ = 3
+
+
+def _cleaned(spark, d):
+    """First-pass names written once to the shared folder: three branches
+    read them, and predicates on the result are not pushed into (and do not
+    duplicate) the regex chain."""
+    from ..session import materialize
+    return materialize(nm.clean_names(fx.raw_names(spark, d)), "names_clean")
+
+
+@query("names_clean")
+def q_names_clean(spark, d):
+    return nm.clean_names(fx.raw_names(spark, d))
+
+
+@query("names_vocab")
+def q_names_vocab(spark, d):
+    return nm.vocabulary(_cleaned(spark, d))
+
+
+@query("brand_extract")
+def q_brand_extract(spark, d):
+    c = _cleaned(spark, d)
+    return nm.resolve_hold(c, nm.brand_dictionary(c), MIN_BRAND_FREQ)
+
+
+@query("names_final")
+def q_names_final(spark, d):
+    c = _cleaned(spark, d)
+    return nm.final_names(c, nm.brand_dictionary(c), MIN_BRAND_FREQ)
+
+
+@query("names_embed_ready")
+def q_names_embed_ready(spark, d):
+    c = _cleaned(spark, d)
+    return nm.embed_ready(nm.final_names(c, nm.brand_dictionary(c), MIN_BRAND_FREQ))
