@@ -535,3 +535,63 @@ SQL["names_vocab"] = with_ctes("SELECT * FROM vocab", [NAMES])
 SQL["brand_extract"] = with_ctes("SELECT * FROM hk", [NAMES])
 SQL["names_final"] = with_ctes("SELECT * FROM names_final", [NAMES])
 SQL["names_embed_ready"] = with_ctes("SELECT * FROM embed WHERE length(trim(clean_name)) > 1", [NAMES])
+
+
+# ---------------------------------------------------------------- spatial and fuzzy joins
+def _hav(a: str, b: str) -> str:
+    return (f"6371000.0 * 2 * asin(sqrt(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + "
+            f"cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2)))")
+
+
+GEO = """geo_est AS (
+  SELECT p_partkey AS id, p_name AS name,
+         CAST(35.1 AS DOUBLE) + CAST(p_partkey % 40 AS DOUBLE) * CAST(0.0003 AS DOUBLE) AS lat,
+         CAST(129.0 AS DOUBLE) + CAST((p_partkey // 40) % 25 AS DOUBLE) * CAST(0.0003 AS DOUBLE) AS lon
+  FROM part WHERE p_size <= 25),
+geo_mer AS (
+  SELECT p_partkey AS id, p_name AS name,
+         CAST(35.1 AS DOUBLE) + CAST(p_partkey % 40 AS DOUBLE) * CAST(0.0003 AS DOUBLE) + CAST(0.0001 AS DOUBLE) AS lat,
+         CAST(129.0 AS DOUBLE) + CAST((p_partkey // 40) % 25 AS DOUBLE) * CAST(0.0003 AS DOUBLE) AS lon
+  FROM part WHERE p_size > 25),
+pairs AS (
+  SELECT e.id AS e_id, e.name AS e_name, e.lat AS e_lat, e.lon AS e_lon,
+         m.id AS m_id, m.name AS m_name, m.lat AS m_lat, m.lon AS m_lon,
+         """ + _hav("e", "m") + """ AS distance_m,
+         1 - levenshtein(e.name, m.name) / greatest(length(e.name), length(m.name)) AS similarity_score
+  FROM geo_est e CROSS JOIN geo_mer m),
+matched AS (
+  SELECT * FROM pairs
+  WHERE (similarity_score >= 0.9 AND distance_m <= 100)
+     OR (similarity_score >= 0.7 AND similarity_score < 0.9 AND distance_m <= 50)),
+best AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY e_id ORDER BY similarity_score DESC, distance_m, m_id) AS rn
+    FROM matched) WHERE rn = 1)"""
+PTS = """pts AS (
+  SELECT c_custkey AS id, CAST(35.1 AS DOUBLE) + CAST(c_custkey % 100 AS DOUBLE) * CAST(0.002 AS DOUBLE) AS lat,
+         CAST(129.0 AS DOUBLE) + CAST(c_custkey // 100 AS DOUBLE) * CAST(0.002 AS DOUBLE) AS lon
+  FROM customer),
+sta AS (
+  SELECT s_suppkey AS station_id, CAST(35.1 AS DOUBLE) + CAST(s_suppkey % 10 AS DOUBLE) * CAST(0.02 AS DOUBLE) AS lat,
+         CAST(129.0 AS DOUBLE) + CAST(s_suppkey // 10 AS DOUBLE) * CAST(0.003 AS DOUBLE) AS lon
+  FROM supplier),
+pd AS (SELECT p.id, s.station_id, """ + _hav("p", "s") + """ AS distance_m FROM pts p CROSS JOIN sta s)"""
+
+_M = ["e_id", "e_name", "e_lat", "e_lon", "m_id", "m_name", "m_lat", "m_lon"]
+SQL["haversine"] = with_ctes(f"SELECT e_id, m_id, {R('distance_m', 6)} AS distance_m FROM pairs WHERE distance_m <= 100", [GEO])
+SQL["name_similarity"] = with_ctes(f"""SELECT e_id, m_id, e_name, m_name, {R('similarity_score', 6)} AS similarity_score
+FROM pairs WHERE distance_m <= 100""", [GEO])
+SQL["fuzzy_geo_match"] = with_ctes(f"""SELECT {', '.join(_M)}, {R('distance_m', 6)} AS distance_m,
+  {R('similarity_score', 6)} AS similarity_score FROM matched""", [GEO])
+SQL["best_match"] = with_ctes(f"""SELECT {', '.join(_M)}, {R('distance_m', 6)} AS distance_m,
+  {R('similarity_score', 6)} AS similarity_score FROM best""", [GEO])
+SQL["affiliation_flag"] = with_ctes("""SELECT id, name, CASE WHEN id IN (SELECT e_id FROM best) THEN 1 ELSE 0 END AS affiliated
+FROM geo_est""", [GEO])
+SQL["near_station"] = with_ctes(f"""SELECT id, {R('lat', 6)} AS lat, {R('lon', 6)} AS lon,
+  CASE WHEN id IN (SELECT id FROM pd WHERE distance_m <= 500) THEN 1 ELSE 0 END AS near_station FROM pts""", [PTS])
+SQL["reverse_geocode"] = with_ctes(f"""SELECT p.id, {R('p.lat', 6)} AS lat, {R('p.lon', 6)} AS lon, b.station_id,
+  {R('b.distance_m', 6)} AS distance_m
+FROM pts p LEFT JOIN (
+  SELECT id, station_id, distance_m FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance_m, station_id) AS rn FROM pd WHERE distance_m <= 2000)
+  WHERE rn = 1) b USING (id)""", [PTS])

@@ -424,3 +424,63 @@ def q_names_final(spark, d):
 def q_names_embed_ready(spark, d):
     c = _cleaned(spark, d)
     return nm.embed_ready(nm.final_names(c, nm.brand_dictionary(c), MIN_BRAND_FREQ))
+
+
+# ---------------------------------------------------------------- spatial and fuzzy joins
+from ..operators import geojoin as gj  # noqa: E402
+
+GEOCODE_RADIUS_M = 2000.0
+
+
+def _geo(spark, d):
+    return fx.geo_points(spark, d, "est"), fx.geo_points(spark, d, "mer")
+
+
+def _match_cols(df):
+    return r6(df, "distance_m", "similarity_score")
+
+
+@query("haversine")
+def q_haversine(spark, d):
+    est, mer = _geo(spark, d)
+    p = gj.within_distance(est, mer, 100.0, left_prefix="e_", right_prefix="m_")
+    return r6(p.select("e_id", "m_id", "distance_m"), "distance_m")
+
+
+@query("name_similarity")
+def q_name_similarity(spark, d):
+    est, mer = _geo(spark, d)
+    p = gj.within_distance(est, mer, 100.0, left_prefix="e_", right_prefix="m_")
+    p = p.withColumn("similarity_score", gj.name_similarity("e_name", "m_name"))
+    return r6(p.select("e_id", "m_id", "e_name", "m_name", "similarity_score"), "similarity_score")
+
+
+@query("fuzzy_geo_match")
+def q_fuzzy_geo_match(spark, d):
+    est, mer = _geo(spark, d)
+    return _match_cols(gj.fuzzy_geo_match(est, mer))
+
+
+@query("best_match")
+def q_best_match(spark, d):
+    est, mer = _geo(spark, d)
+    return _match_cols(gj.best_match(gj.fuzzy_geo_match(est, mer)))
+
+
+@query("affiliation_flag")
+def q_affiliation_flag(spark, d):
+    est, mer = _geo(spark, d)
+    best = gj.best_match(gj.fuzzy_geo_match(est, mer))
+    return gj.affiliation_flag(est.select("id", "name"), best)
+
+
+@query("near_station")
+def q_near_station(spark, d):
+    return r6(gj.near_flag(fx.est_points(spark, d), fx.stations(spark, d), fx.STATION_RADIUS_M),
+              "lat", "lon")
+
+
+@query("reverse_geocode")
+def q_reverse_geocode(spark, d):
+    out = gj.nearest(fx.est_points(spark, d), fx.stations(spark, d), GEOCODE_RADIUS_M)
+    return r6(out, "lat", "lon", "distance_m")
