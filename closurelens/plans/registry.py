@@ -484,3 +484,132 @@ def q_near_station(spark, d):
 def q_reverse_geocode(spark, d):
     out = gj.nearest(fx.est_points(spark, d), fx.stations(spark, d), GEOCODE_RADIUS_M)
     return r6(out, "lat", "lon", "distance_m")
+
+
+# ---------------------------------------------------------------- samples, folds, persistence
+@query("hash_sample")
+def q_hash_sample(spark, d):
+    return fe.hash_sample(domain.features(spark, d), KEY, 5000, domain.SEED).select(*KEY, domain.LABEL)
+
+
+@query("hash_split")
+def q_hash_split(spark, d):
+    return fe.hash_split(domain.features(spark, d), KEY, domain.SEED).select(*KEY, domain.LABEL, "split")
+
+
+@query("stratified_folds")
+def q_stratified_folds(spark, d):
+    f = fe.stratified_folds(domain.features(spark, d), KEY, domain.LABEL, 3, domain.SEED)
+    return f.select(*KEY, domain.LABEL, "fold")
+
+
+@query("incremental_append")
+def q_incremental_append(spark, d):
+    """Geocoded points appended in two overlapping batches, the second one
+    repeated: the stored table holds every point exactly once."""
+    from ..sources import io as sio
+    pts = gj.nearest(fx.est_points(spark, d), fx.stations(spark, d), GEOCODE_RADIUS_M)
+    path = sio.versioned_path(spark, "geocoded")
+    first = pts.where(F.col("id") % 2 == 0)
+    sio.incremental_append(first, path, "id")
+    sio.incremental_append(pts, path, "id")
+    sio.incremental_append(pts, path, "id")
+    return r6(spark.read.parquet(path), "lat", "lon", "distance_m")
+
+
+@query("model_roundtrip")
+def q_model_roundtrip(spark, d):
+    from pyspark.ml import PipelineModel
+
+    from ..operators import models as md
+    m, path, _, mf = domain.explained_model(spark, d)
+    loaded = PipelineModel.load(path)
+    return md.scores(loaded, mf.where("split = 'test'")).select(*KEY, domain.LABEL, "prediction", "p1")
+
+
+# ---------------------------------------------------------------- clustering and models
+from ..operators import cluster as cu  # noqa: E402
+from ..operators import models as md  # noqa: E402
+
+
+@query("cluster_assign")
+def q_cluster_assign(spark, d):
+    return cu.assign(domain.cluster_input(spark, d), domain.CLUSTER_FEATURES, 4, domain.SEED, keep=KEY)
+
+
+@query("k_sweep")
+def q_k_sweep(spark, d):
+    return cu.k_sweep(domain.cluster_input(spark, d), domain.CLUSTER_FEATURES, range(2, 11), domain.SEED)
+
+
+@query("silhouette")
+def q_silhouette(spark, d):
+    from ..session import materialize
+    m = materialize(cu.scaled_matrix(domain.cluster_input(spark, d), domain.CLUSTER_FEATURES), "sil-matrix")
+    s = cu.silhouette(cu.kmeans_fit(m, 4, domain.SEED).transform(m))
+    return spark.createDataFrame([(4, s)], "k int, silhouette double")
+
+
+@query("vif")
+def q_vif(spark, d):
+    return st.vif(md.fill_features(domain.features(spark, d), domain.FEATURES), domain.FEATURES)
+
+
+@query("model_compare")
+def q_model_compare(spark, d):
+    mf = domain.model_frame(spark, d)
+    return md.compare(mf.where("split = 'train'"), mf.where("split = 'test'"), domain.MODEL_FEATURES,
+                      domain.LABEL)
+
+
+TUNE_TRIALS = 6
+
+
+@query("tune_search")
+def q_tune_search(spark, d):
+    table, _ = domain.search(spark, d, TUNE_TRIALS)
+    return table
+
+
+@query("model_result")
+def q_model_result(spark, d):
+    mf = domain.model_frame(spark, d)
+    train, test = mf.where("split = 'train'"), mf.where("split = 'test'")
+    _, best = domain.search(spark, d, TUNE_TRIALS)
+    m = md.fit(train, domain.MODEL_FEATURES, domain.LABEL, "gbt", best, "pos_ratio", domain.SEED)
+    return md.evaluate(md.scores(m, test), domain.LABEL, "GBT tuned")
+
+
+@query("feature_importance")
+def q_feature_importance(spark, d):
+    m, _, _, _ = domain.explained_model(spark, d)
+    return md.importances(m, domain.MODEL_FEATURES, spark)
+
+
+# ---------------------------------------------------------------- attributions
+from ..operators import explain as ex  # noqa: E402
+
+
+@query("shap_values")
+def q_shap_values(spark, d):
+    return domain.shap_long(spark, d)
+
+
+@query("shap_importance")
+def q_shap_importance(spark, d):
+    return ex.importance(domain.shap_long(spark, d))
+
+
+@query("shap_by_value")
+def q_shap_by_value(spark, d):
+    return ex.by_value(domain.shap_long(spark, d))
+
+
+@query("shap_dependence")
+def q_shap_dependence(spark, d):
+    return ex.dependence(domain.shap_long(spark, d), KEY, "station_rate")
+
+
+@query("shap_top_features")
+def q_shap_top_features(spark, d):
+    return ex.top_features(domain.shap_long(spark, d), KEY, 6)
