@@ -14,7 +14,7 @@ import duckdb
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+import __spark_entry__ as E  # noqa: E402,I001
 from closurelens.session import local_session  # noqa: E402
 from closurelens.sources.tables import TABLES  # noqa: E402
 
