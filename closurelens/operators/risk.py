@@ -52,29 +52,31 @@ def top_groups(df: DataFrame, keys: Sequence[str], value: str = "risk_score", n:
 
 def benchmarks(df: DataFrame, value: str = "risk_score",
                groupings: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """Row-level mean vs mean of group means (A14), all groupings in ONE
-    aggregation with GROUPING SETS (one shuffle)."""
+    """Row-level mean vs mean of group means (A14): every grouping and the
+    overall mean come from ONE aggregation with GROUPING SETS (one pass, one
+    shuffle of partial aggregates)."""
     groupings = groupings or {"dong": ["dong"], "industry": ["industry"],
                               "district_industry": ["district", "industry"]}
     cols = sorted({c for ks in groupings.values() for c in ks})
-    sets = [[F.col(c) for c in ks] for ks in groupings.values()]
+    sets = [[F.col(c) for c in ks] for ks in groupings.values()] + [[]]
     g = df.groupingSets(sets, *cols).agg(F.avg(value).alias("_m"), F.grouping_id().alias("_gid"))
-    gid = {}
-    for name, ks in groupings.items():
+
+    def gid(ks):
         bits = 0
         for i, c in enumerate(cols):
             if c not in ks:
                 bits |= 1 << (len(cols) - 1 - i)
-        gid[name] = bits
-    # group means over non-null keys only (pandas drops null group keys)
-    nonnull = {name: F.lit(True) for name in groupings}
+        return bits
+
+    aggs = []
     for name, ks in groupings.items():
+        # group means over non-null keys only (pandas drops null group keys)
+        cond = F.col("_gid") == gid(ks)
         for k in ks:
-            nonnull[name] = nonnull[name] & F.col(k).isNotNull()
-    aggs = [F.round(F.avg(F.when((F.col("_gid") == gid[n]) & nonnull[n], F.col("_m"))), 6)
-            .alias(f"{n}_mean_of_means") for n in groupings]
-    overall = df.select(F.round(F.avg(value), 6)).scalar()
-    return g.agg(*aggs).withColumn("row_mean", overall)
+            cond = cond & F.col(k).isNotNull()
+        aggs.append(F.round(F.avg(F.when(cond, F.col("_m"))), 6).alias(f"{name}_mean_of_means"))
+    aggs.append(F.round(F.max(F.when(F.col("_gid") == gid([]), F.col("_m"))), 6).alias("row_mean"))
+    return g.agg(*aggs)
 
 
 def rule_cluster(closure="closure_rate", affiliation="affiliation_rate",

@@ -97,18 +97,48 @@ def corr_target(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
     return _stack(row, cols, "feature", "corr").orderBy(F.col("corr").desc_nulls_last())
 
 
+def pairwise_moments(df: DataFrame, cols: Sequence[str]) -> dict[str, np.ndarray]:
+    """Pairwise-complete moment sums of all column pairs in ONE aggregation:
+    per row, flattened outer products of (shifted value, non-null mask) are
+    built with array functions and summed by ``Summarizer`` as one vector of
+    4 p^2 entries (a compact plan however many pairs there are).  Values are
+    shifted by the column means (one small aggregate first) for numerical
+    stability; correlation is shift invariant."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+    p = len(cols)
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    mu = [float(means[f"m{i}"] or 0.0) for i in range(p)]
+    v = F.array(*[F.coalesce(F.col(c).cast("double") - F.lit(mu[i]), F.lit(0.0)) for i, c in enumerate(cols)])
+    m = F.array(*[F.col(c).isNotNull().cast("double") for c in cols])
+
+    def outer(a, b, f):
+        return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: f(x, y))))
+
+    big = F.concat(outer(v, m, lambda x, y: x * y), outer(v, m, lambda x, y: x * x * y),
+                   outer(v, v, lambda x, y: x * y), outer(m, m, lambda x, y: x * y))
+    tot = df.select(array_to_vector(big).alias("o")).agg(Summarizer.sum(F.col("o")).alias("s")).first()["s"]
+    a = np.asarray(tot.toArray()).reshape(4, p, p)
+    return {"vm": a[0], "v2m": a[1], "vv": a[2], "n": a[3]}
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """All pairwise correlations in ONE aggregation pass (A16), long form."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}")
-                   for a, b in pairs])
-    names = [f"{a}|{b}" for a, b in pairs]
-    long = row.unpivot([], [F.col(f"`{n}`") for n in names], "pair", "corr")
-    sp = F.split("pair", "\\|")
-    ab = long.select(F.get(sp, 0).alias("feature_a"), F.get(sp, 1).alias("feature_b"), "corr")
-    ba = ab.where(F.col("feature_a") != F.col("feature_b")).select(
-        F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "corr")
-    return ab.unionByName(ba)
+    """All pairwise Pearson correlations, pairwise complete (A16), from the
+    p x p moment sums of one pass.  Undefined (constant or empty) pairs are
+    null."""
+    mo = pairwise_moments(df, cols)
+    out = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            n, sx, sy = mo["n"][i, j], mo["vm"][i, j], mo["vm"][j, i]
+            sxx, syy, sxy = mo["v2m"][i, j], mo["v2m"][j, i], mo["vv"][i, j]
+            vx, vy = n * sxx - sx * sx, n * syy - sy * sy
+            c = None
+            if n > 1 and vx > 0 and vy > 0:
+                c = float((n * sxy - sx * sy) / np.sqrt(vx * vy))
+                c = max(-1.0, min(1.0, c))
+            out.append((a, b, c))
+    return df.sparkSession.createDataFrame(out, "feature_a string, feature_b string, corr double")
 
 
 def mutual_info(df: DataFrame, cols: Sequence[str], label: str, bins: int = 10) -> DataFrame:

@@ -130,7 +130,7 @@ def q_normalize_dong(spark, d):
 
 @query("panel_full")
 def q_panel_full(spark, d):
-    return r6(domain.panel_full(spark, d), *MEAS)
+    return r6(domain.panel_full_plan(spark, d), *MEAS)
 
 
 @query("key_diff")
