@@ -101,20 +101,33 @@ def panel_counts(stores: DataFrame, start: str, end: str, keys: Sequence[str] =
                  *, affiliated_col="affiliated", station_col="near_station",
                  open_col="open_month", close_col="close_month", month_col="month") -> DataFrame:
     """Alive and closed counts per cell with full-outer-join semantics (J4 +
-    zero fill, X7, X8), computed as a union and a single aggregation.
+    zero fill, X7, X8) in ONE pass over the establishments: each row emits an
+    array of (month, alive, closed) events -- its alive months and, when it
+    falls in the window, its closing month -- which is exploded once and
+    aggregated once (partial aggregation before the single shuffle).
 
     In an outer join null keys never match, so a cell with a null key keeps
     separate alive-side and closed-side rows: the side tag joins the grouping
     key only for such rows."""
-    a = alive_rows(stores, start, end, open_col=open_col, close_col=close_col,
-                   month_col=month_col).select(
-        month_col, *keys, F.lit(1).alias("_a"), F.lit(0).alias("_c"),
-        _is1(affiliated_col).cast("int").alias("_f"), _is1(station_col).cast("int").alias("_s"),
-        F.col("months_open"))
-    c = closed_rows(stores, start, end, close_col=close_col, month_col=month_col).select(
-        month_col, *keys, F.lit(0).alias("_a"), F.lit(1).alias("_c"), F.lit(0).alias("_f"),
-        F.lit(0).alias("_s"), F.lit(None).cast("int").alias("months_open"))
-    u = a.unionByName(c)
+    open_d = key_to_date(open_col)
+    lo = F.greatest(open_d, key_to_date(F.lit(start)))
+    end_d = key_to_date(F.lit(end))
+    hi = F.when(F.col(close_col).isNull(), end_d).otherwise(
+        F.least(F.add_months(key_to_date(close_col), -1), end_d))
+    alive = F.when(lo <= hi, F.transform(
+        F.sequence(lo, hi, F.expr("INTERVAL 1 MONTH")),
+        lambda m: F.struct(m.alias("d"), F.lit(1).alias("a"), F.lit(0).alias("c"))))
+    closed = F.when(F.col(close_col).isin(month_keys(start, end)), F.array(
+        F.struct(key_to_date(close_col).alias("d"), F.lit(0).alias("a"), F.lit(1).alias("c"))))
+    empty = F.array().cast("array<struct<d:date,a:int,c:int>>")
+    events = F.concat(F.coalesce(alive, empty), F.coalesce(closed, empty))
+    u = (stores.select(*keys, open_col, _is1(affiliated_col).cast("int").alias("_f"),
+                       _is1(station_col).cast("int").alias("_s"), F.explode(events).alias("_e"))
+         .select(date_to_key("_e.d").alias(month_col), *keys, F.col("_e.a").alias("_a"),
+                 F.col("_e.c").alias("_c"), (F.col("_f") * F.col("_e.a")).alias("_f"),
+                 (F.col("_s") * F.col("_e.a")).alias("_s"),
+                 F.when(F.col("_e.a") == 1, (F.year("_e.d") - F.year(open_d)) * 12
+                        + F.month("_e.d") - F.month(open_d)).alias("months_open")))
     any_null = F.lit(False)
     for k in (month_col, *keys):
         any_null = any_null | F.col(k).isNull()
