@@ -206,7 +206,16 @@ SELECT * REPLACE ({_r6(['tx_count', 'tx_amount', 'avg_ticket'])}) FROM cleaned""
 SQL["impute_audit"] = with_ctes("SELECT impute_status, count(*) AS rows FROM imp GROUP BY 1")
 SQL["ratio_pivot"] = with_ctes("SELECT * FROM pop_raw")
 SQL["repair_keys"] = with_ctes("SELECT * FROM pop")
-SQL["normalize_dong"] = with_ctes("SELECT * FROM rates")
+SQL["normalize_dong"] = """WITH dn AS (
+  SELECT c_custkey AS id,
+         ['대저', '명지', '서대신', '안락', '명장', '반여', '좌', '우'][c_nationkey % 8 + 1]
+         || CASE WHEN c_custkey % 2 = 0 THEN '제' ELSE '' END || CAST(c_custkey % 3 + 1 AS VARCHAR) || '동' AS dong_raw
+  FROM customer)
+SELECT id, dong_raw,
+       CASE WHEN dong_raw IN ('대저1동', '대저2동', '명지1동', '명지2동')
+            THEN regexp_replace(dong_raw, '([가-힣]+)(\\d+)동$', '\\1제\\2동') ELSE dong_raw END AS dong_targeted,
+       """ + _JE_ALL.format(c="dong_raw") + """ AS dong_all
+FROM dn"""
 SQL["panel_full"] = with_ctes(f"""
 SELECT * REPLACE ({_r6(['tx_count', 'tx_amount', 'avg_ticket'])}) FROM full_panel""",
                               PANEL_CTES + [FULL])
@@ -595,3 +604,5 @@ FROM pts p LEFT JOIN (
   SELECT id, station_id, distance_m FROM (
     SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance_m, station_id) AS rn FROM pd WHERE distance_m <= 2000)
   WHERE rn = 1) b USING (id)""", [PTS])
+
+SQL["incremental_append"] = SQL["reverse_geocode"]

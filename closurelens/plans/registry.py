@@ -125,7 +125,11 @@ def q_repair_keys(spark, d):
 
 @query("normalize_dong")
 def q_normalize_dong(spark, d):
-    return domain.rates(spark, d)
+    """X12 (listed names, anchored) and X13 (all names, idempotent) on
+    Hangul dong names derived from the customer table."""
+    n = fx.dong_names(spark, d)
+    return n.select("id", "dong_raw", population.insert_je("dong_raw").alias("dong_targeted"),
+                    population.insert_je("dong_raw", None).alias("dong_all"))
 
 
 @query("panel_full")

@@ -220,3 +220,18 @@ def licences(spark: SparkSession, d: str) -> DataFrame:
              .when(F.col("o_orderstatus") == "P", F.lit("unknown")))
     return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("open_date"),
                     close.alias("close_text"))
+
+
+# fixed values: dong name stems (Hangul) for the name-normalisation fixture
+DONG_STEMS = ["대저", "명지", "서대신", "안락", "명장", "반여", "좌", "우"]
+
+
+def dong_names(spark: SparkSession, d: str) -> DataFrame:
+    """Hangul dong names from customer rows: stem by nation, number 1-3 by
+    key, half of them already carrying the "제" infix."""
+    c = table(spark, d, "customer", "c_custkey", "c_nationkey")
+    stem = F.element_at(F.array(*[F.lit(s) for s in DONG_STEMS]),
+                        (F.col("c_nationkey") % len(DONG_STEMS) + 1).cast("int"))
+    je = F.when(F.col("c_custkey") % 2 == 0, F.lit("제")).otherwise(F.lit(""))
+    num = (F.col("c_custkey") % 3 + 1).cast("string")
+    return c.select(F.col("c_custkey").alias("id"), F.concat(stem, je, num, F.lit("동")).alias("dong_raw"))

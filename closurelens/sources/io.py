@@ -48,9 +48,11 @@ def check_schema(df: DataFrame, expected) -> DataFrame:
 
 def incremental_append(df: DataFrame, path: str, key: str) -> int:
     """Idempotent append (S6): only rows whose ``key`` is not stored yet are
-    appended, so a retried or repeated run adds nothing twice.  Returns the
-    number of appended rows."""
+    appended (one row per key, also when the input repeats a key), so a
+    retried or repeated run adds nothing twice.  Returns the number of
+    appended rows."""
     spark = df.sparkSession
+    df = df.dropDuplicates([key])
     try:
         stored = spark.read.parquet(path).select(key)
         new = df.join(stored, key, "left_anti")
