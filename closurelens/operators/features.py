@@ -85,12 +85,25 @@ def hash_split(df: DataFrame, key_cols: Sequence[str], seed: int = 42, test_pct:
 
 
 def hash_sample(df: DataFrame, key_cols: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """Fixed-size sample (O9): the ``n`` rows with the smallest key hash.
-    Spark plans ``orderBy(...).limit(n)`` as a per-partition top-n and a
-    merge of n rows per partition; the result does not depend on the
-    partitioning."""
+    """Fixed-size sample (O9): exactly the ``n`` rows with the smallest key
+    hash -- independent of partitioning and re-runs.  A narrow prefilter
+    keeps only rows whose hash, mapped to [0, 1), is below ~1.5 n / N (N from
+    one count), so the final top-n sort sees about 1.5 n rows instead of n
+    rows from every partition; if the prefilter keeps fewer than n rows the
+    threshold is doubled (the kept rows always contain the n smallest)."""
     h = F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols])
-    return df.withColumn("_h", h).orderBy("_h", *key_cols).limit(n).drop("_h")
+    hashed = df.withColumn("_h", h)
+    total = df.count()
+    if total <= n:
+        return hashed.orderBy("_h", *key_cols).drop("_h")
+    u = (F.col("_h").cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
+    frac = min(1.0, 1.5 * n / total + 1e-9)
+    while True:
+        kept = hashed.where(u < F.lit(frac))
+        if frac >= 1.0 or kept.count() >= n:
+            break
+        frac = min(1.0, frac * 2)
+    return kept.orderBy("_h", *key_cols).limit(n).drop("_h")
 
 
 def stratified_folds(df: DataFrame, key_cols: Sequence[str], label: str, k: int = 3,

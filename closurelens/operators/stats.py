@@ -22,19 +22,23 @@ def null_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _stack(row, cols, "feature", "nulls")
 
 
-def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """count, mean, sample std, min, exact linear-interpolated quartiles, max
-    (A9, pandas ``describe``).  One aggregation pass; the exact percentile
-    keeps a value->count map per column, so this is meant for the panel,
-    whose size is bounded by dong x industry x month."""
+def describe(df: DataFrame, cols: Sequence[str], exact: bool = True, accuracy: int = 100000) -> DataFrame:
+    """count, mean, sample std, min, quartiles, max (A9, pandas
+    ``describe``) in one aggregation pass.  ``exact`` quartiles interpolate
+    linearly like pandas but keep a value->count map per column, which suits
+    the panel (bounded by dong x industry x month); ``exact=False`` uses
+    ``percentile_approx`` (bounded memory, rank error 1/accuracy, no
+    interpolation) for unbounded inputs."""
+    def q(x, p):
+        return F.percentile(x, F.lit(p)) if exact else F.percentile_approx(x, p, accuracy)
+
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}|count"), F.avg(x).alias(f"{c}|mean"),
                  F.stddev_samp(x).alias(f"{c}|std"), F.min(x).alias(f"{c}|min"),
-                 F.percentile(x, F.lit(0.25)).alias(f"{c}|q25"),
-                 F.percentile(x, F.lit(0.5)).alias(f"{c}|q50"),
-                 F.percentile(x, F.lit(0.75)).alias(f"{c}|q75"),
+                 q(x, 0.25).alias(f"{c}|q25"), q(x, 0.5).alias(f"{c}|q50"),
+                 q(x, 0.75).alias(f"{c}|q75"),
                  F.max(x).alias(f"{c}|max")]
     row = df.agg(*aggs)
     stats = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]

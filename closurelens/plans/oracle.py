@@ -606,3 +606,9 @@ FROM pts p LEFT JOIN (
   WHERE rn = 1) b USING (id)""", [PTS])
 
 SQL["incremental_append"] = SQL["reverse_geocode"]
+
+SQL["industry_map"] = with_ctes("""SELECT store_id, industry, split_part(industry, '/', 1) AS industry_code,
+  CASE split_part(industry, '/', 1) WHEN 'AUTOMOBILE' THEN 'retail' WHEN 'BUILDING' THEN 'construction'
+       WHEN 'FURNITURE' THEN 'retail' WHEN 'HOUSEHOLD' THEN 'services' WHEN 'MACHINERY' THEN 'manufacturing'
+  END AS industry_group
+FROM stores""", [STORES])

@@ -137,6 +137,16 @@ def q_panel_full(spark, d):
     return r6(domain.panel_full_plan(spark, d), *MEAS)
 
 
+@query("industry_map")
+def q_industry_map(spark, d):
+    """Industry-code mapping (J18): establishments joined with a code ->
+    group table (a fixed-size dimension, broadcast)."""
+    s = domain.stores(spark, d).withColumn("industry_code", F.split("industry", "/").getItem(0))
+    m = fx.industry_map(spark)
+    return (s.join(F.broadcast(m), "industry_code", "left")
+            .select("store_id", "industry", "industry_code", "industry_group"))
+
+
 @query("key_diff")
 def q_key_diff(spark, d):
     return keys.key_diff(domain.cleaned(spark, d), domain.population_table(spark, d),

@@ -235,3 +235,17 @@ def dong_names(spark: SparkSession, d: str) -> DataFrame:
     je = F.when(F.col("c_custkey") % 2 == 0, F.lit("제")).otherwise(F.lit(""))
     num = (F.col("c_custkey") % 3 + 1).cast("string")
     return c.select(F.col("c_custkey").alias("id"), F.concat(stem, je, num, F.lit("동")).alias("dong_raw"))
+
+
+# fixed values: market segment (industry code) -> major industry group
+INDUSTRY_GROUPS = [
+    ("AUTOMOBILE", "retail"),
+    ("BUILDING", "construction"),
+    ("FURNITURE", "retail"),
+    ("HOUSEHOLD", "services"),
+    ("MACHINERY", "manufacturing"),
+]
+
+
+def industry_map(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(INDUSTRY_GROUPS, "industry_code string, industry_group string")

@@ -40,3 +40,29 @@ def test_mutual_information_independent_is_zero(spark):
     df = spark.createDataFrame(rows, "x double, y int")
     mi = stats.mutual_info(df, ["x"], "y").first()["mutual_info"]
     assert abs(mi) < 1e-9
+
+
+def test_hash_sample_is_exact_smallest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from closurelens.operators.features import hash_sample
+    df = spark.range(20000).withColumnRenamed("id", "k").repartition(7)
+    got = [r["k"] for r in hash_sample(df, ["k"], 300, 42).collect()]
+    exp = [r["k"] for r in df.withColumn("h", F.xxhash64(F.lit(42), "k")).orderBy("h", "k").limit(300).collect()]
+    assert got == exp
+
+
+def test_sorted_write_and_schema_check(spark, tmp_path):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from closurelens.sources import io
+    df = spark.range(1000).select(F.pmod(F.col("id") * 7919, F.lit(1000)).alias("k"))
+    path = str(tmp_path / "sorted")
+    io.write_sorted(df, path, ["k"], partitions=4)
+    back = spark.read.parquet(path)
+    parts = back.withColumn("f", F.input_file_name()).groupBy("f").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("lo").collect()
+    assert all(a["hi"] < b["lo"] for a, b in zip(parts, parts[1:]))
+    io.check_schema(back, df.schema)
+    with pytest.raises(ValueError):
+        io.check_schema(back.withColumnRenamed("k", "x"), df.schema)
