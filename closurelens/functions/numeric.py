@@ -44,3 +44,10 @@ def empty_to_null(c) -> Column:
 
 def null_to_empty(c) -> Column:
     return F.coalesce(_c(c).cast("string"), F.lit(""))
+
+
+def stable_round(c, digits: int) -> Column:
+    """Round a mean of short decimals to ``digits``: first to 9 decimals,
+    which removes summation-order noise (~1e-16 relative), so an exact tie
+    such as 1.425 rounds the same way whatever the partitioning."""
+    return F.round(F.round(_c(c), 9), digits)

@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import stable_round
+
 # fixed values: risk weights of the reference
 RISK_WEIGHTS = {"model": 0.8, "affiliation": 0.1, "visitors": 0.05, "station": 0.05}
 
@@ -89,7 +91,7 @@ def rule_cluster(closure="closure_rate", affiliation="affiliation_rate",
 
 def cluster_profile(df: DataFrame, cluster: str, features: Sequence[str], digits: int = 3) -> DataFrame:
     """Mean of each feature per cluster, rounded (A10)."""
-    return df.groupBy(cluster).agg(*[F.round(F.avg(f), digits).alias(f) for f in features])
+    return df.groupBy(cluster).agg(*[stable_round(F.avg(f), digits).alias(f) for f in features])
 
 
 def cluster_sizes(df: DataFrame, cluster: str) -> DataFrame:
@@ -117,7 +119,7 @@ def cluster_kpi(df: DataFrame, cluster: str, closure="closure_rate",
     r = cluster_roles(df, cluster, closure, affiliation)
 
     def pct(c, cond):
-        return F.round(F.avg(F.when(cond, F.col(c))) * 100, 2)
+        return stable_round(F.round(F.avg(F.when(cond, F.col(c))), 9) * 100, 2)
 
     dz, op = F.col("role") == "danger", F.col("role") == "opportunity"
     return r.agg(pct(closure, dz).alias("danger_closure_pct"),

@@ -368,7 +368,7 @@ SQL["risk_benchmarks"] = F_(f"""SELECT
   (SELECT {R('avg(m)', 6)} FROM (SELECT avg(risk_score) AS m FROM risk WHERE district IS NOT NULL AND industry IS NOT NULL GROUP BY district, industry)) AS district_industry_mean_of_means,
   (SELECT {R('avg(risk_score)', 6)} FROM risk) AS row_mean""")
 
-SQL["cluster_profile"] = F_("SELECT cluster, " + ", ".join(f"{R(f'avg({c})', 3)} AS {c}" for c in CLUSTER_REPORT)
+SQL["cluster_profile"] = F_("SELECT cluster, " + ", ".join(f"{R(R(f'avg({c})', 9), 3)} AS {c}" for c in CLUSTER_REPORT)
                             + " FROM clustered GROUP BY cluster")
 SQL["cluster_sizes"] = F_("SELECT cluster, count(*) AS rows FROM clustered GROUP BY cluster")
 ROLES = """prof AS (SELECT cluster, avg(closure_rate) AS cl, avg(affiliation_rate) AS af FROM {src} GROUP BY cluster),
@@ -379,7 +379,7 @@ roles AS (SELECT *, CASE WHEN cluster = (SELECT danger FROM dz) THEN 'danger'
 
 
 def _pct(c: str, cond: str) -> str:
-    return R(f"avg(CASE WHEN {cond} THEN {c} END) * 100", 2)
+    return R(R(R(f"avg(CASE WHEN {cond} THEN {c} END)", 9) + " * 100", 9), 2)
 
 
 SQL["cluster_kpi"] = with_ctes(f"""SELECT
