@@ -196,11 +196,12 @@ def gram(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     return G
 
 
-def vif(df: DataFrame, cols: Sequence[str], centered: bool = False) -> DataFrame:
+def vif(df: DataFrame, cols: Sequence[str], centered: bool = False, high: float = 10.0) -> DataFrame:
     """Variance inflation factors (M4) after fill-0.  Uncentred (no
     intercept) like the reference's call: VIF_i = G_ii * (G^-1)_ii with
     G = X^T X.  ``centered=True`` uses the covariance matrix instead.
-    Singular designs give Infinity."""
+    Singular designs give Infinity.  ``high_vif`` flags VIF > ``high``
+    (F13)."""
     G = gram(df, cols)
     p = len(cols)
     if centered:
@@ -220,4 +221,5 @@ def vif(df: DataFrame, cols: Sequence[str], centered: bool = False) -> DataFrame
         v = float("inf") if singular or inv is None else float(M[i, i] * inv[i, i])
         out.append((c, v))
     spark = df.sparkSession
-    return spark.createDataFrame(out, "feature string, vif double").orderBy(F.col("vif").desc())
+    res = spark.createDataFrame(out, "feature string, vif double")
+    return res.withColumn("high_vif", (F.col("vif") > high).cast("int")).orderBy(F.col("vif").desc())

@@ -46,11 +46,11 @@ def check_schema(df: DataFrame, expected) -> DataFrame:
     return df
 
 
-def incremental_append(df: DataFrame, path: str, key: str) -> int:
+def incremental_append(df: DataFrame, path: str, key: str) -> None:
     """Idempotent append (S6): only rows whose ``key`` is not stored yet are
     appended (one row per key, also when the input repeats a key), so a
-    retried or repeated run adds nothing twice.  Returns the number of
-    appended rows."""
+    retried or repeated run adds nothing twice.  One distributed write; the
+    stored keys are read by the same job (anti join), nothing is cached."""
     spark = df.sparkSession
     df = df.dropDuplicates([key])
     try:
@@ -58,12 +58,7 @@ def incremental_append(df: DataFrame, path: str, key: str) -> int:
         new = df.join(stored, key, "left_anti")
     except Exception:  # first run: nothing stored yet
         new = df
-    new = new.cache()
-    n = new.count()
-    if n:
-        new.write.mode("append").parquet(path)
-    new.unpersist()
-    return n
+    new.write.mode("append").parquet(path)
 
 
 def json_flatten(df: DataFrame, col: str, schema: str, prefix: str = "") -> DataFrame:

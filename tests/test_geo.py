@@ -55,3 +55,19 @@ def test_plans_have_no_cartesian_product(spark):
         plan = registry.QUERIES[name](spark, d)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
         assert "BatchEvalPython" not in plan, name
+
+
+def test_hot_cell_salting_keeps_pairs_exact(spark):
+    rnd = random.Random(11)
+    # one dense cell (a third of all rows) plus scattered points
+    left = [(i, 35.0 + rnd.uniform(0, 0.0005), 129.0 + rnd.uniform(0, 0.0005)) for i in range(300)]
+    left += [(1000 + i, 35.0 + rnd.uniform(0, 0.02), 129.0 + rnd.uniform(0, 0.02)) for i in range(600)]
+    right = [(i, 35.0 + rnd.uniform(0, 0.0006), 129.0 + rnd.uniform(0, 0.0006)) for i in range(200)]
+    L = spark.createDataFrame(left, "id long, lat double, lon double")
+    R = spark.createDataFrame(right, "id long, lat double, lon double")
+    exp = {(a[0], b[0]) for a in left for b in right if _hav(a[1:], b[1:]) <= 100.0}
+    salted = gj.within_distance(L, R, 100.0, hot_rows=50)
+    plan = salted._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan
+    got = [(r["l_id"], r["r_id"]) for r in salted.collect()]
+    assert len(got) == len(set(got)) and set(got) == exp
