@@ -81,19 +81,28 @@ def panel_full_plan(spark, d) -> DataFrame:
 _GOLD: dict = {}
 
 
-def _gold(name: str, d: str, build, sort_keys=None):
+def _key(spark, *parts):
+    """Cache key: the running application plus the inputs, so cached frames
+    are never reused across a stopped and restarted session."""
+    return (spark.sparkContext.applicationId, *parts)
+
+
+def _gold(name: str, d: str, build, sort_keys=None, spark=None):
     """Write a gold table once per input folder to the shared checkpoint
     folder and serve later reads from it (the reference's gold tables):
     downstream analytics then start from parquet instead of re-running the
     panel plan, and a lost executor recomputes from files."""
+    from pyspark.sql import SparkSession
+
     from ..session import materialize
-    if (name, d) not in _GOLD:
-        _GOLD[(name, d)] = materialize(build(), name, sort_keys)
-    return _GOLD[(name, d)]
+    k = _key(spark or SparkSession.getActiveSession(), name, d)
+    if k not in _GOLD:
+        _GOLD[k] = materialize(build(), name, sort_keys)
+    return _GOLD[k]
 
 
 def panel_full(spark, d) -> DataFrame:
-    return _gold("gold-panel", d, lambda: panel_full_plan(spark, d), ["month", "district", "dong"])
+    return _gold("gold-panel", d, lambda: panel_full_plan(spark, d), ["month", "district", "dong"], spark)
 
 
 # ---------------------------------------------------------------- features
@@ -129,7 +138,7 @@ ROW_KEY = ["month", "district", "dong", "industry"]
 
 
 def features(spark, d) -> DataFrame:
-    return _gold("gold-features", d, lambda: features_plan(spark, d))
+    return _gold("gold-features", d, lambda: features_plan(spark, d), spark=spark)
 
 
 def features_plan(spark, d) -> DataFrame:
@@ -195,8 +204,9 @@ def explained_model(spark, d):
     from ..operators import explain as ex
     from ..operators import models as md
     from ..session import checkpoint_dir
-    if d in _MODELS:
-        return _MODELS[d]
+    k = _key(spark, d)
+    if k in _MODELS:
+        return _MODELS[k]
     mf = model_frame(spark, d)
     kind, scheme, params = md.MODEL_SPECS["GBT-xgb"]
     m = md.fit(mf.where("split = 'train'"), MODEL_FEATURES, LABEL, kind, params, scheme, SEED)
@@ -205,8 +215,8 @@ def explained_model(spark, d):
     gbt_path = os.path.join(path, "stages", sorted(os.listdir(os.path.join(path, "stages")))[-1])
     gbt = m.stages[-1]
     compiled = ex.compile_model(ex.read_trees(spark, gbt_path), gbt.treeWeights)
-    _MODELS[d] = (m, path, compiled, mf)
-    return _MODELS[d]
+    _MODELS[k] = (m, path, compiled, mf)
+    return _MODELS[k]
 
 
 _SHAP: dict = {}
@@ -217,11 +227,12 @@ def shap_long(spark, d, n: int = 5000) -> DataFrame:
     reference explains 5,000 training rows), written once to the shared
     folder: five reports read them."""
     from ..operators import explain as ex
-    if (d, n) not in _SHAP:
+    k = _key(spark, d, n)
+    if k not in _SHAP:
         m, path, compiled, mf = explained_model(spark, d)
         sample = fe.hash_sample(mf.where("split = 'train'"), ROW_KEY, n, SEED)
-        _SHAP[(d, n)] = materialize(ex.shap_values(sample, compiled, MODEL_FEATURES, ROW_KEY), "shap")
-    return _SHAP[(d, n)]
+        _SHAP[k] = materialize(ex.shap_values(sample, compiled, MODEL_FEATURES, ROW_KEY), "shap")
+    return _SHAP[k]
 
 
 _SEARCH: dict = {}
@@ -230,9 +241,10 @@ _SEARCH: dict = {}
 def search(spark, d, n_trials: int):
     """Random search over the train split (cached per input folder)."""
     from ..operators import models as md
-    if (d, n_trials) not in _SEARCH:
+    k = _key(spark, d, n_trials)
+    if k not in _SEARCH:
         mf = model_frame(spark, d)
         table, best = md.random_search(mf.where("split = 'train'"), MODEL_FEATURES, LABEL, "fold",
                                        n_trials, SEED)
-        _SEARCH[(d, n_trials)] = (materialize(table, "search"), best)
-    return _SEARCH[(d, n_trials)]
+        _SEARCH[k] = (materialize(table, "search"), best)
+    return _SEARCH[k]

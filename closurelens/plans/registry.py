@@ -408,7 +408,7 @@ def _cleaned(spark, d):
     """First-pass names written once to the shared folder: three branches
     read them, and predicates on the result are not pushed into (and do not
     duplicate) the regex chain."""
-    return domain._gold("names-clean", d, lambda: nm.clean_names(fx.raw_names(spark, d)))
+    return domain._gold("names-clean", d, lambda: nm.clean_names(fx.raw_names(spark, d)), spark=spark)
 
 
 @query("names_clean")
