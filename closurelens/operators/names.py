@@ -71,10 +71,15 @@ def resolve_hold(cleaned: DataFrame, brands: Sequence[str], min_brand_freq: int
     ``len(brands)`` rows); stop words are dropped (X34)."""
     hold = cleaned.where(F.col("result") == tx.HOLD).withColumn("name_for_brand", tx.strip_company(raw))
     hold = extract_brand(hold, brands)
-    freq = (hold.where(F.col("brand").isNotNull()).groupBy("brand").agg(F.count(F.lit(1)).alias("n"))
-            .where(F.col("n") >= min_brand_freq).select("brand"))
+    # brands frequent enough and not stop words: a table of at most
+    # len(brands) rows, applied as a broadcast semi join.  The stop-word test
+    # is an aggregate output, so the optimizer does not infer (and push into
+    # both scans) a predicate on the per-row brand expression.
+    stop = F.col("brand").isin(list(stop_words)) if stop_words else F.lit(False)
+    freq = (hold.where(F.col("brand").isNotNull()).groupBy("brand")
+            .agg(F.count(F.lit(1)).alias("n"), F.max(stop.cast("int")).alias("_stop"))
+            .where((F.col("n") >= min_brand_freq) & (F.col("_stop") == 0)).select("brand"))
     kept = hold.join(F.broadcast(freq), "brand", "left_semi")
-    kept = kept.where(~F.col("brand").isin(list(stop_words)))
     return kept.select("uid", raw, F.col("brand").alias("clean_name"), F.col("brand").alias("result"))
 
 
