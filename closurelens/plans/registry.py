@@ -626,3 +626,21 @@ def q_shap_dependence(spark, d):
 @query("shap_top_features")
 def q_shap_top_features(spark, d):
     return ex.top_features(domain.shap_long(spark, d), KEY, 6)
+
+
+@query("model_risk_scores")
+def q_model_risk_scores(spark, d):
+    """M20 + M21 as the reference runs them: the fitted boosted model scores
+    every panel row, and its probability enters the weighted risk index."""
+    m, _, _, _ = domain.explained_model(spark, d)
+    feats = md.fill_features(domain.features(spark, d), domain.MODEL_FEATURES)
+    scored = md.scores(m, feats).select(*KEY, domain.LABEL, "affiliation_rate", "visitors", "station_rate",
+                                        F.col("p1").alias("p"))
+    return rk.risk_score(scored, "p").select(*KEY, domain.LABEL, "p", "risk_raw", "risk_score")
+
+
+@query("kmeans_cluster_kpi")
+def q_kmeans_cluster_kpi(spark, d):
+    """Cluster KPIs (A12) on the k-means clusters (M2) instead of rule ids."""
+    c = cu.assign(domain.cluster_input(spark, d), domain.CLUSTER_FEATURES, 4, domain.SEED, keep=KEY)
+    return rk.cluster_kpi(c, "cluster")
