@@ -38,9 +38,11 @@ def month_dim(stores: DataFrame, start: str, end: str, *, open_col="open_month",
     from the data; months without events keep zero counts)."""
     spark = stores.sparkSession
     dim = spark.createDataFrame([(k,) for k in month_keys(start, end)], [month_col])
-    events = (stores.select(F.col(open_col).alias(month_col), F.lit(1).alias("_o"), F.lit(0).alias("_c"))
-              .unionByName(stores.select(F.col(close_col).alias(month_col), F.lit(0).alias("_o"),
-                                         F.lit(1).alias("_c")))
+    # one pass: each establishment emits its open event and its close event
+    ev = F.explode(F.array(F.struct(F.col(open_col).alias("m"), F.lit(1).alias("o"), F.lit(0).alias("c")),
+                           F.struct(F.col(close_col).alias("m"), F.lit(0).alias("o"), F.lit(1).alias("c"))))
+    events = (stores.select(ev.alias("_e"))
+              .select(F.col("_e.m").alias(month_col), F.col("_e.o").alias("_o"), F.col("_e.c").alias("_c"))
               .where(F.col(month_col).between(start, end))
               .groupBy(month_col).agg(F.sum("_o").cast("long").alias("opened"),
                                       F.sum("_c").cast("long").alias("closed")))
