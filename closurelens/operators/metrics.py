@@ -85,29 +85,34 @@ def confusion(df: DataFrame, label: str = "y", pred: str = "pred") -> DataFrame:
 
 def class_report(df: DataFrame, label: str = "y", pred: str = "pred", digits: int = 6) -> DataFrame:
     """Per-class precision / recall / F1 / support plus macro and weighted
-    averages (A18), from one aggregation of the confusion cells."""
-    c = confusion(df, label, pred)
-    tp = F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("count")).otherwise(0))
-    per = []
+    averages (A18): one aggregation of the (actual, predicted) cells into a
+    single row, exploded into the report rows."""
+    a, p = F.col(label).cast("int"), F.col(pred).cast("int")
+    s = {}
     for k in (0, 1):
-        s = c.agg(
-            F.sum(F.when((F.col("actual") == k) & (F.col("predicted") == k), F.col("count")).otherwise(0)).alias("tp"),
-            F.sum(F.when(F.col("predicted") == k, F.col("count")).otherwise(0)).alias("pp"),
-            F.sum(F.when(F.col("actual") == k, F.col("count")).otherwise(0)).alias("support"))
-        prec = F.coalesce(F.try_divide(F.col("tp"), F.col("pp")), F.lit(0.0))
-        rec = F.coalesce(F.try_divide(F.col("tp"), F.col("support")), F.lit(0.0))
+        s[f"tp{k}"] = F.count_if((a == k) & (p == k)).cast("double")
+        s[f"pp{k}"] = F.count_if(p == k).cast("double")
+        s[f"n{k}"] = F.count_if(a == k)
+    row = df.agg(*[v.alias(k) for k, v in s.items()])
+    parts = {}
+    for k in (0, 1):
+        prec = F.coalesce(F.try_divide(F.col(f"tp{k}"), F.col(f"pp{k}")), F.lit(0.0))
+        rec = F.coalesce(F.try_divide(F.col(f"tp{k}"), F.col(f"n{k}").cast("double")), F.lit(0.0))
         f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
-        per.append(s.select(F.lit(str(k)).alias("class"), prec.alias("precision"), rec.alias("recall"),
-                            f1.alias("f1"), F.col("support").cast("long").alias("support")))
-    rows = per[0].unionByName(per[1])
-    tot = rows.agg(F.sum("support").alias("n"))
-    macro = rows.agg(F.lit("macro avg").alias("class"), F.avg("precision").alias("precision"),
-                     F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),
-                     F.sum("support").cast("long").alias("support"))
-    wsum = rows.agg(F.lit("weighted avg").alias("class"),
-                    *[F.try_divide(F.sum(F.col(m) * F.col("support")), F.sum("support")).alias(m)
-                      for m in ("precision", "recall", "f1")],
-                    F.sum("support").cast("long").alias("support"))
-    del tp, tot
-    out = rows.unionByName(macro).unionByName(wsum)
+        parts[k] = (prec, rec, f1, F.col(f"n{k}"))
+    n = F.col("n0") + F.col("n1")
+
+    def wavg(i):
+        return F.try_divide(parts[0][i] * F.col("n0") + parts[1][i] * F.col("n1"), n.cast("double"))
+
+    def rec(name, prec, rc, f1, sup):
+        return F.struct(F.lit(name).alias("class"), prec.alias("precision"), rc.alias("recall"),
+                        f1.alias("f1"), sup.cast("long").alias("support"))
+
+    rows = F.array(
+        rec("0", *parts[0]), rec("1", *parts[1]),
+        rec("macro avg", (parts[0][0] + parts[1][0]) / 2, (parts[0][1] + parts[1][1]) / 2,
+            (parts[0][2] + parts[1][2]) / 2, n),
+        rec("weighted avg", wavg(0), wavg(1), wavg(2), n))
+    out = row.select(F.explode(rows).alias("_r")).select("_r.*")
     return out.withColumns({m: F.round(m, digits) for m in ("precision", "recall", "f1")})

@@ -42,12 +42,11 @@ def describe(df: DataFrame, cols: Sequence[str], exact: bool = True, accuracy: i
                  F.max(x).alias(f"{c}|max")]
     row = df.agg(*aggs)
     stats = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
-    parts = [row.select(F.lit(c).alias("feature"),
-                        *[F.col(f"`{c}|{s}`").cast("double").alias(s) for s in stats]) for c in cols]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # one output row per column from the single aggregate row (no union of
+    # branches re-reading the aggregate)
+    per = F.array(*[F.struct(F.lit(c).alias("feature"),
+                             *[F.col(f"`{c}|{s}`").cast("double").alias(s) for s in stats]) for c in cols])
+    return row.select(F.explode(per).alias("_d")).select("_d.*")
 
 
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFrame:
