@@ -47,16 +47,20 @@ def silhouette(pred: DataFrame, features: str = "features", cluster: str = "clus
 
 
 def k_sweep(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 11),
-            seed: int = 42) -> DataFrame:
+            seed: int = 42, parallelism: int = 3) -> DataFrame:
     """Elbow SSE and silhouette for each k from ONE fit per k (M3, O8) over a
     materialised matrix.  ``best`` marks the smallest k with the top
     silhouette."""
+    from concurrent.futures import ThreadPoolExecutor
     m = materialize(scaled_matrix(df, cols), "k-sweep-matrix")
-    rows = []
-    for k in ks:
+
+    def one(k):
         model = kmeans_fit(m, k, seed)
-        sil = silhouette(model.transform(m))
-        rows.append((int(k), float(model.summary.trainingCost), sil))
+        return int(k), float(model.summary.trainingCost), silhouette(model.transform(m))
+
+    # independent fits submitted concurrently (as CrossValidator's parallelism)
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        rows = sorted(pool.map(one, ks))
     spark = df.sparkSession
     out = spark.createDataFrame(rows, "k int, sse double, silhouette double")
     best = out.orderBy(F.col("silhouette").desc(), "k").select("k").limit(1).scalar()

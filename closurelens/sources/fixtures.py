@@ -203,12 +203,6 @@ def json_src(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("event_id").alias("uid"), "user_id", F.col("props").alias("response"))
 
 
-def vectors(spark: SparkSession, d: str, n_features: int = 7) -> DataFrame:
-    e = table(spark, d, "embeddings", "vec_id", "embedding", "label")
-    cols = [F.get("embedding", i).cast("double").alias(f"f{i + 1}") for i in range(n_features)]
-    return e.select(F.col("vec_id").alias("id"), *cols, F.col("label"))
-
-
 def licences(spark: SparkSession, d: str) -> DataFrame:
     """Licence rows for the study-window filter: open = order date; close
     text = a date for finished orders, unparseable text for pending ones,
