@@ -612,3 +612,17 @@ SQL["industry_map"] = with_ctes("""SELECT store_id, industry, split_part(industr
        WHEN 'FURNITURE' THEN 'retail' WHEN 'HOUSEHOLD' THEN 'services' WHEN 'MACHINERY' THEN 'manufacturing'
   END AS industry_group
 FROM stores""", [STORES])
+
+# binned Gaussian KDE (512 bins, 50 grid points, Scott bandwidth); the grid x
+# bins product is fine for an oracle
+DENS = """dx AS (SELECT CAST(closure_rate AS DOUBLE) AS x FROM full_panel
+           WHERE closure_rate IS NOT NULL AND NOT isnan(closure_rate)),
+ds AS (SELECT min(x) AS lo, max(x) AS hi, count(x) AS n, stddev_samp(x) AS sd FROM dx),
+db AS (SELECT CASE WHEN hi > lo THEN least(floor((x - lo) / (hi - lo) * 512), 511) ELSE 0 END AS b,
+              count(*) AS c FROM dx, ds GROUP BY 1),
+dm AS (SELECT lo + (b + 0.5) * ((hi - lo) / 512) AS m, c FROM db, ds),
+dg AS (SELECT lo + i * (hi - lo) / 49 AS x FROM ds, range(0, 50) t(i)),
+dh AS (SELECT greatest(coalesce(sd, 0) * pow(CAST(n AS DOUBLE), -0.2), 1e-12) AS h, n FROM ds)"""
+SQL["density"] = with_ctes(f"""SELECT 'closure_rate' AS feature, {R('dg.x', 6)} AS x,
+       {R('sum(c * exp(-0.5 * pow((dg.x - m) / h, 2))) / (n * h * 2.5066282746310002)', 6)} AS density
+FROM dg, dm, dh GROUP BY dg.x, h, n""", FCTES + [DENS])

@@ -230,7 +230,7 @@ def q_histogram(spark, d):
 
 @query("density")
 def q_density(spark, d):
-    return st.density(domain.panel_full(spark, d), "closure_rate")
+    return r6(st.density(domain.panel_full(spark, d), "closure_rate"), "x", "density")
 
 
 @query("corr_target")
