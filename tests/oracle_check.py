@@ -23,7 +23,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "NaN"
-        return round(v, 6) + 0.0
+        return (round(v, 6) if os.environ.get("ORACLE_ROUND", "1") == "1" else v) + 0.0
     if hasattr(v, "item"):
         return norm(v.item())
     if isinstance(v, (list, tuple)):
