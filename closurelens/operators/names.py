@@ -69,8 +69,12 @@ def resolve_hold(cleaned: DataFrame, brands: Sequence[str], min_brand_freq: int
     brands seen at least ``min_brand_freq`` times among HOLD rows are kept
     (A6 + J16 as an aggregate and a broadcast semi join of at most
     ``len(brands)`` rows); stop words are dropped (X34)."""
+    from ..session import materialize
     hold = cleaned.where(F.col("result") == tx.HOLD).withColumn("name_for_brand", tx.strip_company(raw))
-    hold = extract_brand(hold, brands)
+    # the HOLD rows with their brand are written once: the dictionary scan
+    # runs once per row, and predicates added downstream (semi join,
+    # embedding filters) read a stored column instead of re-running it
+    hold = materialize(extract_brand(hold, brands).select("uid", raw, "brand"), "hold-brands")
     # brands frequent enough and not stop words: a table of at most
     # len(brands) rows, applied as a broadcast semi join.  The stop-word test
     # is an aggregate output, so the optimizer does not infer (and push into
