@@ -192,12 +192,13 @@ def model_frame(spark, d) -> DataFrame:
 
 
 _MODELS: dict = {}
+TUNE_TRIALS = 6
 
 
 def explained_model(spark, d):
-    """GBT (the reference's final boosted model, re-aimed) fitted on the
-    train split and saved; returns (pipeline model, saved GBT path,
-    compiled trees).  Cached per input folder within the process."""
+    """The tuned GBT (the reference's final boosted model, re-aimed) fitted
+    on the train split and saved; returns (pipeline model, saved path,
+    compiled trees, model frame).  Cached per application and input."""
     import os
     import uuid
 
@@ -208,8 +209,10 @@ def explained_model(spark, d):
     if k in _MODELS:
         return _MODELS[k]
     mf = model_frame(spark, d)
-    kind, scheme, params = md.MODEL_SPECS["GBT-xgb"]
-    m = md.fit(mf.where("split = 'train'"), MODEL_FEATURES, LABEL, kind, params, scheme, SEED)
+    # the final model of the reference: the boosted model refitted on the
+    # train split with the best parameters of the random search
+    _, best = search(spark, d, TUNE_TRIALS)
+    m = md.fit(mf.where("split = 'train'"), MODEL_FEATURES, LABEL, "gbt", best, "pos_ratio", SEED)
     path = os.path.join(checkpoint_dir(spark), "closurelens", "models", f"gbt-{uuid.uuid4().hex}")
     m.write().overwrite().save(path)
     gbt_path = os.path.join(path, "stages", sorted(os.listdir(os.path.join(path, "stages")))[-1])

@@ -575,22 +575,18 @@ def q_model_compare(spark, d):
                       domain.LABEL)
 
 
-TUNE_TRIALS = 6
-
-
 @query("tune_search")
 def q_tune_search(spark, d):
-    table, _ = domain.search(spark, d, TUNE_TRIALS)
+    table, _ = domain.search(spark, d, domain.TUNE_TRIALS)
     return table
 
 
 @query("model_result")
 def q_model_result(spark, d):
-    mf = domain.model_frame(spark, d)
-    train, test = mf.where("split = 'train'"), mf.where("split = 'test'")
-    _, best = domain.search(spark, d, TUNE_TRIALS)
-    m = md.fit(train, domain.MODEL_FEATURES, domain.LABEL, "gbt", best, "pos_ratio", domain.SEED)
-    return md.evaluate(md.scores(m, test), domain.LABEL, "GBT tuned")
+    """The tuned model (best search parameters, refitted on train)
+    evaluated on the test split (M14)."""
+    m, _, _, mf = domain.explained_model(spark, d)
+    return md.evaluate(md.scores(m, mf.where("split = 'test'")), domain.LABEL, "GBT tuned")
 
 
 @query("feature_importance")
