@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 DONG_TARGETS = ["대저1동", "대저2동", "명지1동", "명지2동"]
 DONG_DROP = ["신호동"]
 
+# fixed values: the reference's dong pattern (anchored, for listed names) and
+# its unanchored form with a look-behind that keeps it idempotent
+# ("대저제1동" stays as it is)
 _ANCHORED = r"([가-힣]+)(\d+)동$"
-# unanchored form; the look-behind keeps it idempotent ("대저제1동" stays)
 _ALL = r"([가-힣]+)(?<!제)(\d+)동"
 
 
