@@ -84,7 +84,11 @@ _GOLD: dict = {}
 def _key(spark, *parts):
     """Cache key: the running application plus the inputs, so cached frames
     are never reused across a stopped and restarted session."""
-    return (spark.sparkContext.applicationId, *parts)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # Spark Connect: one cache per session object
+        app = spark.conf.get("spark.app.id", None) or str(id(spark))
+    return (app, *parts)
 
 
 def _gold(name: str, d: str, build, sort_keys=None, spark=None):
