@@ -36,3 +36,15 @@ def test_feature_label_counts(spark):
     # FIXTURES.md counts 1,876 positives among all 12,381 panel cells before the
     # imputation exclusions; the exclusions keep a subset of both
     assert f.count() == 8729 and 0 < f.where("closed_label = 1").count() <= 1876
+
+
+def test_imputation_branch_counts(spark):
+    from closurelens.operators import impute
+    audit = {r["impute_status"]: r["rows"] for r in impute.impute_audit(domain.imputed(spark, SF)).collect()}
+    # FIXTURES.md: 173 structural zeros over a present value, 4,060 imputed from a
+    # positive mean, 1,877 zero-mean and 1,775 no-mean cells, 4,271 cells without
+    # an affiliated store
+    assert audit["zero_override"] == 173 and audit["imputed"] == 4060
+    assert audit["zero_mean"] == 1877 and audit["no_mean"] == 1775
+    assert audit["structural_zero"] + audit["zero_override"] == 4271
+    assert sum(audit.values()) == 12381
