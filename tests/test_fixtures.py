@@ -48,3 +48,10 @@ def test_imputation_branch_counts(spark):
     assert audit["zero_mean"] == 1877 and audit["no_mean"] == 1775
     assert audit["structural_zero"] + audit["zero_override"] == 4271
     assert sum(audit.values()) == 12381
+
+
+def test_scored_fixture_auc(spark):
+    from closurelens.plans import registry
+    # FIXTURES.md: 101 distinct scores with ties, ROC-AUC 0.498177
+    assert fx.scored(spark, SF).select("p").distinct().count() == 101
+    assert registry.QUERIES["roc_auc"](spark, SF).first()["roc_auc"] == 0.498177
