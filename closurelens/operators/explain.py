@@ -85,10 +85,10 @@ def _weights(d: int) -> np.ndarray:
 
 
 def shap_matrix(X: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
-    """phi (n x p) and the model margin (n,) for a batch of rows."""
+    """phi (n x p) and the model output f(x) (n,) for a batch of rows;
+    base + phi.sum(axis=1) == f(x)."""
     n, p = X.shape
     phi = np.zeros((n, p))
-    margin = np.full(n, model["base"])
     fx = np.zeros(n)
     for v, feats in model["leaves"]:
         fl = list(feats)
@@ -116,7 +116,6 @@ def shap_matrix(X: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
                 c[:, 0] = c[:, 0] * Z[j]
                 deg += 1
             phi[:, fl[i]] += v * (O[:, i] - Z[i]) * (c[:, :d] @ wts)
-    del margin
     return phi, fx
 
 

@@ -1,6 +1,6 @@
 """Sources and sinks (S3, S5-S9, X37): CSV round trip with an explicit
-schema, versioned overwrite, idempotent incremental append, JSON flatten,
-model persistence.  Paths are expected under a shared folder (the session's
+schema, versioned and sorted writes, schema check, idempotent incremental
+append, JSON flatten.  Paths are expected under a shared folder (the session's
 ``spark.checkpoint.dir`` in tests)."""
 
 from __future__ import annotations
@@ -68,12 +68,3 @@ def json_flatten(df: DataFrame, col: str, schema: str, prefix: str = "") -> Data
     fields = parsed.schema["_j"].dataType.fieldNames()
     return parsed.select(*[c for c in df.columns if c != col],
                          *[F.col(f"_j.{f}").alias(f"{prefix}{f}") for f in fields])
-
-
-def save_model(model, path: str) -> str:
-    model.write().overwrite().save(path)
-    return path
-
-
-def load_model(cls, path: str):
-    return cls.load(path)

@@ -3,7 +3,6 @@ branches, symbols, digits, NBSP) against a direct Python transcription of
 the rules' intent."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from closurelens.functions import text as tx
 from closurelens.operators import names as nm

@@ -2,7 +2,6 @@
 key, mean of group means vs row mean from one GROUPING SETS pass, cluster
 roles named by profile, min-max scaling."""
 
-from pyspark.sql import functions as F
 
 from closurelens.operators import risk as rk
 
