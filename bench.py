@@ -20,7 +20,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-HEAVY = {"cluster_assign", "k_sweep", "silhouette", "model_risk_scores", "kmeans_cluster_kpi", "model_compare", "tune_search", "model_result",
+HEAVY = {"cluster_assign", "k_sweep", "silhouette", "model_risk_scores", "kmeans_cluster_kpi",
+         "incremental_append_stream", "model_compare", "tune_search", "model_result",
          "feature_importance", "model_roundtrip", "shap_values", "shap_importance", "shap_by_value",
          "shap_dependence", "shap_top_features"}
 

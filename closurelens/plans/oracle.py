@@ -626,3 +626,4 @@ dh AS (SELECT greatest(coalesce(sd, 0) * pow(CAST(n AS DOUBLE), -0.2), 1e-12) AS
 SQL["density"] = with_ctes(f"""SELECT 'closure_rate' AS feature, {R('dg.x', 6)} AS x,
        {R('sum(c * exp(-0.5 * pow((dg.x - m) / h, 2))) / (n * h * 2.5066282746310002)', 6)} AS density
 FROM dg, dm, dh GROUP BY dg.x, h, n""", FCTES + [DENS])
+SQL["incremental_append_stream"] = SQL["reverse_geocode"]

@@ -640,3 +640,30 @@ def q_kmeans_cluster_kpi(spark, d):
     """Cluster KPIs (A12) on the k-means clusters (M2) instead of rule ids."""
     c = cu.assign(domain.cluster_input(spark, d), domain.CLUSTER_FEATURES, 4, domain.SEED, keep=KEY)
     return rk.cluster_kpi(c, "cluster")
+
+
+@query("incremental_append_stream")
+def q_incremental_append_stream(spark, d):
+    """S6 as a stream: points land as parquet files in two overlapping
+    rounds; a foreachBatch query (trigger availableNow) geocodes each
+    micro-batch and appends only new keys.  Every point is stored once."""
+    import os
+
+    from ..sources import io as sio
+    from ..streaming.incremental import start_incremental
+    pts = fx.est_points(spark, d)
+    stations = fx.stations(spark, d)
+    base = sio.versioned_path(spark, "geocode-stream")
+    src, out, ck = (os.path.join(base, x) for x in ("landing", "table", "checkpoint"))
+    pts.where(F.col("id") % 2 == 0).write.mode("append").parquet(src)
+
+    def geocode(batch):
+        return gj.nearest(batch, stations, GEOCODE_RADIUS_M)
+
+    for _ in range(2):
+        start_incremental(spark.readStream.schema(pts.schema).parquet(src), out, "id", ck,
+                          geocode).awaitTermination()
+        pts.write.mode("append").parquet(src)
+    start_incremental(spark.readStream.schema(pts.schema).parquet(src), out, "id", ck,
+                      geocode).awaitTermination()
+    return r6(spark.read.parquet(out), "lat", "lon", "distance_m")
