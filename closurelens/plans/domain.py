@@ -32,11 +32,22 @@ def counts(spark, d) -> DataFrame:
 
 
 def rates(spark, d) -> DataFrame:
-    """Store panel with rates, dong names normalised, excluded dong removed."""
+    """Silver store panel: rates, dong names normalised, excluded dong
+    removed.  Written once per run; every later stage starts from it instead
+    of re-deriving the panel from the raw orders and lineitem."""
+    return _gold("silver-rates", d, lambda: rates_plan(spark, d), spark=spark)
+
+
+def rates_plan(spark, d) -> DataFrame:
     return population.normalize_dong(panel.panel_rates(counts(spark, d)))
 
 
 def tx_monthly(spark, d) -> DataFrame:
+    """Silver transactions, written once per run."""
+    return _gold("silver-tx", d, lambda: tx_monthly_plan(spark, d), spark=spark)
+
+
+def tx_monthly_plan(spark, d) -> DataFrame:
     """Transactions per month x dong x industry with the average ticket (A22,
     X4, X6, X13)."""
     t = fx.tx_raw(spark, d)

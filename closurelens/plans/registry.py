@@ -66,17 +66,17 @@ def q_panel_counts(spark, d):
 
 @query("panel_rates")
 def q_panel_rates(spark, d):
-    return domain.rates(spark, d)
+    return domain.rates_plan(spark, d)
 
 
 @query("tx_monthly")
 def q_tx_monthly(spark, d):
-    return domain.tx_monthly(spark, d)
+    return domain.tx_monthly_plan(spark, d)
 
 
 @query("avg_ticket")
 def q_avg_ticket(spark, d):
-    return domain.tx_monthly(spark, d).select("month", "dong", "industry", "avg_ticket")
+    return domain.tx_monthly_plan(spark, d).select("month", "dong", "industry", "avg_ticket")
 
 
 @query("panel_tx")
