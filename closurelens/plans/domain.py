@@ -266,3 +266,11 @@ def search(spark, d, n_trials: int):
                                        n_trials, SEED)
         _SEARCH[k] = (materialize(table, "search"), best)
     return _SEARCH[k]
+
+
+def matched_pairs(spark, d) -> DataFrame:
+    """Silver matched pairs of the fuzzy name + distance join, written once
+    per run; best match and the affiliation flag start from it."""
+    from ..operators import geojoin as gj
+    return _gold("silver-matched", d, lambda: gj.fuzzy_geo_match(
+        fx.geo_points(spark, d, "est"), fx.geo_points(spark, d, "mer")), spark=spark)

@@ -476,14 +476,13 @@ def q_fuzzy_geo_match(spark, d):
 
 @query("best_match")
 def q_best_match(spark, d):
-    est, mer = _geo(spark, d)
-    return _match_cols(gj.best_match(gj.fuzzy_geo_match(est, mer)))
+    return _match_cols(gj.best_match(domain.matched_pairs(spark, d)))
 
 
 @query("affiliation_flag")
 def q_affiliation_flag(spark, d):
-    est, mer = _geo(spark, d)
-    best = gj.best_match(gj.fuzzy_geo_match(est, mer))
+    est, _ = _geo(spark, d)
+    best = gj.best_match(domain.matched_pairs(spark, d))
     return gj.affiliation_flag(est.select("id", "name"), best)
 
 
