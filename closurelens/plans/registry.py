@@ -8,14 +8,29 @@ exactly with the SQL oracle."""
 from __future__ import annotations
 
 from collections.abc import Callable
+import os as _os
+import uuid as _uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import domain
 from ..functions.dates import months_between_keys
+from ..functions.numeric import parse_numeric
+from ..operators import clean as cl
+from ..operators import cluster as cu
+from ..operators import explain as ex
+from ..operators import features as fe
+from ..operators import geojoin as gj
 from ..operators import impute, keys, panel, population
+from ..operators import metrics as mt
+from ..operators import models as md
+from ..operators import names as nm
+from ..operators import risk as rk
+from ..operators import stats as st
+from ..session import checkpoint_dir
 from ..sources import fixtures as fx
-from . import domain
+from ..sources import io as sio
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -154,9 +169,6 @@ def q_key_diff(spark, d):
 
 
 # ---------------------------------------------------------------- features, stats
-from ..operators import features as fe  # noqa: E402
-from ..operators import risk as rk  # noqa: E402
-from ..operators import stats as st  # noqa: E402
 
 KEY = domain.ROW_KEY
 
@@ -310,14 +322,7 @@ def q_cluster_top_areas(spark, d):
 
 
 # ---------------------------------------------------------------- sources, cleaning, metrics
-import os as _os  # noqa: E402
-import uuid as _uuid  # noqa: E402
 
-from ..operators import clean as cl  # noqa: E402
-from ..operators import metrics as mt  # noqa: E402
-from ..functions.numeric import parse_numeric  # noqa: E402
-from ..session import checkpoint_dir  # noqa: E402
-from ..sources import io as sio  # noqa: E402
 
 STUDY_START, STUDY_END = "2000-01-01 00:00:00", "2001-09-30 00:00:00"
 
@@ -397,7 +402,6 @@ def q_average_precision(spark, d):
 
 
 # ---------------------------------------------------------------- merchant names
-from ..operators import names as nm  # noqa: E402
 
 # frequency threshold for brands among HOLD rows on the fixture (the
 # reference's 500 presumes a city-sized merchant table)
@@ -440,7 +444,6 @@ def q_names_embed_ready(spark, d):
 
 
 # ---------------------------------------------------------------- spatial and fuzzy joins
-from ..operators import geojoin as gj  # noqa: E402
 
 GEOCODE_RADIUS_M = 2000.0
 
@@ -519,7 +522,6 @@ def q_stratified_folds(spark, d):
 def q_incremental_append(spark, d):
     """Geocoded points appended in two overlapping batches, the second one
     repeated: the stored table holds every point exactly once."""
-    from ..sources import io as sio
     pts = gj.nearest(fx.est_points(spark, d), fx.stations(spark, d), GEOCODE_RADIUS_M)
     path = sio.versioned_path(spark, "geocoded")
     first = pts.where(F.col("id") % 2 == 0)
@@ -533,15 +535,12 @@ def q_incremental_append(spark, d):
 def q_model_roundtrip(spark, d):
     from pyspark.ml import PipelineModel
 
-    from ..operators import models as md
     m, path, _, mf = domain.explained_model(spark, d)
     loaded = PipelineModel.load(path)
     return md.scores(loaded, mf.where("split = 'test'")).select(*KEY, domain.LABEL, "prediction", "p1")
 
 
 # ---------------------------------------------------------------- clustering and models
-from ..operators import cluster as cu  # noqa: E402
-from ..operators import models as md  # noqa: E402
 
 
 @query("cluster_assign")
@@ -595,7 +594,6 @@ def q_feature_importance(spark, d):
 
 
 # ---------------------------------------------------------------- attributions
-from ..operators import explain as ex  # noqa: E402
 
 
 @query("shap_values")
@@ -648,7 +646,6 @@ def q_incremental_append_stream(spark, d):
     micro-batch and appends only new keys.  Every point is stored once."""
     import os
 
-    from ..sources import io as sio
     from ..streaming.incremental import start_incremental
     pts = fx.est_points(spark, d)
     stations = fx.stations(spark, d)
