@@ -14,13 +14,17 @@ from ..functions.numeric import flag, parse_numeric, safe_log1p
 
 def label_codes(df: DataFrame, cols: Sequence[str], suffix: str = "_code") -> DataFrame:
     """Label encoding = rank of the value among the sorted distinct values,
-    from 0 (W8).  The distinct set is dimension-sized (dongs, industries,
-    districts); it is ranked on its own and joined back with a broadcast."""
+    from 0 (W8).  The distinct values are ranked with the distributed prefix
+    sum (range partitioning + per-partition offsets), not a single-partition
+    window, and joined back; AQE turns the join into a broadcast at run time
+    when the measured distinct set is small."""
+    from .metrics import prefix_sums
     out = df
     for c in cols:
-        dim = df.select(c).where(F.col(c).isNotNull()).distinct()
-        dim = dim.withColumn(f"{c}{suffix}", (F.dense_rank().over(Window.orderBy(c)) - 1).cast("int"))
-        out = out.join(F.broadcast(dim), c, "left")
+        dim = df.select(c).where(F.col(c).isNotNull()).distinct().withColumn("_one", F.lit(1.0))
+        ranked = prefix_sums(dim, c, ["_one"])
+        dim = ranked.select(c, (F.col("cum__one") - 1).cast("int").alias(f"{c}{suffix}"))
+        out = out.join(dim, c, "left")
     return out
 
 
