@@ -1,6 +1,7 @@
 """Run queries() against oracle_sql() the way the driver does: row count,
-column names (sorted) and an order-insensitive multiset of rows with floats
-rounded.  Usage: python tests/oracle_check.py [sf_dir] [name ...]"""
+column names (sorted) and an order-insensitive multiset of rows.  Doubles are
+compared exactly (ORACLE_ROUND=1 rounds them to 6 decimals instead).
+Usage: python tests/oracle_check.py [sf_dir] [name ...]"""
 
 from __future__ import annotations
 
@@ -23,7 +24,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "NaN"
-        return (round(v, 6) if os.environ.get("ORACLE_ROUND", "1") == "1" else v) + 0.0
+        return (round(v, 6) if os.environ.get("ORACLE_ROUND", "0") == "1" else v) + 0.0
     if hasattr(v, "item"):
         return norm(v.item())
     if isinstance(v, (list, tuple)):
