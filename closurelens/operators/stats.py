@@ -163,7 +163,8 @@ def mutual_info(df: DataFrame, cols: Sequence[str], label: str, bins: int = 10)
          .withColumn("nx", F.sum("n").over(Window.partitionBy("feature", "bin")))
          .withColumn("ny", F.sum("n").over(Window.partitionBy("feature", "y"))))
     term = (F.col("n") / F.col("tot")) * F.log((F.col("n") * F.col("tot")) / (F.col("nx") * F.col("ny")))
-    return c.groupBy("feature").agg(F.round(F.sum(term), 6).alias("mutual_info"))
+    return (c.groupBy("feature").agg(F.round(F.sum(term), 6).alias("mutual_info"))
+            .orderBy(F.col("mutual_info").desc(), "feature"))
 
 
 def group_top(scores: DataFrame, groups: Mapping[str, Sequence[str]], feature: str = "feature",
