@@ -66,3 +66,13 @@ def test_sorted_write_and_schema_check(spark, tmp_path):
     io.check_schema(back, df.schema)
     with pytest.raises(ValueError):
         io.check_schema(back.withColumnRenamed("k", "x"), df.schema)
+
+
+def test_label_codes_distributed_rank(spark):
+    from closurelens.operators.features import label_codes
+    vals = [f"v{i:04d}" for i in range(1000)]
+    rows = [(v,) for v in vals for _ in range(2)] + [(None,)]
+    df = spark.createDataFrame(rows, "c string").repartition(5)
+    got = {r["c"]: r["c_code"] for r in label_codes(df, ["c"]).collect()}
+    assert got[None] is None
+    assert all(got[v] == i for i, v in enumerate(sorted(vals)))
