@@ -76,3 +76,18 @@ def test_label_codes_distributed_rank(spark):
     got = {r["c"]: r["c_code"] for r in label_codes(df, ["c"]).collect()}
     assert got[None] is None
     assert all(got[v] == i for i, v in enumerate(sorted(vals)))
+
+
+def test_stratified_folds_balanced(spark):
+    from pyspark.sql import functions as F
+
+    from closurelens.operators.features import stratified_folds
+    rows = [(i, int(i % 7 == 0)) for i in range(20000)]
+    df = spark.createDataFrame(rows, "k long, y int")
+    f = stratified_folds(df, ["k"], "y", k=3, seed=42)
+    counts = {(r["y"], r["fold"]): r["n"] for r in f.groupBy("y", "fold").agg(F.count("*").alias("n")).collect()}
+    assert set(f.select("fold").distinct().toPandas()["fold"]) == {0, 1, 2}
+    for y in (0, 1):
+        sizes = [counts[(y, k)] for k in range(3)]
+        assert max(sizes) - min(sizes) <= 64, sizes
+    assert f.count() == 20000
