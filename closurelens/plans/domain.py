@@ -271,3 +271,20 @@ def matched_pairs(spark, d) -> DataFrame:
     from ..operators import geojoin as gj
     return _gold("silver-matched", d, lambda: gj.fuzzy_geo_match(
         fx.geo_points(spark, d, "est"), fx.geo_points(spark, d, "mer")), spark=spark)
+
+
+_KMEANS: dict = {}
+
+
+def kmeans_clusters(spark, d, k: int = 4):
+    """The k-means clustering of the reference (k=4, seed 42) fitted once per
+    run on the standardised panel matrix: (model, assignments with the
+    feature vector).  Cluster ids, silhouette and KPIs all use this one fit."""
+    from ..operators import cluster as cu
+    key = _key(spark, d, k)
+    if key not in _KMEANS:
+        m = materialize(cu.scaled_matrix(cluster_input(spark, d), CLUSTER_FEATURES, keep=ROW_KEY), "kmeans-matrix")
+        model = cu.kmeans_fit(m, k, SEED)
+        pred = materialize(model.transform(m).withColumn("cluster", F.col("cluster").cast("int")), "kmeans-pred")
+        _KMEANS[key] = (model, pred)
+    return _KMEANS[key]

@@ -545,7 +545,8 @@ def q_model_roundtrip(spark, d):
 
 @query("cluster_assign")
 def q_cluster_assign(spark, d):
-    return cu.assign(domain.cluster_input(spark, d), domain.CLUSTER_FEATURES, 4, domain.SEED, keep=KEY)
+    _, pred = domain.kmeans_clusters(spark, d)
+    return pred.drop("features")
 
 
 @query("k_sweep")
@@ -555,10 +556,8 @@ def q_k_sweep(spark, d):
 
 @query("silhouette")
 def q_silhouette(spark, d):
-    from ..session import materialize
-    m = materialize(cu.scaled_matrix(domain.cluster_input(spark, d), domain.CLUSTER_FEATURES), "sil-matrix")
-    s = cu.silhouette(cu.kmeans_fit(m, 4, domain.SEED).transform(m))
-    return spark.createDataFrame([(4, s)], "k int, silhouette double")
+    _, pred = domain.kmeans_clusters(spark, d)
+    return spark.createDataFrame([(4, cu.silhouette(pred))], "k int, silhouette double")
 
 
 @query("vif")
@@ -635,8 +634,8 @@ def q_model_risk_scores(spark, d):
 @query("kmeans_cluster_kpi")
 def q_kmeans_cluster_kpi(spark, d):
     """Cluster KPIs (A12) on the k-means clusters (M2) instead of rule ids."""
-    c = cu.assign(domain.cluster_input(spark, d), domain.CLUSTER_FEATURES, 4, domain.SEED, keep=KEY)
-    return rk.cluster_kpi(c, "cluster")
+    _, pred = domain.kmeans_clusters(spark, d)
+    return rk.cluster_kpi(pred.drop("features"), "cluster")
 
 
 @query("incremental_append_stream")
