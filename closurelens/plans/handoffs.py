@@ -13,6 +13,7 @@ from ..operators import cluster as cu
 from ..operators import geojoin as gj
 from ..operators import names as nm
 from ..operators import risk as rk
+from ..session import checkpoint_dir
 from ..sources import fixtures as fx
 from ..sources import io
 from . import domain
@@ -31,7 +32,7 @@ def _write(df, root: str, name: str, sort_keys=None) -> str:
 
 def write_stage_tables(spark: SparkSession, sf_dir: str, root: str | None = None,
                        min_brand_freq: int = 3) -> dict[str, str]:
-    root = root or os.path.join(spark.conf.get("spark.checkpoint.dir"), "closurelens", "stages")
+    root = root or os.path.join(checkpoint_dir(spark), "closurelens", "stages")
     out: dict[str, str] = {}
     # merchant names -> matched establishments -> affiliation flag
     cleaned = nm.clean_names(fx.raw_names(spark, sf_dir))
