@@ -39,3 +39,13 @@ def test_population_single_aggregation(spark):
     txt = _formatted(registry.QUERIES["ratio_pivot"](spark, SF))
     # the three pivots share one grouped aggregation (partial + final)
     assert txt.count("HashAggregate (") == 2
+
+
+def test_fuzzy_match_evaluates_expensive_values_once(spark):
+    txt = _formatted(registry.QUERIES["fuzzy_geo_match"](spark, SF))
+    cond = txt[txt.find("Join condition"):]
+    cond = cond[:cond.find("\n")]
+    # the join condition keeps only cheap tests; distance and edit distance are
+    # generator outputs computed once per candidate
+    assert "levenshtein" not in cond.lower() and "ASIN" not in cond
+    assert txt.count("Generate ") >= 3
