@@ -49,3 +49,11 @@ def test_fuzzy_match_evaluates_expensive_values_once(spark):
     # generator outputs computed once per candidate
     assert "levenshtein" not in cond.lower() and "ASIN" not in cond
     assert txt.count("Generate ") >= 3
+
+
+def test_panel_counts_two_shuffles(spark):
+    import re
+    txt = _formatted(registry.QUERIES["panel_counts"](spark, SF))
+    shuffles = re.findall(r"^\(\d+\) Exchange$", txt, re.M)
+    # lineitem reduced per order, then the single panel aggregation
+    assert len(shuffles) == 2, shuffles
