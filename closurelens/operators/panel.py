@@ -116,20 +116,20 @@ def panel_counts(stores: DataFrame, start: str, end: str, keys: Sequence[str] =
     end_d = key_to_date(F.lit(end))
     hi = F.when(F.col(close_col).isNull(), end_d).otherwise(
         F.least(F.add_months(key_to_date(close_col), -1), end_d))
-    alive = F.when(lo <= hi, F.transform(
-        F.sequence(lo, hi, F.expr("INTERVAL 1 MONTH")),
-        lambda m: F.struct(m.alias("d"), F.lit(1).alias("a"), F.lit(0).alias("c"))))
-    closed = F.when(F.col(close_col).isin(month_keys(start, end)), F.array(
-        F.struct(key_to_date(close_col).alias("d"), F.lit(0).alias("a"), F.lit(1).alias("c"))))
-    empty = F.array().cast("array<struct<d:date,a:int,c:int>>")
+    # alive months are all strictly before the close month, so an event is a
+    # closing event exactly when its month is the (in-window) close month
+    close_d = F.when(F.col(close_col).isin(month_keys(start, end)), key_to_date(close_col))
+    empty = F.array().cast("array<date>")
+    alive = F.when(lo <= hi, F.sequence(lo, hi, F.expr("INTERVAL 1 MONTH")))
+    closed = F.when(close_d.isNotNull(), F.array(close_d))
     events = F.concat(F.coalesce(alive, empty), F.coalesce(closed, empty))
-    u = (stores.select(*keys, open_col, _is1(affiliated_col).cast("int").alias("_f"),
-                       _is1(station_col).cast("int").alias("_s"), F.explode(events).alias("_e"))
-         .select(date_to_key("_e.d").alias(month_col), *keys, F.col("_e.a").alias("_a"),
-                 F.col("_e.c").alias("_c"), (F.col("_f") * F.col("_e.a")).alias("_f"),
-                 (F.col("_s") * F.col("_e.a")).alias("_s"),
-                 F.when(F.col("_e.a") == 1, (F.year("_e.d") - F.year(open_d)) * 12
-                        + F.month("_e.d") - F.month(open_d)).alias("months_open")))
+    u = stores.select(*keys, open_col, close_d.alias("_cd"), _is1(affiliated_col).cast("int").alias("_f"),
+                      _is1(station_col).cast("int").alias("_s"), F.explode(events).alias("_d"))
+    is_c = F.coalesce(F.col("_d") == F.col("_cd"), F.lit(False)).cast("int")
+    u = u.select(date_to_key("_d").alias(month_col), *keys, (1 - is_c).alias("_a"), is_c.alias("_c"),
+                 (F.col("_f") * (1 - is_c)).alias("_f"), (F.col("_s") * (1 - is_c)).alias("_s"),
+                 F.when(is_c == 0, (F.year("_d") - F.year(open_d)) * 12
+                        + F.month("_d") - F.month(open_d)).alias("months_open"))
     any_null = F.lit(False)
     for k in (month_col, *keys):
         any_null = any_null | F.col(k).isNull()
