@@ -7,16 +7,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from closurelens.llm import ngram_join
+from closurelens.llm import decontaminate, ngram_join, pii, secrets_ledger
 from closurelens.llm.common import table
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_ledger.scan(table(spark, sf_dir, "documents"), secrets_ledger.new_ledger(spark))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pii": op3_pii,
+    "op4_secret_scan": op4_secret_scan,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_pii": pii.oracle(),
+    "op4_secret_scan": secrets_ledger.oracle(),
+}
