@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from closurelens.llm import decontaminate, ngram_join, pii, secrets_ledger, toxicity
+from closurelens.llm import (decontaminate, html_extract, ngram_join, pii, secrets_ledger, toxicity,
+                              va_search, warc)
 from closurelens.llm.common import table
 
 
@@ -31,9 +32,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op3_pii": op3_pii,
     "op4_secret_scan": op4_secret_scan,
+    "op7_warc": op7_warc,
+    "op9_exact_top_k": op9_exact_top_k,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_toxicity": op10_toxicity,
@@ -42,4 +58,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op3_pii": pii.oracle(),
     "op4_secret_scan": secrets_ledger.oracle(),
+    "op7_warc": warc.oracle(),
+    "op9_exact_top_k": va_search.oracle(),
 }
