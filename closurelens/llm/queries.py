@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from closurelens.llm import (decontaminate, html_extract, ngram_join, pii, secrets_ledger, toxicity,
-                              va_search, warc)
+from closurelens.llm import (decontaminate, html_extract, mixing, ngram_join, pii, secrets_ledger,
+                              substring_dedup, toxicity, va_search, warc)
 from closurelens.llm.common import table
 
 
@@ -44,9 +44,19 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_search.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_pii": op3_pii,
+    "op6_mixing": op6_mixing,
     "op4_secret_scan": op4_secret_scan,
     "op7_warc": op7_warc,
     "op9_exact_top_k": op9_exact_top_k,

@@ -1,22 +1,46 @@
-"""Corpus pipeline: toxicity, near copies, benchmark passages, personal data and
-source mixing over the table documents, each stage written and read again."""
+"""Corpus pipeline over the table documents: toxic documents go, one document of
+each group of near copies stays, documents with benchmark passages go, personal
+data is replaced by its kind, and documents are sampled to the target mix.  Each
+stage is written as Parquet to the shared folder and read again by the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from closurelens.llm import decontaminate, mixing, ngram_join, pii, toxicity
 from closurelens.llm.common import table
-from closurelens.llm.ngram_join import keep_one_of_each
 from closurelens.session import materialize
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one_of_each(docs)
+    return ngram_join.keep_one_of_each(docs)
+
+
+def drop_leaked_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.sample_to_targets(docs)
 
 
-STAGES = [("near_copies", drop_near_copies)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("decontamination", drop_leaked_benchmarks),
+    ("personal_data", redact_personal_data),
+    ("mixing", mix_sources),
+]
 
-#: trained scores and MinHash candidates have no SQL form
+#: trained scores, MinHash candidates and raking have no SQL form
 ORACLE_SQL = None
 
 
