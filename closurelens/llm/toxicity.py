@@ -9,7 +9,7 @@ fitted on the features of the same rows (``TRAIN_ROWS`` rows of a few numbers).
 
 Scoring: a token matches a term when the token, or for a word beginning its
 start, is within the allowed edits (none under five letters, one up to eight,
-two beyond; beginnings allow none).  A hit counts as quotation when it stands in
+two beyond; beginnings and terms of weak evidence allow none).  A hit counts as quotation when it stands in
 quotation marks or a reporting word stands in the ``WINDOW`` words before it,
 as address when a second-person word is near; quoted and other hits are separate
 features.  Only the text enters a score.
@@ -35,7 +35,9 @@ from closurelens.llm.common import text_of
 from closurelens.session import materialize
 
 TRAIN_ROWS = 20_000
-TERMS = 120
+TERMS = 60
+#: least signed log-likelihood ratio of a term, least log odds of one that allows edits
+MIN_RATIO, FUZZY_FROM = 30.0, 4.0
 STEM_LENGTHS = (4, 5, 6, 7)
 MIN_DOCS = 4
 WINDOW = 5
@@ -58,16 +60,16 @@ class Trie:
     pieces untouched, as the token's start, its end or inside it; tokens without
     such a piece are not walked."""
 
-    def __init__(self, terms: list[tuple[str, bool]]):
-        self.terms = terms
+    def __init__(self, terms: list[tuple[str, bool, bool]]):
+        self.allowed = [edits_allowed(t) if fuzzy else 0 for t, _, fuzzy in terms]
         self.root: list = [{}, -1, 0]
-        self.stems = {t: i for i, (t, stem) in enumerate(terms) if stem}
-        self.words = {t: i for i, (t, stem) in enumerate(terms) if not stem}
+        self.stems = {t: i for i, (t, stem, _) in enumerate(terms) if stem}
+        self.words = {t: i for i, (t, stem, _) in enumerate(terms) if not stem}
         self.starts: set[str] = set()
         self.ends: set[str] = set()
         self.inside: set[str] = set()
         for term, i in self.words.items():
-            e = edits_allowed(term)
+            e = self.allowed[i]
             if not e:
                 continue
             cut = [len(term) * j // (e + 1) for j in range(e + 2)]
@@ -82,9 +84,9 @@ class Trie:
             node[1], node[2] = i, max(node[2], e)
         self.start_sizes = sorted({len(x) for x in self.starts})
         self.end_sizes = sorted({len(x) for x in self.ends})
-        fuzzy = [t for t in self.words if edits_allowed(t)]
-        self.shortest = min((len(t) - edits_allowed(t) for t in fuzzy), default=10**9)
-        self.longest = max((len(t) + edits_allowed(t) for t in fuzzy), default=0)
+        spread = [(len(t), self.allowed[i]) for t, i in self.words.items() if self.allowed[i]]
+        self.shortest = min((n - e for n, e in spread), default=10**9)
+        self.longest = max((n + e for n, e in spread), default=0)
 
     def find(self, token: str) -> tuple[int, int] | None:
         """(term number, edits) of the nearest term, None if none is near enough."""
@@ -105,40 +107,62 @@ class Trie:
         return None
 
     def walk(self, token: str) -> tuple[int, int] | None:
-        """The Levenshtein automaton of the token, whose states are rows of edit
-        counts, stepped along the trie; a branch ends when every count of its row
-        is over what the terms below allow."""
+        """The Levenshtein automaton of the token stepped along the trie.  Its state
+        is one integer per number of edits, whose bit j tells that the letters so
+        far are within that many edits of the token's first j letters; a branch
+        ends when no bit is left within what the terms below allow."""
+        n, full = len(token), (2 << len(token)) - 1
+        at: dict[str, int] = {}
+        for j, t in enumerate(token):
+            at[t] = at.get(t, 0) | 1 << j
         best = None
-        stack = [(self.root, list(range(len(token) + 1)))]
+        stack = [(self.root, 1, 3 & full, 7 & full)]
         while stack:
-            (children, term, _), row = stack.pop()
-            if term >= 0 and row[-1] <= edits_allowed(self.terms[term][0]):
-                if best is None or (row[-1], term) < (best[1], best[0]):
-                    best = (term, row[-1])
+            (children, _, _), r0, r1, r2 = stack.pop()
             for c, node in children.items():
-                new = [row[0] + 1]
-                for j, t in enumerate(token):
-                    new.append(min(row[j] + (t != c), row[j + 1] + 1, new[j] + 1))
-                if min(new) <= node[2]:
-                    stack.append((node, new))
+                hit = at.get(c, 0)
+                s0 = (r0 & hit) << 1
+                s1 = ((r1 & hit) << 1 | r0 | r0 << 1 | s0 << 1) & full
+                s2 = ((r2 & hit) << 1 | r1 | r1 << 1 | s1 << 1) & full if node[2] > 1 else 0
+                if not (s0 | s1 | s2):
+                    continue
+                term = node[1]
+                if term >= 0:
+                    edits = 0 if s0 >> n else 1 if s1 >> n else 2 if s2 >> n else 3
+                    if edits <= self.allowed[term] and (best is None or (edits, term) < (best[1], best[0])):
+                        best = (term, edits)
+                stack.append((node, s0, s1, s2))
         return best
 
 
 class Matcher(dict):
     """token as written -> (hit or None, plain token); bounded."""
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    def __init__(self, terms: list[tuple[str, bool, bool]]):
         super().__init__()
         self.trie = Trie(terms)
+        self.some = bool(terms)
 
     def __missing__(self, token: str):
         if len(self) >= 300_000:
             self.clear()
         plain = EDGES.sub("", token.lower())
-        out = self[token] = self.trie.find(plain) if plain and self.trie.terms else None
+        out = self[token] = self.trie.find(plain) if plain and self.some else None
         return out
 
 
+_MATCHERS: dict[tuple, Matcher] = {}
+
+
+def matcher(terms: list[tuple[str, bool, bool]]) -> Matcher:
+    """The matcher of a lexicon, kept by the worker for its next tasks."""
+    key = tuple(terms)
+    if key not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[key] = Matcher(terms)
+    return _MATCHERS[key]
+
+
 def features(text: str, match: Matcher, weight: np.ndarray, fuzzy: np.ndarray) -> list[float]:
     """Feature row of one whole text."""
     tokens = text.split()
@@ -217,7 +241,7 @@ def choose_terms(rows: list, n_toxic: int, n_other: int) -> list[tuple[str, bool
     ranked = sorted(((llr(a, b), t, s, a, b) for t, s, a, b in rows), key=lambda r: (-r[0], r[1], not r[2]))
     out: list[tuple[str, bool, float]] = []
     for score, term, stem, a, b in ranked:
-        if score < 20 or len(out) >= TERMS:
+        if score < MIN_RATIO or len(out) >= TERMS:
             break
         if stem:
             near = [r for r in by_start.get(term, []) if r[2] >= 0.9 * a]
@@ -250,7 +274,7 @@ class Model:
     """Lexicon and weights; a few kilobytes, sent with the tasks."""
 
     def __init__(self, terms: list[tuple[str, bool, float]], share: float):
-        self.terms = [(t, s) for t, s, _ in terms]
+        self.terms = [(t, s, w >= FUZZY_FROM) for t, s, w in terms]
         self.weight = np.array([w for _, _, w in terms])
         # a misspelling is weaker evidence than the term; train() lowers it by what it saw
         self.fuzzy = self.weight * 0.5
@@ -271,9 +295,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     sample = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
               .groupBy("doc_id").agg(F.max("toxic").cast("boolean").alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    # at most `rows` rows of an id and a flag
+    # at most `rows` rows of an id and a flag; copies of a text count once
     texts = materialize(docs.select("doc_id", text_of().alias("text"))
-                        .join(F.broadcast(sample), "doc_id").select("text", "toxic"), "toxic-sample")
+                        .join(F.broadcast(sample), "doc_id")
+                        .groupBy("text").agg(F.max("toxic").alias("toxic")), "toxic-sample")
     n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     n_toxic, n_other = n.get(True, 0), n.get(False, 0)
     if not n_toxic or not n_other:
@@ -286,7 +311,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     model = Model(choose_terms([tuple(r) for r in top.collect()], n_toxic, n_other), n_toxic / (n_toxic + n_other))
 
     def misspelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match, seen = Matcher(model.terms), Counter()
+        match, seen = matcher(model.terms), Counter()
         for b in batches:
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
                 hits = {h[0] for h in map(match.__getitem__, text.split()) if h and h[1]}
@@ -304,7 +329,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         model.fuzzy[i] = min(0.5 * w, max(0.0, learned))
 
     def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = Matcher(model.terms)
+        match = matcher(model.terms)
         for b in batches:
             x = model.rows(b.column("text").to_pylist(), match)
             yield pa.RecordBatch.from_arrays(
@@ -318,7 +343,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = Matcher(model.terms)
+        match = matcher(model.terms)
         for b in batches:
             s = model.score(b.column("__text").to_pylist(), match)
             yield pa.RecordBatch.from_arrays(
