@@ -22,7 +22,7 @@ is the share of toxic rows (0 without rows); one result row per input row.
 
 from __future__ import annotations
 
-import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,7 +41,8 @@ MIN_RATIO, FUZZY_FROM = 30.0, 4.0
 STEM_LENGTHS = (4, 5, 6, 7)
 MIN_DOCS = 4
 WINDOW = 5
-EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+#: stripped from the ends of a token
+EDGES = string.punctuation + "“”„«»‘’¿¡…–—"
 #: fixed word lists: reporting words, second person, quotation marks
 REPORTING = frozenset("said says wrote writes called quote quoted quoting term word phrase slur insult "
                       "mot terme insulte wort begriff palabra insulto dit sagt dijo".split())
@@ -146,7 +147,7 @@ class Matcher(dict):
     def __missing__(self, token: str):
         if len(self) >= 300_000:
             self.clear()
-        plain = EDGES.sub("", token.lower())
+        plain = token.lower().strip(EDGES)
         out = self[token] = self.trie.find(plain) if plain and self.some else None
         return out
 
@@ -175,8 +176,8 @@ def features(text: str, match: Matcher, weight: np.ndarray, fuzzy: np.ndarray) -
     for i, (term, edits) in hits:
         w = weight[term] if edits == 0 else fuzzy[term]
         token = tokens[i]
-        before = [EDGES.sub("", t.lower()) for t in tokens[max(0, i - WINDOW):i]]
-        after = [EDGES.sub("", t.lower()) for t in tokens[i + 1:i + 1 + WINDOW]]
+        before = [t.lower().strip(EDGES) for t in tokens[max(0, i - WINDOW):i]]
+        after = [t.lower().strip(EDGES) for t in tokens[i + 1:i + 1 + WINDOW]]
         in_quotes = token[0] in QUOTES or (token.rstrip(".,;:!?")[-1:] or " ") in QUOTES
         if in_quotes or any(t in REPORTING for t in before):
             quoted_sum += w
@@ -210,7 +211,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            plain = {EDGES.sub("", t) for t in text.lower().split()}
+            plain = {t.strip(EDGES) for t in text.lower().split()}
             keys = {(w, False) for w in plain if len(w) >= 3}
             keys |= {(w[:n], True) for w in plain for n in STEM_LENGTHS if len(w) > n}
             seen[int(toxic)].update(keys)
