@@ -28,9 +28,9 @@ def guarded_ratio(num, den, scale: int = 2) -> Column:
 
 
 def safe_log1p(c) -> Column:
-    """``log1p`` defined for ``x > -1`` (X19); null otherwise."""
+    """``log1p`` defined for ``x >= 0`` (X19, F16); null otherwise."""
     c = _c(c)
-    return F.when(c > -1, F.log1p(c))
+    return F.when(c >= 0, F.log1p(c))
 
 
 def flag(pred: Column) -> Column:

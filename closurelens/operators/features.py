@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_number
-from ..functions.numeric import flag, parse_numeric, safe_log1p
+from ..functions.numeric import flag, nan_to_null, parse_numeric, safe_log1p
 
 
 def label_codes(df: DataFrame, cols: Sequence[str], suffix: str = "_code") -> DataFrame:
@@ -53,8 +53,9 @@ def rolling_trend(df: DataFrame, value: str, partition: Sequence[str], order: Se
 
 
 def closure_label(df: DataFrame, rate: str = "closure_rate", name: str = "closed_label") -> DataFrame:
-    """Label = rate > 0 on the ROUNDED rate (traps 2 and 29)."""
-    return df.withColumn(name, flag(F.col(rate) > 0))
+    """Label = rate > 0 on the ROUNDED rate (traps 2 and 29); null and NaN rates
+    give 0 (trap 20)."""
+    return df.withColumn(name, flag(nan_to_null(F.col(rate).cast("double")) > 0))
 
 
 def add_month_number(df: DataFrame, month_col: str = "month", name: str = "month_num") -> DataFrame:

@@ -51,16 +51,25 @@ def month_dim(stores: DataFrame, start: str, end: str, *, open_col="open_month",
                     F.coalesce("closed", F.lit(0)).cast("long").alias("closed")))
 
 
+def _alive_bounds(start: str, end: str, open_col: str, close_col: str):
+    """First and last alive month inside the window.  ``greatest`` and ``least``
+    skip nulls, so an unknown open month, or a close month that is given but not
+    a month, is made a null bound: such a row is alive in no month."""
+    open_d, close_d = key_to_date(open_col), key_to_date(close_col)
+    end_d = key_to_date(F.lit(end))
+    lo = F.when(open_d.isNotNull(), F.greatest(open_d, key_to_date(F.lit(start))))
+    hi = (F.when(F.col(close_col).isNull(), end_d)
+          .when(close_d.isNotNull(), F.least(F.add_months(close_d, -1), end_d)))
+    return lo, hi
+
+
 def alive_rows(stores: DataFrame, start: str, end: str, *, open_col="open_month",
                close_col="close_month", month_col="month") -> DataFrame:
     """One row per (establishment, month) alive in the window (J2 + F7):
     ``open <= m`` and ``(close IS NULL OR close > m)``.  ``sequence`` raises
     when its bounds are reversed, so reversed (close < open) rows give a null
     array and explode nothing."""
-    lo = F.greatest(key_to_date(open_col), key_to_date(F.lit(start)))
-    end_d = key_to_date(F.lit(end))
-    hi = F.when(F.col(close_col).isNull(), end_d).otherwise(
-        F.least(F.add_months(key_to_date(close_col), -1), end_d))
+    lo, hi = _alive_bounds(start, end, open_col, close_col)
     months = F.when(lo <= hi, F.sequence(lo, hi, F.expr("INTERVAL 1 MONTH")))
     return (stores.withColumn("_m", F.explode(months))
             .withColumn(month_col, date_to_key("_m")).drop("_m")
@@ -112,10 +121,7 @@ def panel_counts(stores: DataFrame, start: str, end: str, keys: Sequence[str] =
     separate alive-side and closed-side rows: the side tag joins the grouping
     key only for such rows."""
     open_d = key_to_date(open_col)
-    lo = F.greatest(open_d, key_to_date(F.lit(start)))
-    end_d = key_to_date(F.lit(end))
-    hi = F.when(F.col(close_col).isNull(), end_d).otherwise(
-        F.least(F.add_months(key_to_date(close_col), -1), end_d))
+    lo, hi = _alive_bounds(start, end, open_col, close_col)
     # alive months are all strictly before the close month, so an event is a
     # closing event exactly when its month is the (in-window) close month
     close_d = F.when(F.col(close_col).isin(month_keys(start, end)), key_to_date(close_col))

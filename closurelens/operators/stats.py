@@ -200,8 +200,10 @@ def vif(df: DataFrame, cols: Sequence[str], centered: bool = False, high: float
     """Variance inflation factors (M4) after fill-0.  Uncentred (no
     intercept) like the reference's call: VIF_i = G_ii * (G^-1)_ii with
     G = X^T X.  ``centered=True`` uses the covariance matrix instead.
-    Singular designs give Infinity.  ``high_vif`` flags VIF > ``high``
-    (F13)."""
+    The matrix is scaled to unit diagonal first and every feature is judged by
+    its own tolerance 1 - R^2 against the others, so badly scaled columns do no
+    harm and only a feature in an exact dependency (or without variation) gives
+    Infinity.  ``high_vif`` flags VIF > ``high`` (F13)."""
     G = gram(df, cols)
     p = len(cols)
     if centered:
@@ -210,16 +212,17 @@ def vif(df: DataFrame, cols: Sequence[str], centered: bool = False, high: float
         M = G[:p, :p] / n - np.outer(mu, mu)
     else:
         M = G[:p, :p]
+    size = np.sqrt(np.clip(np.diag(M), 0, None))
+    raw = np.diag(G)[:p] / (G[p, p] if centered else 1.0)
+    flat = np.diag(M) <= (1e-14 if centered else 0.0) * raw
+    scale = np.where(flat, 1.0, size)
+    C = M / np.outer(scale, scale)
     out = []
-    try:
-        inv = np.linalg.inv(M)
-        cond = np.linalg.cond(M)
-        singular = not np.isfinite(cond) or cond > 1e15
-    except np.linalg.LinAlgError:
-        inv, singular = None, True
     for i, c in enumerate(cols):
-        v = float("inf") if singular or inv is None else float(M[i, i] * inv[i, i])
-        out.append((c, v))
+        rest = [j for j in range(p) if j != i and not flat[j]]
+        r = C[rest, i]
+        left = 1.0 - float(r @ np.linalg.pinv(C[np.ix_(rest, rest)], rcond=1e-13, hermitian=True) @ r) if rest else 1.0
+        out.append((c, float("inf") if flat[i] or left < 1e-10 else 1.0 / min(1.0, left)))
     spark = df.sparkSession
     res = spark.createDataFrame(out, "feature string, vif double")
     return res.withColumn("high_vif", (F.col("vif") > high).cast("int")).orderBy(F.col("vif").desc())

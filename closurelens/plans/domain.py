@@ -197,10 +197,14 @@ def model_frame(spark, d) -> DataFrame:
     """Model features filled with 0, hash 80/20 split on the row key,
     written once to the shared folder: several fits read it."""
     from ..operators import models as md
-    f = md.fill_features(features(spark, d), MODEL_FEATURES)
-    f = fe.hash_split(f, ROW_KEY, SEED)
-    f = fe.stratified_folds(f, ROW_KEY, LABEL, k=3, seed=SEED)
-    return materialize(f.select(*ROW_KEY, *MODEL_FEATURES, LABEL, "split", "fold"), "model-frame")
+
+    def build() -> DataFrame:
+        f = md.fill_features(features(spark, d), MODEL_FEATURES)
+        f = fe.hash_split(f, ROW_KEY, SEED)
+        f = fe.stratified_folds(f, ROW_KEY, LABEL, k=3, seed=SEED)
+        return f.select(*ROW_KEY, *MODEL_FEATURES, LABEL, "split", "fold")
+
+    return _gold("model-frame", d, build, spark=spark)
 
 
 _MODELS: dict = {}
@@ -227,8 +231,8 @@ def explained_model(spark, d):
     m = md.fit(mf.where("split = 'train'"), MODEL_FEATURES, LABEL, "gbt", best, "pos_ratio", SEED)
     path = os.path.join(checkpoint_dir(spark), "closurelens", "models", f"gbt-{uuid.uuid4().hex}")
     m.write().overwrite().save(path)
-    gbt_path = os.path.join(path, "stages", sorted(os.listdir(os.path.join(path, "stages")))[-1])
-    gbt = m.stages[-1]
+    gbt, gbt_path = m.stages[-1], path + "-trees"
+    gbt.write().overwrite().save(gbt_path)
     compiled = ex.compile_model(ex.read_trees(spark, gbt_path), gbt.treeWeights)
     _MODELS[k] = (m, path, compiled, mf)
     return _MODELS[k]

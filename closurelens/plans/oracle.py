@@ -32,8 +32,7 @@ STORES = """stores AS (
     ON ls.l_orderkey = o_orderkey
   JOIN customer ON c_custkey = o_custkey
   JOIN nation ON c_nationkey = n_nationkey
-  JOIN region ON n_regionkey = r_regionkey
-  WHERE o_orderdate >= TIMESTAMP '1999-06-01')"""
+  JOIN region ON n_regionkey = r_regionkey)"""
 
 ALIVE = """alive AS (
   SELECT m.month, s.*,
@@ -88,7 +87,6 @@ TX = f"""tx_raw AS (
          count(*) AS tx_count, {R("sum(l_extendedprice)")} AS tx_amount
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey
   JOIN nation ON c_nationkey = n_nationkey
-  WHERE l_returnflag = 'R' AND l_quantity >= 45
   GROUP BY ALL),
 txm AS (
   SELECT substr(year_month, 1, 4) || '-' || substr(year_month, 5, 2) AS month,

@@ -4,6 +4,7 @@ checkpoint folder, and materialise a DataFrame to cut lineage."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -37,11 +38,15 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment and is read as is.  Only when it
-    is unset (local tests) is a fresh scratch folder created and registered.
+    On a cluster this is set by the deployment and is read as is; executors there
+    do not share the driver's folders, so an unset one raises.  Only with a local
+    master is a fresh scratch folder created and registered.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local($|\[)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder (master {master!r})")
         d = tempfile.mkdtemp(prefix="closurelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     try:  # classic sessions: also register it for DataFrame.checkpoint()

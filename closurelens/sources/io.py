@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,19 +47,34 @@ def check_schema(df: DataFrame, expected) -> DataFrame:
     return df
 
 
+#: folders of an incremental store
+KEY_BUCKETS = 16
+
+
 def incremental_append(df: DataFrame, path: str, key: str) -> None:
     """Idempotent append (S6): only rows whose ``key`` is not stored yet are
-    appended (one row per key, also when the input repeats a key), so a
-    retried or repeated run adds nothing twice.  One distributed write; the
-    stored keys are read by the same job (anti join), nothing is cached."""
+    appended (of rows with one key the smallest by all columns), so a retried
+    or repeated run adds nothing twice.  Only a missing path is a first run: a
+    damaged store or one without the key or with other columns raises.  Stored
+    files are laid out by a hash bucket of the key, and the stored keys are
+    read for the buckets of the new rows only."""
     spark = df.sparkSession
-    df = df.dropDuplicates([key])
+    rest = [c for c in df.columns if c != key]
+    new = df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(
+        key, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns) if rest else df.distinct()
+    new = new.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int"))
     try:
-        stored = spark.read.parquet(path).select(key)
-        new = df.join(stored, key, "left_anti")
-    except Exception:  # first run: nothing stored yet
-        new = df
-    new.write.mode("append").parquet(path)
+        stored = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        if sorted(set(stored.columns) - {"_bucket"}) != sorted(df.columns):
+            raise ValueError(f"stored columns {stored.columns} differ from {df.columns}")
+        seen = stored.select(key, "_bucket") if "_bucket" in stored.columns else stored.select(
+            key, F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int").alias("_bucket"))
+        new = new.join(seen, [key, "_bucket"], "left_anti")
+    new.select(*df.columns, "_bucket").write.partitionBy("_bucket").mode("append").parquet(path)
 
 
 def json_flatten(df: DataFrame, col: str, schema: str, prefix: str = "") -> DataFrame:

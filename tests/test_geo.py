@@ -70,3 +70,25 @@ def test_hot_cell_salting_keeps_pairs_exact(spark):
     assert "_salt" in plan
     got = [(r["l_id"], r["r_id"]) for r in salted.collect()]
     assert len(got) == len(set(got)) and set(got) == exp
+
+
+def test_grid_join_everywhere(spark):
+    import random
+
+    from closurelens.functions.geo import EARTH_RADIUS_M as R
+    from closurelens.operators.geojoin import within_distance
+    rng = random.Random(4)
+    pts = [(0, 89.9, 10.0), (1, 89.9, 10.4), (2, 89.99999, 0.0), (3, 89.99999, 180.0), (4, 10.0, 179.9999),
+           (5, 10.0, -179.9999), (6, 5.0, 129.0), (7, 5.0, 489.0), (8, -90.0, 3.0), (9, -89.9999, 77.0)]
+    pts += [(10 + i, rng.choice((0, 60, -85)) + rng.random() * 0.004, rng.random() * 0.004) for i in range(200)]
+
+    def dist(a, b):
+        p, q = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * R * math.asin(math.sqrt(h))
+
+    df = spark.createDataFrame(pts, "id long, lat double, lon double")
+    for hot in (2_000_000, 3):
+        got = {(r.l_id, r.r_id) for r in within_distance(df, df, 100.0, hot_rows=hot).collect()}
+        assert got == {(a[0], b[0]) for a in pts for b in pts if dist(a, b) <= 100.0}
+    assert {(0, 1), (2, 3), (4, 5), (6, 7), (8, 9)} <= got
