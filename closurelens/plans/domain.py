@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import compact_to_key
 from ..functions.numeric import guarded_ratio
 from ..operators import features as fe
+from ..operators import stats as st
 from ..operators import impute, panel, population
 from ..operators import risk as rk
 from ..session import materialize
@@ -141,8 +142,6 @@ FEATURE_GROUPS = {
 }
 FIXED_FEATURES = ["affiliation_rate", "visitors", "spend_total", "avg_ticket", "industry_code",
                   "district_code", "dong_code", "aff_trend", "residents", "station_rate"]
-# model features (F8): 4 group winners + 10 fixed
-MODEL_FEATURES = ["status_o_ratio", "flag_r_ratio", "line_3_ratio", "tx_amount"] + FIXED_FEATURES
 # clustering features (reference: closure, affiliation, years, station, 3 logs)
 CLUSTER_FEATURES = ["closure_rate", "affiliation_rate", "avg_years", "station_rate",
                     "spend_total_log", "visitors_log", "avg_ticket_log"]
@@ -199,14 +198,28 @@ def model_frame(spark, d) -> DataFrame:
     from ..operators import models as md
 
     def build() -> DataFrame:
-        f = md.fill_features(features(spark, d), MODEL_FEATURES)
+        f = md.fill_features(features(spark, d), model_features(spark, d))
         f = fe.hash_split(f, ROW_KEY, SEED)
         f = fe.stratified_folds(f, ROW_KEY, LABEL, k=3, seed=SEED)
-        return f.select(*ROW_KEY, *MODEL_FEATURES, LABEL, "split", "fold")
+        return f.select(*ROW_KEY, *model_features(spark, d), LABEL, "split", "fold")
 
     return _gold("model-frame", d, build, spark=spark)
 
 
+_WINNERS: dict = {}
+
+
+def model_features(spark, d) -> list[str]:
+    """Model features (F8): the member of each feature group with the highest
+    mutual information (O6; one row a group), then the fixed ones."""
+    k = _key(spark, d)
+    if k not in _WINNERS:
+        mi = st.mutual_info(features(spark, d), FEATURES, LABEL)
+        won = {r["feature"] for r in st.group_top(mi, FEATURE_GROUPS).collect()}
+        _WINNERS[k] = [f for group in FEATURE_GROUPS.values() for f in group if f in won]
+    return _WINNERS[k] + FIXED_FEATURES
+
+
 _MODELS: dict = {}
 TUNE_TRIALS = 6
 
@@ -228,7 +241,7 @@ def explained_model(spark, d):
     # the final model of the reference: the boosted model refitted on the
     # train split with the best parameters of the random search
     _, best = search(spark, d, TUNE_TRIALS)
-    m = md.fit(mf.where("split = 'train'"), MODEL_FEATURES, LABEL, "gbt", best, "pos_ratio", SEED)
+    m = md.fit(mf.where("split = 'train'"), model_features(spark, d), LABEL, "gbt", best, "pos_ratio", SEED)
     path = os.path.join(checkpoint_dir(spark), "closurelens", "models", f"gbt-{uuid.uuid4().hex}")
     m.write().overwrite().save(path)
     gbt, gbt_path = m.stages[-1], path + "-trees"
@@ -239,6 +252,8 @@ def explained_model(spark, d):
 
 
 _SHAP: dict = {}
+#: the sample comes from a global top-n in one partition; attributions are dealt to this many tasks
+SHAP_TASKS = 64
 
 
 def shap_long(spark, d, n: int = 5000) -> DataFrame:
@@ -250,7 +265,7 @@ def shap_long(spark, d, n: int = 5000) -> DataFrame:
     if k not in _SHAP:
         m, path, compiled, mf = explained_model(spark, d)
         sample = fe.hash_sample(mf.where("split = 'train'"), ROW_KEY, n, SEED)
-        _SHAP[k] = materialize(ex.shap_values(sample, compiled, MODEL_FEATURES, ROW_KEY), "shap")
+        _SHAP[k] = materialize(ex.shap_values(sample.repartition(SHAP_TASKS, *ROW_KEY), compiled, model_features(spark, d), ROW_KEY), "shap")
     return _SHAP[k]
 
 
@@ -263,7 +278,7 @@ def search(spark, d, n_trials: int):
     k = _key(spark, d, n_trials)
     if k not in _SEARCH:
         mf = model_frame(spark, d)
-        table, best = md.random_search(mf.where("split = 'train'"), MODEL_FEATURES, LABEL, "fold",
+        table, best = md.random_search(mf.where("split = 'train'"), model_features(spark, d), LABEL, "fold",
                                        n_trials, SEED)
         _SEARCH[k] = (materialize(table, "search"), best)
     return _SEARCH[k]

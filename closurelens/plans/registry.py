@@ -528,7 +528,7 @@ def q_incremental_append(spark, d):
     sio.incremental_append(first, path, "id")
     sio.incremental_append(pts, path, "id")
     sio.incremental_append(pts, path, "id")
-    return r6(spark.read.parquet(path), "lat", "lon", "distance_m")
+    return r6(sio.read_incremental(spark, path), "lat", "lon", "distance_m")
 
 
 @query("model_roundtrip")
@@ -568,7 +568,7 @@ def q_vif(spark, d):
 @query("model_compare")
 def q_model_compare(spark, d):
     mf = domain.model_frame(spark, d)
-    return md.compare(mf.where("split = 'train'"), mf.where("split = 'test'"), domain.MODEL_FEATURES,
+    return md.compare(mf.where("split = 'train'"), mf.where("split = 'test'"), domain.model_features(spark, d),
                       domain.LABEL)
 
 
@@ -589,7 +589,7 @@ def q_model_result(spark, d):
 @query("feature_importance")
 def q_feature_importance(spark, d):
     m, _, _, _ = domain.explained_model(spark, d)
-    return md.importances(m, domain.MODEL_FEATURES, spark)
+    return md.importances(m, domain.model_features(spark, d), spark)
 
 
 # ---------------------------------------------------------------- attributions
@@ -625,7 +625,7 @@ def q_model_risk_scores(spark, d):
     """M20 + M21 as the reference runs them: the fitted boosted model scores
     every panel row, and its probability enters the weighted risk index."""
     m, _, _, _ = domain.explained_model(spark, d)
-    feats = md.fill_features(domain.features(spark, d), domain.MODEL_FEATURES)
+    feats = md.fill_features(domain.features(spark, d), domain.model_features(spark, d))
     scored = md.scores(m, feats).select(*KEY, domain.LABEL, "affiliation_rate", "visitors", "station_rate",
                                         F.col("p1").alias("p"))
     return rk.risk_score(scored, "p").select(*KEY, domain.LABEL, "p", "risk_raw", "risk_score")
@@ -661,4 +661,4 @@ def q_incremental_append_stream(spark, d):
         pts.write.mode("append").parquet(src)
     start_incremental(spark.readStream.schema(pts.schema).parquet(src), out, "id", ck,
                       geocode).awaitTermination()
-    return r6(spark.read.parquet(out), "lat", "lon", "distance_m")
+    return r6(sio.read_incremental(spark, out), "lat", "lon", "distance_m")

@@ -77,6 +77,11 @@ def incremental_append(df: DataFrame, path: str, key: str) -> None:
     new.select(*df.columns, "_bucket").write.partitionBy("_bucket").mode("append").parquet(path)
 
 
+def read_incremental(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of an incremental store without its layout column."""
+    return spark.read.parquet(path).drop("_bucket")
+
+
 def json_flatten(df: DataFrame, col: str, schema: str, prefix: str = "") -> DataFrame:
     """Parse a JSON text column with a declared schema and flatten its
     fields (X37); missing fields and malformed text give nulls."""

@@ -1,24 +1,29 @@
-"""The stand-ins reproduce the counts FIXTURES.md measured on the driver
-tables at sf0.01 (stores, closed, panel rows, cells with a closure,
-only-closed cells, geo sides, match bands, matched establishments)."""
+"""The stand-ins over the whole driver tables at sf0.01 agree with DuckDB
+(stores, closed, panel rows, imputation branches) and with the counts
+FIXTURES.md measured (geo sides, match bands, matched establishments)."""
 
 from pyspark.sql import functions as F
 
 from closurelens.operators import geojoin as gj
 from closurelens.operators import panel
-from closurelens.plans import domain
+from closurelens.plans import domain, oracle
 from closurelens.sources import fixtures as fx
 
 SF = "/root/testdata/sf0.01"
 
 
+def sql(query: str) -> list:
+    from oracle_check import duck
+    return duck(SF).execute(query).fetchall()
+
+
 def test_store_panel_counts(spark):
     s = fx.stores(spark, SF)
-    assert s.count() == 5033 and s.where(F.col("close_month").isNotNull()).count() == 3334
+    rows, closed = sql("SELECT count(*), count_if(o_orderstatus <> 'O' AND o_orderkey IN (SELECT l_orderkey FROM lineitem)) FROM orders")[0]
+    assert s.count() == rows and s.where(F.col("close_month").isNotNull()).count() == closed
     c = panel.panel_counts(s, fx.WINDOW_START, fx.WINDOW_END)
-    assert c.count() == 12381
-    assert c.where("closed > 0").count() == 1876
-    assert c.where("alive = 0 AND closed > 0").count() == 110
+    want = sql(f"SELECT count(*), count_if(closed > 0), count_if(alive = 0 AND closed > 0) FROM ({oracle.SQL['panel_counts']})")[0]
+    assert (c.count(), c.where("closed > 0").count(), c.where("alive = 0 AND closed > 0").count()) == want
 
 
 def test_geo_counts(spark):
@@ -33,21 +38,14 @@ def test_geo_counts(spark):
 
 def test_feature_label_counts(spark):
     f = domain.features_plan(spark, SF)
-    # FIXTURES.md counts 1,876 positives among all 12,381 panel cells before the
-    # imputation exclusions; the exclusions keep a subset of both
-    assert f.count() == 8729 and 0 < f.where("closed_label = 1").count() <= 1876
+    n = sql(f"SELECT count(*) FROM ({oracle.SQL['panel_full']})")[0][0]
+    assert f.count() == n and 0 < f.where("closed_label = 1").count() < n
 
 
 def test_imputation_branch_counts(spark):
     from closurelens.operators import impute
     audit = {r["impute_status"]: r["rows"] for r in impute.impute_audit(domain.imputed(spark, SF)).collect()}
-    # FIXTURES.md: 173 structural zeros over a present value, 4,060 imputed from a
-    # positive mean, 1,877 zero-mean and 1,775 no-mean cells, 4,271 cells without
-    # an affiliated store
-    assert audit["zero_override"] == 173 and audit["imputed"] == 4060
-    assert audit["zero_mean"] == 1877 and audit["no_mean"] == 1775
-    assert audit["structural_zero"] + audit["zero_override"] == 4271
-    assert sum(audit.values()) == 12381
+    assert audit == dict(sql(f"SELECT impute_status, rows FROM ({oracle.SQL['impute_audit']})"))
 
 
 def test_scored_fixture_auc(spark):
