@@ -65,14 +65,14 @@ def record_id(page_id: int | None, sha1: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{sha1}')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, revisits: tuple | None) -> bytes:
-    """One WARC record; ``revisits`` holds the response's page_id for revisits."""
-    block = b"" if revisits else payload
+def record(page_id: int | None, url: str | None, block: bytes, n: int, sha1: str, revisits: tuple | None) -> bytes:
+    """One WARC record of a payload of n bytes; ``revisits`` holds the response's
+    page_id for revisits, whose block is empty."""
     head = ["WARC/1.1", "WARC-Type: " + ("revisit" if revisits else "response"),
             "WARC-Record-ID: " + record_id(page_id, sha1), "WARC-Date: " + DATE,
             "WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A"),
             "WARC-Payload-Digest: sha1:" + sha1, "WARC-Block-Digest: sha1:" + digest(block),
-            "X-Page-Id: " + ("" if page_id is None else str(page_id)), f"X-Payload-Length: {len(payload)}"]
+            "X-Page-Id: " + ("" if page_id is None else str(page_id)), f"X-Payload-Length: {n}"]
     if revisits:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
                  "WARC-Refers-To: " + record_id(revisits[0], sha1),
@@ -87,6 +87,26 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
+_PREPARED = ("page_id", "url", "sha1", "length", "data", "best")
+
+
+def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compressed response records, so that the shuffles carry gzip members
+    instead of pages."""
+    for b in batches:
+        for at in range(0, b.num_rows, 500):
+            part = b.slice(at, 500)
+            sha1, length, data = [], [], []
+            for page_id, url, html in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+                payload = html.encode()
+                sha1.append(hashlib.sha1(payload).hexdigest())
+                length.append(len(payload))
+                data.append(member(record(page_id, url, payload, len(payload), digest(payload), None)))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("page_id"), part.column("url"), pa.array(sha1, pa.string()),
+                 pa.array(length, pa.int64()), pa.array(data, pa.binary())], list(_PREPARED[:-1]))
+
+
 def _writer(folder: str, roll: int, min_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -104,13 +124,12 @@ def _writer(folder: str, roll: int, min_bytes: int):
 
         size = 0
         for b in batches:
-            for page_id, url, html, best in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "best"))):
-                payload = html.encode()
-                sha1 = digest(payload)
+            for page_id, url, sha1, length, data, best in zip(*(b.column(c).to_pylist() for c in _PREPARED)):
                 first = (page_id, sha1) != last
                 last = (page_id, sha1)
-                response = len(payload) < min_bytes or (page_id == best and first)
-                data = member(record(page_id, url, payload, sha1, None if response else (best,)))
+                if length >= min_bytes and not (page_id == best and first):
+                    name = base64.b32encode(bytes.fromhex(sha1)).decode()
+                    data = member(record(page_id, url, b"", length, name, (best,)))
                 if out is None:
                     tmp = f"{root}/tmp/{attempt}-{seq:05d}"
                     fs.create_dir(f"{root}/tmp", recursive=True)
@@ -147,13 +166,14 @@ def write(pages: DataFrame, folder: str, roll: int = ROLL_BYTES, min_bytes: int
     (tmp, path, n_records, n_bytes, sha256)."""
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url",
-                        F.coalesce("html", F.lit("")).alias("html")).withColumn("sha1", F.unhex(F.sha1("html")))
-    best = rows.groupBy("sha1").agg(F.max("page_id").alias("best"))
-    named = rows.join(best, "sha1")
+                        F.coalesce("html", F.lit("")).alias("html"))
+    best = rows.groupBy(F.sha1("html").alias("sha1")).agg(F.max("page_id").alias("best"))
+    prepared = rows.mapInArrow(_prepare, "page_id long, url string, sha1 string, length long, data binary")
+    named = prepared.join(best, "sha1")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = named.repartitionByRange(parts, "page_id", "sha1").sortWithinPartitions("page_id", "sha1", "url")
     manifest = os.path.join(folder, "manifest")
-    ordered.select("page_id", "url", "html", "best").mapInArrow(_writer(folder, roll, min_bytes), _MANIFEST) \
+    ordered.select(*_PREPARED).mapInArrow(_writer(folder, roll, min_bytes), _MANIFEST) \
         .write.mode("error").parquet(manifest + "-staged")
     staged = spark.read.schema(_MANIFEST).parquet(manifest + "-staged")
     staged.repartition(parts, "path").mapInPandas(_commit(folder), _MANIFEST).write.mode("error").parquet(manifest)
