@@ -22,6 +22,7 @@ is the share of toxic rows (0 without rows); one result row per input row.
 
 from __future__ import annotations
 
+import re
 import string
 from collections import Counter
 from collections.abc import Iterator
@@ -66,25 +67,27 @@ class Trie:
         self.root: list = [{}, -1, 0]
         self.stems = {t: i for i, (t, stem, _) in enumerate(terms) if stem}
         self.words = {t: i for i, (t, stem, _) in enumerate(terms) if not stem}
-        self.starts: set[str] = set()
-        self.ends: set[str] = set()
-        self.inside: set[str] = set()
+        starts: set[str] = set()
+        ends: set[str] = set()
+        inside: set[str] = set()
         for term, i in self.words.items():
             e = self.allowed[i]
             if not e:
                 continue
             cut = [len(term) * j // (e + 1) for j in range(e + 2)]
             pieces = [term[x:y] for x, y in zip(cut, cut[1:])]
-            self.starts.add(pieces[0])
-            self.ends.add(pieces[-1])
-            self.inside.update(pieces[1:-1])
+            starts.add(pieces[0])
+            ends.add(pieces[-1])
+            inside.update(pieces[1:-1])
             node = self.root
             for c in term:
                 node[2] = max(node[2], e)
                 node = node[0].setdefault(c, [{}, -1, 0])
             node[1], node[2] = i, max(node[2], e)
-        self.start_sizes = sorted({len(x) for x in self.starts})
-        self.end_sizes = sorted({len(x) for x in self.ends})
+        # one scan of a token: any piece in its place, or a word beginning
+        ways = [f"{before}(?:{'|'.join(map(re.escape, sorted(some)))}){after}" for before, some, after in (
+            ("^", starts | self.stems.keys(), ""), ("", ends, r"\Z"), ("", inside, "")) if some]
+        self.near = re.compile("|".join(ways) or "(?!)").search
         spread = [(len(t), self.allowed[i]) for t, i in self.words.items() if self.allowed[i]]
         self.shortest = min((n - e for n, e in spread), default=10**9)
         self.longest = max((n + e for n, e in spread), default=0)
@@ -94,10 +97,9 @@ class Trie:
         i = self.words.get(token)
         if i is not None:
             return i, 0
-        if self.shortest <= len(token) <= self.longest and (
-                any(token[:n] in self.starts for n in self.start_sizes)
-                or any(token[-n:] in self.ends for n in self.end_sizes)
-                or any(x in token for x in self.inside)):
+        if not self.near(token):
+            return None
+        if self.shortest <= len(token) <= self.longest:
             best = self.walk(token)
             if best is not None:
                 return best
@@ -197,27 +199,26 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents per word and word beginning, by label, of one task."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-
-    def flush() -> pa.RecordBatch:
-        keys = list(seen[0].keys() | seen[1].keys())
-        out = pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()),
-             pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())],
-            ["term", "stem", "toxic", "other"])
-        for c in seen:
-            c.clear()
-        return out
+    seen = {(stem, toxic): Counter() for stem in (False, True) for toxic in (False, True)}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for (stem, toxic), counts in seen.items():
+            n = pa.array(list(counts.values()), pa.int64())
+            none = pa.array(np.zeros(len(counts), dtype=np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(counts), pa.string()), pa.array([stem] * len(counts), pa.bool_()),
+                 n if toxic else none, none if toxic else n], ["term", "stem", "toxic", "other"])
+            counts.clear()
 
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             plain = {t.strip(EDGES) for t in text.lower().split()}
-            keys = {(w, False) for w in plain if len(w) >= 3}
-            keys |= {(w[:n], True) for w in plain for n in STEM_LENGTHS if len(w) > n}
-            seen[int(toxic)].update(keys)
-            if len(seen[0]) > 500_000:
-                yield flush()
-    yield flush()
+            seen[False, bool(toxic)].update(w for w in plain if len(w) >= 3)
+            for n in STEM_LENGTHS:  # beginnings of one length only equal each other
+                seen[True, bool(toxic)].update({w[:n] for w in plain if len(w) > n})
+            if sum(map(len, seen.values())) > 600_000:
+                yield from flush()
+    yield from flush()
 
 
 def choose_terms(rows: list, n_toxic: int, n_other: int) -> list[tuple[str, bool, float]]:
