@@ -8,7 +8,8 @@ it found, and joins the ledger back to all paths.  Appends go through Spark's
 write job, so a scan that is lost leaves no rows and is done again by the next.
 
 A hot blob (many copies) is counted by a partial minimum, scanned once, and
-joined back by a join that Spark can split.
+joined back by a join that Spark can split.  Rows that repeat both id and text
+are each scanned and leave one ledger row.
 
 Base kinds: assign, access, hex.  The method adds well-known token formats
 (``EXTRA``).  Spans are code point offsets, end exclusive.
@@ -105,8 +106,9 @@ def scan(docs: DataFrame, ledger: str, version: str = RULE_VERSION) -> DataFrame
               .join(read_ledger(spark, ledger, version).select("blob"), "blob", "left_anti")
               .withColumnRenamed("blob", "b"))
     todo = (keyed.join(unseen, (F.col("blob") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-            .dropDuplicates(["blob", "rep"]).select("blob", "text"))
-    todo.mapInArrow(_scan, _FOUND).write.mode("append").parquet(os.path.join(ledger, f"rules={version}"))
+            .select("blob", "text"))
+    # repeated rows of one id and text find the same; their findings, not their texts, are made one
+    todo.mapInArrow(_scan, _FOUND).dropDuplicates(["blob"]).write.mode("append").parquet(os.path.join(ledger, f"rules={version}"))
     return paths.join(read_ledger(spark, ledger, version), "blob").drop("blob")
 
 
