@@ -4,6 +4,10 @@ Every vector becomes integers floor(256 * x).  Its approximation is the grid cel
 of each component: cells are 2**``CELL_BITS`` wide, so a cell is the component
 shifted right and needs no fitted range, and holds its components exactly.
 
+Of equal vectors only the k + 1 smallest ids can be among a query's k best (its
+own id aside), so the others are queries at most, never candidates; copies do not
+pile up in a query's group.
+
 1. Scan: tasks hold a block of queries and a block of approximations (numbers of
    blocks follow the row counts, so a task's blocks have bounded size) and take
    an upper and a lower bound of every score from the cells.  A candidate stays
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from closurelens.session import materialize
@@ -130,7 +134,10 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     # at least a task per core: small tables are cut finer
     c_blocks = max(c_blocks, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // 1000)) or 1)
     is_query = F.col("vec_id") % every == 0
-    cells = rows.select("vec_id", F.transform("v", lambda x: F.floor(x / (1 << CELL_BITS)).cast("long")).alias("v"),
+    # Spark keeps k + 1 rows of each vector before the shuffle already
+    nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    candidates = rows.withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    cells = candidates.select("vec_id", F.transform("v", lambda x: F.floor(x / (1 << CELL_BITS)).cast("long")).alias("v"),
                         F.lit(False).alias("is_query"),
                         F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"),
                         F.pmod(F.xxhash64("vec_id"), F.lit(c_blocks)).cast("int").alias("cb"))
