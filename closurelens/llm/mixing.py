@@ -11,8 +11,9 @@ in every run.
 
 Targets default to tempered shares (share ** power, normalised): large sources
 give way to small ones.  A table without a column ``topic`` gets one: k-means
-over the form of the text (word length, lines, digits, symbols, size), fitted on
-``TOPIC_ROWS`` rows in order of a hash, applied to every row.
+over the form of the text (word length, lines, digits, symbols, size).  It is
+fitted on all rows, counted in cells of the form rounded to ``GRID``, and applied
+to every row.
 
 Defined results: null text = empty text; null source, lang or topic is a
 category of its own, written "(none)"; a target list need not sum to one;
@@ -23,7 +24,7 @@ equal columns are kept or left together; an empty table gives no rows.
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +33,11 @@ from closurelens.session import materialize
 
 DIMENSIONS = ("source", "lang", "topic")
 POWERS = {"source": 0.8, "lang": 0.9, "topic": 0.95}
-TOPICS, TOPIC_ROWS = 6, 5_000
+TOPICS = 6
 TOLERANCE, ROUNDS = 1e-4, 25
 SEED = 17
+#: step of each measure in the counted cells
+GRID = {"__f_word": 0.25, "__f_lines": 0.02, "__f_digits": 0.02, "__f_symbols": 0.02, "__f_size": 0.25}
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -56,19 +59,26 @@ def tag(docs: DataFrame) -> DataFrame:
     if "topic" in docs.columns:
         return out
     out = out.withColumns(_form(t))
-    names = ["__f_word", "__f_lines", "__f_digits", "__f_symbols", "__f_size"]
-    # the text is left out before the rows of the sample are sorted
-    sample = out.select(F.xxhash64("text").alias("__h"), *names).orderBy("__h", *names).limit(TOPIC_ROWS)
-    sample = materialize(sample.select(*names), "topic-sample")
-    if sample.isEmpty():
+    names = list(GRID)
+    cells = materialize(out.groupBy(*[(F.round(F.col(f) / g) * g).alias(f) for f, g in GRID.items()])
+                        .agg(F.count("*").cast("double").alias("__rows")).sortWithinPartitions(*names), "topic-cells")
+    rows = F.col("__rows")
+    n_cells = cells.count()
+    moments = cells.agg(F.sum(rows), *[F.sum(F.col(f) * rows) for f in names],
+                        *[F.sum(F.col(f) * F.col(f) * rows) for f in names]).first()
+    if n_cells < 2:  # one form of text, or no text at all
         return out.drop(*names).withColumn("topic", F.lit("topic0"))
-    assemble = VectorAssembler(inputCols=names, outputCol="__raw")
-    scale = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True).fit(assemble.transform(sample))
-    means = KMeans(featuresCol="__x", predictionCol="__topic", k=TOPICS, seed=SEED, maxIter=10).fit(
-        scale.transform(assemble.transform(sample)))
-    out = means.transform(scale.transform(assemble.transform(out)))
+    scaled = {}
+    for i, f in enumerate(names):
+        mean = moments[1 + i] / moments[0]
+        spread = max(0.0, moments[1 + len(names) + i] / moments[0] - mean * mean) ** 0.5
+        scaled[f] = (F.col(f) - mean) / (spread if spread > 1e-6 else 1.0)
+    assemble = VectorAssembler(inputCols=names, outputCol="__x")
+    means = KMeans(featuresCol="__x", predictionCol="__topic", weightCol="__rows", k=min(TOPICS, n_cells), seed=SEED, maxIter=10).fit(
+        assemble.transform(cells.withColumns(scaled)))
+    out = means.transform(assemble.transform(out.withColumns(scaled)))
     return out.withColumn("topic", F.concat(F.lit("topic"), F.col("__topic").cast("string"))).drop(
-        "__raw", "__x", "__topic", *names)
+        "__x", "__topic", *names)
 
 
 def _category(d: str) -> Column:
