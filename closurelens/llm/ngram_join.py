@@ -160,6 +160,24 @@ def _tile(threshold: float):
     return run
 
 
+def verified_members(texts: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """Compares the texts of each candidate group with each other in tiles.
+
+    ``texts`` is (nid, grp, n_docs, text), ``sizes`` one row (grp, n_chars) per
+    text.  Returns, per text and tile: nid, texts and linked (partners, and their
+    documents), hook (the nid of an edge that spans its links there)."""
+    parts = sizes.groupBy("grp").agg(
+        F.greatest(F.ceil(F.count("*") / CHUNK_ROWS),
+                   F.ceil(F.sum("n_chars") / CHUNK_CHARS)).cast("int").alias("parts"))
+    tiles = (texts.join(parts, "grp")
+             .withColumn("chunk", F.expr("cast(pmod(xxhash64(nid), parts) as int)"))
+             .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+             .select("grp", F.least("chunk", "other").alias("ti"), F.greatest("chunk", "other").alias("tj"),
+                     "nid", "n_docs", "chunk", "text"))
+    return tiles.groupBy("grp", "ti", "tj").applyInPandas(
+        _tile(threshold), "nid long, texts long, linked long, hook long")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).select(
         F.unhex(F.md5("text")).alias("key"), "doc_id", "text")
@@ -191,20 +209,11 @@ def similar_classes(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[Dat
         "ngram-candidates")
 
     members = classes.join(groups, classes.nid == groups.node).select(
-        "nid", "key", "rep", "n_docs", "n_chars", F.col("root").alias("grp"))
-    parts = members.groupBy("grp").agg(
-        F.greatest(F.ceil(F.count("*") / CHUNK_ROWS),
-                   F.ceil(F.sum("n_chars") / CHUNK_CHARS)).cast("int").alias("parts"))
-    members = (members.join(parts, "grp").drop("n_chars")
-               .withColumnRenamed("key", "k"))
+        "nid", F.col("key").alias("k"), "rep", "n_docs", F.col("root").alias("grp"))
     texts = (keyed.join(members, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-             .select("nid", "grp", "parts", "n_docs", "text").dropDuplicates(["nid"]))
-    tiles = (texts.withColumn("chunk", F.expr("cast(pmod(xxhash64(nid), parts) as int)"))
-             .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-             .select("grp", F.least("chunk", "other").alias("ti"), F.greatest("chunk", "other").alias("tj"),
-                     "nid", "n_docs", "chunk", "text"))
-    found = materialize(tiles.groupBy("grp", "ti", "tj").applyInPandas(
-        _tile(threshold), "nid long, texts long, linked long, hook long"), "ngram-links")
+             .select("nid", "grp", "n_docs", "text").dropDuplicates(["nid"]))
+    sizes = classes.join(groups, classes.nid == groups.node).select(F.col("root").alias("grp"), "n_chars")
+    found = materialize(verified_members(texts, sizes, threshold), "ngram-links")
     roots = connected_components(found.select(F.col("nid").alias("a"), F.col("hook").alias("b")),
                                  "ngram-classes-verified")
 

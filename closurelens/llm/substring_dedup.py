@@ -11,8 +11,9 @@ Units of a document (words as in ``common``, places in words):
 
 Equal units have equal hashes and meet in one group.  Paragraphs also meet by
 MinHash bands, their number tuned so that a pair at the threshold collides with
-probability ``RECALL``; every colliding paragraph is verified by exact Jaccard
-against the smallest of its bucket, and verified links are joined to components.
+probability ``RECALL``; paragraphs that collide, directly or over others, are a
+candidate group, in which every pair is compared in tiles of bounded size and
+verified by exact Jaccard; verified links are joined to components.
 A class is such a component or a window; classes that occur in at least two
 documents are repeats.  In each class the document with the smallest id keeps
 its passage and the others' are removals.
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 
 from closurelens.llm.common import (SIMILARITY, band_keys, bands_for, chunks,
                                     connected_components, minhash, mix, shingle_hashes,
-                                    shingle_set, text_of, word_hashes)
+                                    text_of, word_hashes)
+from closurelens.llm.ngram_join import verified_members
 from closurelens.session import materialize
 
 UNIT_WORDS = 24
@@ -138,19 +140,6 @@ def _paragraph_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(out, pa.string())], ["unit", "line"])
 
 
-def _verify(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("left").to_pylist(), b.column("right").to_pylist()):
-                p, q = shingle_set(x), shingle_set(y)
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(shared >= threshold * (len(p) + len(q) - shared) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def repeated_passages(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, kind ('paragraph' or 'window'), word_start, n_words, class_id,
     removed: every occurrence of a unit whose class occurs in two documents or more."""
@@ -162,16 +151,16 @@ def repeated_passages(docs: DataFrame, threshold: float = SIMILARITY) -> DataFra
     buckets = units.where(F.col("kind") == PARAGRAPH).select("unit", F.explode("bands").alias("band"))
     shared = (buckets.groupBy("band").agg(F.min("unit").alias("low"), F.max("unit").alias("high"))
               .where("low < high").select("band", "low"))
-    pairs = materialize(buckets.join(shared, "band").where("unit > low")
-                        .select(F.col("unit").alias("a"), F.col("low").alias("b")).distinct(), "passage-pairs")
-    needed = pairs.select(F.col("a").alias("need")).union(pairs.select("b")).distinct()
+    groups = connected_components(buckets.join(shared, "band").select(
+        F.col("unit").alias("a"), F.col("low").alias("b")), "passage-candidates")
+    # the key of a line is its hash, so one of the equal lines stands for all
     lines = materialize(given.select("text").mapInArrow(_paragraph_texts, "unit long, line string")
-                        .join(needed, F.col("unit") == F.col("need")).select("unit", "line")
-                        .dropDuplicates(["unit"]), "passage-lines")
-    checked = (pairs.join(lines.select(F.col("unit").alias("a"), F.col("line").alias("left")), "a")
-               .join(lines.select(F.col("unit").alias("b"), F.col("line").alias("right")), "b")
-               .select("a", "b", "left", "right").mapInArrow(_verify(threshold), "a long, b long"))
-    roots = connected_components(checked, "passage-links")
+                        .join(groups, F.col("unit") == F.col("node"))
+                        .select(F.col("unit").alias("nid"), F.col("root").alias("grp"), F.lit(1).alias("n_docs"),
+                                F.col("line").alias("text")).dropDuplicates(["nid"]), "passage-lines")
+    checked = materialize(verified_members(lines, lines.select("grp", F.length("text").alias("n_chars")), threshold),
+                          "passage-checked")
+    roots = connected_components(checked.select(F.col("nid").alias("a"), F.col("hook").alias("b")), "passage-links")
 
     found = units.select("doc_id", "kind", "unit", "word_start", "n_words")
     in_class = (found.where(F.col("kind") == PARAGRAPH).join(roots, F.col("unit") == F.col("node"), "left")

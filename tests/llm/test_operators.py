@@ -89,6 +89,32 @@ def test_components(spark):
 
 # ---- 2 ------------------------------------------------------------------------------------
 
+def test_paragraph_classes_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK_ROWS", 4)
+    rng = random.Random(21)
+    texts = []
+    for _ in range(4):
+        base = words(rng, 90).split()
+        for _ in range(9):
+            new = list(base)
+            for _ in range(rng.randint(0, 3)):
+                new[rng.randrange(90)] = words(rng, 1)
+            texts.append(" ".join(new))
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.86:  # far enough above for the bands
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    got = {r.doc_id: r.class_id for r in substring_dedup.repeated_passages(docs_of(spark, texts)).collect()
+           if r.kind == "paragraph"}
+    for i in range(len(texts)):
+        if i != root[i]:
+            assert got[i] == got[root[i]]
+    assert all(len({i // 9 for i in got if got[i] == c}) == 1 for c in got.values())
+
+
 def test_inline_passages_are_found_and_clean_documents_left_alone(spark):
     rng = random.Random(8)
     passages = [words(rng, rng.randint(55, 90)) for _ in range(6)]
@@ -252,6 +278,7 @@ def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [(int(i), [float(x) for x in rng.normal(size=12)]) for i in range(300)]
     rows += [(300, rows[50][1]), (301, None), (302, [1.0, None]), (303, [float("nan")]), (350, [0.5]), (350, [0.5]), (None, [1.0])]
+    rows += [(1000 + i, [9.0] * 12) for i in range(120)]  # copies at the top of half of the queries
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     ok = {i: np.pad(np.floor(256 * np.array(v)).astype(int), (0, 12 - len(v))) for i, v in rows
           if i is not None and v is not None and None not in v and np.isfinite(v).all()}
@@ -320,6 +347,10 @@ def test_raking_reaches_the_targets(spark):
     expected = (got.probability * got.n_tokens).sum()
     assert abs((got.selected * got.n_tokens).sum() / expected - 1) < 0.15
     assert mixing.mix_report(df.drop("topic").limit(0)).count() == 0
+    again = mixing.mix_report(df.drop("topic")).toPandas()
+    assert len(again) == len(rows) and again.topic.notna().all() and again.topic.nunique() > 1
+    same = mixing.mix_report(docs_of(spark, ["one form"] * 4)).toPandas()
+    assert len(same) == 4 and same.topic.nunique() == 1
 
 
 @pytest.mark.parametrize("name", ["op3_pii", "op4_secret_scan", "op7_warc", "op9_exact_top_k"])
