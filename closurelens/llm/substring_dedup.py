@@ -2,7 +2,8 @@
 verification, removals clustered by components.
 
 Units of a document (words as in ``common``, places in words):
-* paragraphs: lines of at least ``UNIT_WORDS`` words;
+* paragraphs: lines of at least one shingle (``SHINGLE`` words); shorter lines
+  are no passages;
 * windows: ``UNIT_WORDS`` words from a content-defined start (a word whose hash
   with its successor is the smallest within ``REACH`` words on either side).
   The starts depend on the passage alone, so a passage inside a longer paragraph
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from closurelens.llm.common import (SIMILARITY, band_keys, bands_for, chunks,
+from closurelens.llm.common import (SHINGLE, SIMILARITY, band_keys, bands_for, chunks,
                                     connected_components, minhash, mix, shingle_hashes,
                                     text_of, word_hashes)
 from closurelens.llm.ngram_join import verified_members
@@ -79,7 +80,7 @@ def units_of(text: str) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
     for line in text.lower().split("\n"):
         start = len(words)
         words += line.split()
-        if len(words) - start >= UNIT_WORDS:
+        if len(words) - start >= SHINGLE:
             ranges.append((start, len(words)))
     w = word_hashes(words)
     starts = window_starts(w)
@@ -136,7 +137,7 @@ def _paragraph_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                     continue
                 s, e = np.array(ranges, dtype=np.int64).T
                 unit += _range_hash(w, s, e, 1).view(np.int64).tolist()
-                out += [" ".join(p) for p in (x.split() for x in lines) if len(p) >= UNIT_WORDS]
+                out += [" ".join(p) for p in (x.split() for x in lines) if len(p) >= SHINGLE]
             yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(out, pa.string())], ["unit", "line"])
 
 

@@ -142,6 +142,17 @@ def test_near_paragraphs_and_odd_documents(spark):
     assert substring_dedup.repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_short_paragraphs_are_units(spark):
+    rng = random.Random(21)
+    notes = [words(rng, n) for n in (5, 6, 9, 14, 23)]
+    texts = ["\n".join([words(rng, 30), n, words(rng, 30)]) for n in notes for _ in range(3)]
+    rows = [r for r in substring_dedup.repeated_passages(docs_of(spark, texts)).collect() if r.kind == "paragraph"]
+    assert {(r.doc_id, r.word_start, r.n_words, r.removed) for r in rows} == {
+        (i, 30, len(notes[i // 3].split()), i % 3 > 0) for i in range(len(texts))}
+    left = {r.doc_id: r.text for r in substring_dedup.remove_repeats(docs_of(spark, texts)).collect()}
+    assert all((notes[i // 3] in left[i]) == (i % 3 == 0) for i in left)
+
+
 # ---- 8 ------------------------------------------------------------------------------------
 
 def test_decontamination_matches_brute_force(spark):
