@@ -4,11 +4,14 @@ verification, removals clustered by components.
 Units of a document (words as in ``common``, places in words):
 * paragraphs: lines of at least one shingle (``SHINGLE`` words); shorter lines
   are no passages;
-* windows: ``UNIT_WORDS`` words from a content-defined start (a word whose hash
-  with its successor is the smallest within ``REACH`` words on either side).
-  The starts depend on the passage alone, so a passage inside a longer paragraph
-  gets the same windows in every document; a passage of over 50 words almost
-  surely holds one.
+* windows: every ``UNIT_WORDS`` consecutive words, so a passage of that length
+  or more is found whole inside longer paragraphs.
+
+The seed of a window is the smallest hash of its ``SEED_WORDS``-word runs, so
+equal windows have equal seeds.  Documents first meet by their seeds, of which
+neighbouring windows share most; only windows whose seed occurs in another
+document are hashed and grouped themselves.  Repeated windows that follow each
+other and have the same first and last document and count are one range.
 
 Equal units have equal hashes and meet in one group.  Paragraphs also meet by
 MinHash bands, their number tuned so that a pair at the threshold collides with
@@ -17,10 +20,12 @@ candidate group, in which every pair is compared in tiles of bounded size and
 verified by exact Jaccard; verified links are joined to components.
 A class is such a component or a window; classes that occur in at least two
 documents are repeats.  In each class the document with the smallest id keeps
-its passage and the others' are removals.
+its passage and the others' are removals.  The class of a range is the hash of
+its windows; ranges of different classes may overlap.
 
 No group is gathered: classes and buckets are counted by partial minima and
-maxima and joined back.  Defined results: null text = empty text; rows without
+maxima and joined back; what is gathered or ordered per document is bounded by
+its words.  Defined results: null text = empty text; rows without
 doc_id take no part; repeated rows are one document; an empty table gives no
 rows; columns other than doc_id and text are not read.
 """
@@ -32,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from closurelens.llm.common import (SHINGLE, SIMILARITY, band_keys, bands_for, chunks,
@@ -42,24 +47,23 @@ from closurelens.llm.ngram_join import verified_members
 from closurelens.session import materialize
 
 UNIT_WORDS = 24
-REACH = 4
+SEED_WORDS = 12
 ROWS = 4
 RECALL = 0.99
-PARAGRAPH, WINDOW = 0, 1
+PARAGRAPH, SEED = 0, 1
 
 
-def window_starts(w: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Content-defined starts: strictly smallest to the left, smallest to the right."""
-    n = len(w)
-    if n < 2 * reach + 2:
-        return np.empty(0, dtype=np.int64)
-    v = mix(w[:-1] + w[1:] * np.uint64(0x9E3779B97F4A7C15))
-    m = len(v) - 2 * reach
-    ok = np.ones(m, dtype=bool)
-    mid = v[reach:reach + m]
-    for d in range(1, reach + 1):
-        ok &= (mid < v[reach - d:reach - d + m]) & (mid <= v[reach + d:reach + d + m])
-    return np.flatnonzero(ok) + reach
+def window_seeds(w: np.ndarray) -> np.ndarray:
+    """The seed of every window of one word-hash sequence, in order."""
+    n = len(w) - UNIT_WORDS + 1
+    if n < 1:
+        return np.empty(0, dtype=np.uint64)
+    at = np.arange(len(w) - SEED_WORDS + 1)
+    low, span, width = _range_hash(w, at, at + SEED_WORDS, 2), UNIT_WORDS - SEED_WORDS + 1, 1
+    while 2 * width <= span:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    return np.minimum(low[:n], low[span - width:span - width + n])
 
 
 def _range_hash(w: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
@@ -74,7 +78,7 @@ def _range_hash(w: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int)
 
 
 def units_of(text: str) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
-    """(word hashes, paragraph ranges, window starts) of one text."""
+    """(word hashes, paragraph ranges, window seeds) of one text."""
     words: list[str] = []
     ranges = []
     for line in text.lower().split("\n"):
@@ -83,8 +87,7 @@ def units_of(text: str) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
         if len(words) - start >= SHINGLE:
             ranges.append((start, len(words)))
     w = word_hashes(words)
-    starts = window_starts(w)
-    return w, ranges, starts[starts + UNIT_WORDS <= len(w)]
+    return w, ranges, window_seeds(w)
 
 
 def _units(bands: int):
@@ -94,19 +97,17 @@ def _units(bands: int):
             for a, b in chunks(texts):
                 doc, kind, unit, at, size, sets = [], [], [], [], [], []
                 for i in range(a, b):
-                    w, ranges, starts = units_of(texts[i])
-                    if not ranges and not len(starts):
+                    w, ranges, seeds = units_of(texts[i])
+                    if not ranges and not len(seeds):
                         continue
-                    s = np.array([r[0] for r in ranges] + starts.tolist(), dtype=np.int64)
-                    e = np.array([r[1] for r in ranges] + (starts + UNIT_WORDS).tolist(), dtype=np.int64)
-                    k = np.array([PARAGRAPH] * len(ranges) + [WINDOW] * len(starts), dtype=np.int8)
-                    h = _range_hash(w, s, e, 1)
-                    h[len(ranges):] ^= np.uint64(0x5555555555555555)
-                    doc.append(np.full(len(s), ids[i], dtype=np.int64))
-                    kind.append(k)
-                    unit.append(h.view(np.int64))
-                    at.append(s)
-                    size.append(e - s)
+                    seeds = seeds[np.flatnonzero(np.concatenate([[True], seeds[1:] != seeds[:-1]]))] if len(seeds) else seeds
+                    s, e = np.array(ranges, dtype=np.int64).reshape(-1, 2).T
+                    none = np.zeros(len(seeds), dtype=np.int64)
+                    doc.append(np.full(len(s) + len(seeds), ids[i], dtype=np.int64))
+                    kind.append(np.array([PARAGRAPH] * len(s) + [SEED] * len(seeds), dtype=np.int8))
+                    unit.append(np.concatenate([_range_hash(w, s, e, 1), seeds]).view(np.int64))
+                    at.append(np.concatenate([s, none]))
+                    size.append(np.concatenate([e - s, none]))
                     sets += [shingle_hashes(w[x:y]) for x, y in ranges]
                 if not doc:
                     continue
@@ -141,9 +142,48 @@ def _paragraph_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(out, pa.string())], ["unit", "line"])
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Start and hash of the windows whose seed is among the given ones."""
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for a, b in chunks(texts):
+            doc, at, unit = [], [], []
+            for i in range(a, b):
+                w, _, seeds = units_of(texts[i])
+                s = np.flatnonzero(np.isin(seeds.view(np.int64), batch.column("seeds")[i].values.to_numpy()))
+                doc.append(np.full(len(s), batch.column("doc_id")[i].as_py(), dtype=np.int64))
+                at.append(s)
+                unit.append(_range_hash(w, s, s + UNIT_WORDS, 3).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(doc)), pa.array(np.concatenate(at).astype(np.int32)),
+                 pa.array(np.concatenate(unit))], ["doc_id", "word_start", "unit"])
+
+
+def repeated_ranges(given: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Ranges of repeated windows of the texts, from the seeds (doc_id, unit) of their windows."""
+    shared = (seeds.groupBy("unit").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+              .where("low < high").select("unit"))
+    by_doc = seeds.join(shared, "unit").groupBy("doc_id").agg(F.collect_set("unit").alias("seeds"))
+    windows = materialize(given.join(by_doc, "doc_id").select("doc_id", "text", "seeds").mapInArrow(
+        _windows, "doc_id long, word_start int, unit long").distinct(), "passage-windows")
+    repeats = (windows.groupBy("unit").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
+                                           F.count("*").alias("n")).where("first < last"))
+    order = Window.partitionBy("doc_id").orderBy("word_start", "unit")
+    here, before = F.struct("first", "last", "n"), F.lag(F.struct("first", "last", "n")).over(order)
+    follows = (F.col("word_start") == F.lag("word_start").over(order) + 1) & (here == before)
+    found = (windows.join(repeats, "unit")
+             .withColumn("begins", F.when(follows, 0).otherwise(1))
+             .withColumn("range", F.sum("begins").over(order)))
+    return (found.groupBy("doc_id", "range")
+            .agg(F.min("word_start").alias("word_start"), F.count("*").alias("n"),
+                 F.bit_xor("unit").alias("x"), F.first("first").alias("first"))
+            .select("doc_id", "word_start", (F.col("n") + UNIT_WORDS - 1).alias("n_words"),
+                    F.xxhash64("x", "n").alias("unit"), "first"))
+
+
 def repeated_passages(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """doc_id, kind ('paragraph' or 'window'), word_start, n_words, class_id,
-    removed: every occurrence of a unit whose class occurs in two documents or more."""
+    """doc_id, kind ('paragraph' or 'window', a range of windows), word_start, n_words,
+    class_id, removed: every occurrence of a passage that occurs in two documents or more."""
     bands = bands_for(threshold, RECALL, ROWS)
     given = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     units = materialize(given.mapInArrow(
@@ -163,16 +203,17 @@ def repeated_passages(docs: DataFrame, threshold: float = SIMILARITY) -> DataFra
                           "passage-checked")
     roots = connected_components(checked.select(F.col("nid").alias("a"), F.col("hook").alias("b")), "passage-links")
 
-    found = units.select("doc_id", "kind", "unit", "word_start", "n_words")
-    in_class = (found.where(F.col("kind") == PARAGRAPH).join(roots, F.col("unit") == F.col("node"), "left")
-                .withColumn("unit", F.coalesce("root", "unit")).drop("node", "root")
-                .union(found.where(F.col("kind") == WINDOW)))
-    repeats = (in_class.groupBy("unit").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    paragraphs = (units.where(F.col("kind") == PARAGRAPH).join(roots, F.col("unit") == F.col("node"), "left")
+                  .select("doc_id", F.coalesce("root", "unit").alias("unit"), "word_start", "n_words"))
+    repeats = (paragraphs.groupBy("unit").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
                .where("first < last").select("unit", "first"))
-    return in_class.join(repeats, "unit").select(
-        "doc_id", F.when(F.col("kind") == PARAGRAPH, "paragraph").otherwise("window").alias("kind"),
-        F.col("word_start").cast("long").alias("word_start"), F.col("n_words").cast("long").alias("n_words"),
-        F.col("unit").alias("class_id"), (F.col("doc_id") > F.col("first")).alias("removed"))
+    ranges = repeated_ranges(given, units.where(F.col("kind") == SEED).select("doc_id", "unit"))
+    columns = ["doc_id", "kind", "word_start", "n_words", "unit", "first"]
+    return (paragraphs.join(repeats, "unit").withColumn("kind", F.lit("paragraph")).select(columns)
+            .union(ranges.withColumn("kind", F.lit("window")).select(columns))
+            .select("doc_id", "kind", F.col("word_start").cast("long").alias("word_start"),
+                    F.col("n_words").cast("long").alias("n_words"), F.col("unit").alias("class_id"),
+                    (F.col("doc_id") > F.col("first")).alias("removed")))
 
 
 _PIECE = re.compile(r"\S+")

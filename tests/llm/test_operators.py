@@ -153,6 +153,23 @@ def test_short_paragraphs_are_units(spark):
     assert all((notes[i // 3] in left[i]) == (i % 3 == 0) for i in left)
 
 
+def test_inline_passages_are_returned_and_removed_whole(spark):
+    rng = random.Random(31)
+    passages = [words(rng, n) for n in (24, 30, 40, 60, 90)] + ["tick tock " * 20]
+    around = [[words(rng, 80) for _ in range(2)] for _ in range(3 * len(passages))]
+    texts = [f"{a} {passages[i // 3].strip()} {b}" for i, (a, b) in enumerate(around)]
+    cover = {}
+    for r in substring_dedup.repeated_passages(docs_of(spark, texts)).collect():
+        cover.setdefault(r.doc_id, set()).update(range(r.word_start, r.word_start + r.n_words))
+    for i in range(len(texts)):
+        assert cover[i] >= set(range(80, 80 + len(passages[i // 3].split()))), i
+    left = {r.doc_id: r.text for r in substring_dedup.remove_repeats(docs_of(spark, texts)).collect()}
+    for i, (a, b) in enumerate(around):
+        kept = set(range(80)) | set(range(80 + len(passages[i // 3].split()), len(texts[i].split())))
+        want = texts[i] if i % 3 == 0 else " ".join(texts[i].split()[j] for j in sorted(kept - cover[i]))
+        assert left[i] == want
+
+
 # ---- 8 ------------------------------------------------------------------------------------
 
 def test_decontamination_matches_brute_force(spark):
