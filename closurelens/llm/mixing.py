@@ -5,9 +5,12 @@ and topic.  Each round scales the cells to the targets of one dimension after
 the other (a grouped sum and a join back each) until no factor moves by more
 than ``TOLERANCE`` or ``ROUNDS`` is reached; marginals that the non-empty cells
 cannot meet together are then met as closely as raking does, the topic exactly.
-A document is kept with probability weight / largest weight, so kept tokens have
-the raked shares in expectation; the draw is a hash of the row, so it is the same
-in every run.
+A document is kept with probability min(1, c * weight), where c is solved from the
+cell sums so that the kept tokens reach ``KEEP`` of all tokens in expectation.  Where
+this is cut at 1, ``repeats`` = c * weight (1 elsewhere) says how often a kept
+document counts, so that tokens times repeats have the raked shares in expectation
+and a rare cell cannot shrink the others.  The draw is a hash of the row, so it is
+the same in every run.
 
 Targets default to tempered shares (share ** power, normalised): large sources
 give way to small ones.  A table without a column ``topic`` gets one: k-means
@@ -36,6 +39,8 @@ POWERS = {"source": 0.8, "lang": 0.9, "topic": 0.95}
 TOPICS = 6
 TOLERANCE, ROUNDS = 1e-4, 25
 SEED = 17
+#: expected share of the tokens that is kept
+KEEP = 0.75
 #: step of each measure in the counted cells
 GRID = {"__f_word": 0.25, "__f_lines": 0.02, "__f_digits": 0.02, "__f_symbols": 0.02, "__f_size": 0.25}
 
@@ -121,13 +126,33 @@ def given_targets(cells: DataFrame, shares: dict[str, dict[str, float]]) -> dict
             for d, s in shares.items()} | {d: t for d, t in tempered_targets(cells).items() if d not in shares}
 
 
-def cell_weights(tagged: DataFrame, shares: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """(source, lang, topic, weight, probability) of every cell."""
+def keep_factor(raked: DataFrame, keep: float) -> float:
+    """c with sum(tokens * min(1, c * weight)) = keep * all tokens.  Each round takes the
+    cells cut at 1 from the sums and solves for the rest; c only grows, so it ends once no
+    cell joins them.  All cells of weight above 0 are cut if their tokens do not suffice."""
+    live = raked.where("weight > 0")
+    want = keep * float(raked.agg(F.sum("tokens")).first()[0] or 0)
+    c = 0.0
+    while True:
+        cut = F.col("weight") * c >= 1
+        whole, free, low = live.agg(F.sum(F.when(cut, F.col("tokens"))), F.sum(F.when(~cut, F.col("tokens") * F.col("weight"))),
+                                    F.min("weight")).first()
+        if free is None:  # all cells are cut
+            return max(c, 1 / low) if low else 1.0
+        new = (want - float(whole or 0)) / free
+        if new <= c * (1 + 1e-12):
+            return c
+        c = new
+
+
+def cell_weights(tagged: DataFrame, shares: dict[str, dict[str, float]] | None = None, keep: float = KEEP) -> DataFrame:
+    """(source, lang, topic, weight, probability, repeats) of every cell."""
     cells = materialize(tagged.select(*[_category(d).alias(d) for d in DIMENSIONS], "n_tokens")
                         .groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
     raked = rake(cells, given_targets(cells, shares or {})).withColumn("weight", F.col("w") / F.col("tokens"))
-    top = raked.agg(F.max("weight")).first()[0] or 1.0
-    return raked.select(*DIMENSIONS, "weight", (F.col("weight") / F.lit(float(top))).alias("probability"))
+    scaled = F.col("weight") * F.lit(keep_factor(raked, keep))
+    return raked.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), scaled).alias("probability"),
+                        F.greatest(F.lit(1.0), scaled).alias("repeats"))
 
 
 def _draw() -> Column:
@@ -137,20 +162,20 @@ def _draw() -> Column:
 
 
 def _weighed(tagged: DataFrame, weights: DataFrame) -> DataFrame:
-    cell = weights.select(*[F.col(d).alias(f"__c_{d}") for d in DIMENSIONS], "weight", "probability")
+    cell = weights.select(*[F.col(d).alias(f"__c_{d}") for d in DIMENSIONS], "weight", "probability", "repeats")
     same = [_category(d) == F.col(f"__c_{d}") for d in DIMENSIONS]
     return tagged.join(cell, same[0] & same[1] & same[2]).withColumn(
         "selected", (_draw() < F.col("probability")).cast("int")).drop(*[f"__c_{d}" for d in DIMENSIONS])
 
 
 def mix_report(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, weight, probability, selected of every document."""
+    """doc_id, source, lang, topic, n_tokens, weight, probability, repeats, selected of every document."""
     columns = ["doc_id", "text", "source", "lang"] + ["topic"] * ("topic" in docs.columns)
     tagged = materialize(tag(docs.select(*columns)).select("doc_id", *DIMENSIONS, "n_tokens"), "mix-tags")
     return _weighed(tagged, cell_weights(tagged, shares))
 
 
 def sample_to_targets(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """The sampled documents with their columns, topic, n_tokens, weight and probability."""
-    tagged = tag(docs.drop("n_tokens", "weight", "probability", "selected"))
+    """The sampled documents with their columns, topic, n_tokens, weight, probability and repeats."""
+    tagged = tag(docs.drop("n_tokens", "weight", "probability", "repeats", "selected"))
     return _weighed(tagged, cell_weights(tagged, shares)).where("selected = 1").drop("selected")

@@ -445,6 +445,7 @@ def q_names_embed_ready(spark, d):
 
 # ---------------------------------------------------------------- spatial and fuzzy joins
 
+# first search radius; points without a reference in it are searched farther
 GEOCODE_RADIUS_M = 2000.0
 
 

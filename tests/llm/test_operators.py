@@ -381,6 +381,19 @@ def test_raking_reaches_the_targets(spark):
     assert len(same) == 4 and same.topic.nunique() == 1
 
 
+def test_a_rare_cell_does_not_shrink_the_others(spark):
+    rng = random.Random(5)
+    rows = [(i, words(rng, 40), "en", rng.choice("aab"), "x") for i in range(2000)]
+    df = spark.createDataFrame(rows + [(9000, "one", None, "stray", "x")], "doc_id long, text string, lang string, source string, topic string")
+    got = mixing.mix_report(df).toPandas()
+    mass = got.probability * got.n_tokens
+    assert abs(mass.sum() / got.n_tokens.sum() - mixing.KEEP) < 1e-6
+    stray = got[got.doc_id == 9000].iloc[0]
+    assert stray.probability == 1 and stray.repeats > 1
+    ratio = got.probability * got.repeats / got.weight
+    assert ratio.max() / ratio.min() - 1 < 1e-9
+
+
 @pytest.mark.parametrize("name", ["op3_pii", "op4_secret_scan", "op7_warc", "op9_exact_top_k"])
 def test_queries_match_sql(spark, name):
     from closurelens.llm.queries import QUERIES, SQL
