@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from closurelens.llm import (decontaminate, html_extract, mixing, ngram_join, pii, secrets_ledger,
+from closurelens.llm import (conversation_repair, decontaminate, html_extract, mixing, ngram_join, pii, secrets_ledger,
                               substring_dedup, toxicity, va_search, warc)
 from closurelens.llm.common import table
 
@@ -52,6 +52,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_substring_dedup": op2_substring_dedup,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 SQL: dict[str, str] = {
@@ -70,4 +75,5 @@ SQL: dict[str, str] = {
     "op4_secret_scan": secrets_ledger.oracle(),
     "op7_warc": warc.oracle(),
     "op9_exact_top_k": va_search.oracle(),
+    "op12_conversation_repair": conversation_repair.oracle(),
 }
