@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from closurelens.llm import (conversation_repair, decontaminate, html_extract, mixing, ngram_join, pii, secrets_ledger,
-                              substring_dedup, toxicity, va_search, warc)
+from closurelens.llm import (conversation_repair, decontaminate, html_extract, lexical_search, mixing, ngram_join,
+                              pii, secrets_ledger, substring_dedup, toxicity, va_search, warc)
 from closurelens.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_substring_dedup": op2_substring_dedup,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_toxicity": op10_toxicity,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 SQL: dict[str, str] = {
@@ -76,4 +81,5 @@ SQL: dict[str, str] = {
     "op7_warc": warc.oracle(),
     "op9_exact_top_k": va_search.oracle(),
     "op12_conversation_repair": conversation_repair.oracle(),
+    "op13_ranked_search": lexical_search.oracle(),
 }

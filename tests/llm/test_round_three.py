@@ -10,6 +10,7 @@ import duckdb
 import pandas as pd
 
 from closurelens.llm import conversation_repair as turns
+from closurelens.llm import lexical_search as search
 
 SF = "/root/testdata/sf0.001"
 
@@ -94,3 +95,46 @@ def test_a_conversation_that_lost_all_rows(spark):
     conv = next(i for i in range(1000) if zlib.crc32(f"{i}:0".encode()) % 20 == 0)
     row = turns.repair_damaged(conversations(spark, [(conv, 0, "user", "gone.", "", 0, 0)])).first()
     assert tuple(row) == (conv, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+
+
+# ---- 13 -----------------------------------------------------------------------------------
+
+WORDS = ["the", "The", "of", "größe", "año", "x1", "zeta", "omega", "rare", "b2", "名前"]
+
+
+def text_of(rng, n):
+    return rng.choice(["", "- "]) + "".join(rng.choice(WORDS) + rng.choice([" ", ", ", "\x7f", "\n", "_"]) for _ in range(n))
+
+
+def ranked(spark, docs, items, **options):
+    d = spark.createDataFrame([(*r, i, b"x", 7) for i, r in enumerate(docs)],
+                              "doc_id long, text string, score int, hash binary, place int")
+    q = spark.createDataFrame([(*r, 1, "z") for r in items], "item_id long, text string, rank int, doc_id string")
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+    con.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    got = search.search(d, q, **options).toPandas().astype({"doc_id": "Int64"})
+    same(got, con.execute(search.oracle()).df().astype({"doc_id": "Int64"}), ["item_id", "rank"])
+    return got
+
+
+def test_search_equals_sql_with_few_slots_and_small_batches(spark):
+    # 16 slots for 11 words: bounds are loose, several batches are needed, and items come in blocks
+    rng = random.Random(4)
+    docs = [(i, text_of(rng, rng.randint(0, 60))) for i in range(300)]
+    items = [(i, text_of(rng, rng.randint(1, 12))) for i in range(12)]
+    got = ranked(spark, docs, items, slots=16, first=3, item_block=5, block_chars=5_000)
+    assert len(got) > 100
+
+
+def test_search_of_odd_rows(spark):
+    rng = random.Random(5)
+    many = text_of(rng, 30)
+    docs = [(None, "omega rare"), (None, None), (1, ""), (2, "..."), (3, "omega rare"), (3, "omega rare"), (4, "rare " * 400),
+            (5, "the " * 30_000 + "zeta"), *[(i, many) for i in range(100, 160)], *[(i, text_of(rng, 20)) for i in range(6, 60)]]
+    items = [(1, "OMEGA rare rare"), (1, "OMEGA rare rare"), (2, ""), (3, None), (4, "nowhere"), (5, many), (6, "the the zeta")]
+    got = ranked(spark, docs, items)
+    assert got.sort_values("rank").doc_id[got.item_id == 5].tolist() == list(range(100, 110)) and set(got.item_id) == {1, 5, 6}
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert search.search(none, spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    assert search.search(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
