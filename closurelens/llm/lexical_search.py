@@ -43,14 +43,15 @@ from closurelens.session import materialize
 
 K = 10
 SLOTS = 1 << 16
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 3_000_000
 ITEMS = 500
 #: texts per item in the first batch of exact scores, and the growth of later ones
 FIRST, GROWTH = 32, 8
 _MANY = 255
 #: no impact is larger: (10^9 tf) div (1000 tf + 8 m) with m > 0
 _TOP = 1_000_000
-_ROWS = 2_000
+#: documents per product with the items' weights, and rows taken from a batch at once
+_ROWS, _TAKEN = 500, 256
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -113,13 +114,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], n_slots: int, chars: int) -> Iter
     kind = None
     for batch in batches:
         kind = batch.schema.field("doc_id").type
-        for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-            words = terms_of(raw)
-            ids.append(doc_id), lengths.append(len(words)), hashes.append(hashlib.sha256(raw).digest())
-            parts.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
-            size += len(raw) + 200
-            if size >= chars:
-                yield close(kind)
+        for a in range(0, batch.num_rows, _TAKEN):
+            some = batch.slice(a, _TAKEN)
+            for doc_id, raw in zip(some.column("doc_id").to_pylist(), some.column("text").cast(pa.binary()).to_pylist()):
+                words = terms_of(raw)
+                ids.append(doc_id), lengths.append(len(words)), hashes.append(hashlib.sha256(raw).digest())
+                parts.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+                size += len(raw) + 200
+                if size >= chars:
+                    yield close(kind)
     if ids:
         yield close(kind)
 
@@ -150,7 +153,7 @@ def _bounds(columns: np.ndarray, weights: np.ndarray, floors: np.ndarray, most:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 hashes = [row["hashes"][i:i + 32] for i in range(0, len(row["hashes"]), 32)]
                 once = np.array(sorted({h: i for i, h in reversed(list(enumerate(hashes)))}.values()))
                 m = length_part(np.frombuffer(row["lengths"], np.int64), n_docs, n_terms)
