@@ -45,6 +45,8 @@ K = 10
 SLOTS = 1 << 16
 BLOCK_CHARS = 3_000_000
 ITEMS = 500
+#: texts of a batch that are broadcast, at 50 bytes and one small list each; more are joined by a shuffle
+BROADCAST_TEXTS = 100_000
 #: texts per item in the first batch of exact scores, and the growth of later ones
 FIRST, GROWTH = 32, 8
 _MANY = 255
@@ -147,11 +149,27 @@ class Index:
 
 
 def _bounds(columns: np.ndarray, weights: np.ndarray, floors: np.ndarray, most: int, n_docs: int, n_terms: int) -> Callable:
-    """Per block: (item, hash, bound) of distinct texts whose bound reaches the item's
-    floor, the ``most`` highest of each item only if ``most`` is not 0."""
+    """(item, hash, bound) of distinct texts whose bound reaches the item's floor; if
+    ``most`` is not 0, the ``most`` highest of each item in the task only."""
     loose = 1.0 if (weights.sum(axis=0) * _TOP < 2.0 ** 53).all() else 1 + 1e-9
 
+    def highest(held: dict[tuple[int, bytes], int], low: np.ndarray) -> dict[tuple[int, bytes], int]:
+        kept, times = {}, Counter()
+        for (q, h), b in sorted(held.items(), key=lambda x: (x[0][0], -x[1])):
+            if times[q] < most:
+                kept[q, h] = b
+                times[q] += 1
+                if times[q] == most:
+                    low[q] = b
+        return kept
+
+    def batch_of(item: list, hashes: list, bound: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(item, pa.int32()), pa.array(hashes, pa.binary()), pa.array(bound, pa.int64())], ["item", "hash", "bound"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, bytes], int] = {}
+        low = floors.copy()
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 hashes = [row["hashes"][i:i + 32] for i in range(0, len(row["hashes"]), 32)]
@@ -170,15 +188,19 @@ def _bounds(columns: np.ndarray, weights: np.ndarray, floors: np.ndarray, most:
                     sketch[doc[i:j] - a, col[i:j]] = r[i:j]
                     mine = once[(once >= a) & (once < a + _ROWS)]
                     b = np.floor(sketch[mine - a] @ weights * loose)
-                    keep = b >= floors
+                    keep = b >= low
                     if most and len(mine) > most:
                         keep &= b >= np.partition(b, len(mine) - most, axis=0)[len(mine) - most]
                     d, q = np.nonzero(keep)
                     item.append(q), text.append(mine[d]), bound.append(b[d, q].astype(np.int64))
-                item, text, bound = map(np.concatenate, (item, text, bound))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(item.astype(np.int32)), pa.array([hashes[t] for t in text], pa.binary()), pa.array(bound)],
-                    ["item", "hash", "bound"])
+                item, text, bound = [np.concatenate(x).tolist() for x in (item, text, bound)]
+                text = [hashes[t] for t in text]
+                if most:
+                    held.update(zip(zip(item, text), bound))
+                    held = highest(held, low)
+                else:
+                    yield batch_of(item, text, bound)
+        yield batch_of([q for q, _ in held], [h for _, h in held], list(held.values()))
 
     return run
 
@@ -227,6 +249,8 @@ def _search_block(index: Index, items: list, first: int) -> DataFrame:
         wanted = pairs.groupBy("hash").agg(F.collect_list("item").alias("items"))
         least = index.copies.where("place = 1").select("hash", F.col("doc_id").alias("id"))
         wanted = materialize(wanted.join(least, "hash"), "search-texts")
+        if wanted.count() <= BROADCAST_TEXTS:
+            wanted = F.broadcast(wanted)
         rows = (index.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")))
                 .where(F.unhex(F.sha2("text", 256)) == F.col("hash")).select("hash", "text", "items"))
         return materialize(rows.mapInArrow(_exact(bags, w, *stats), "item int, hash binary, score long")
