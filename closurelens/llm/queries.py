@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from closurelens.llm import (conversation_repair, decontaminate, html_extract, lexical_search, mixing, ngram_join,
-                              pii, secrets_ledger, substring_dedup, toxicity, va_search, warc)
+from closurelens.llm import (conversation_repair, decontaminate, hidden_markov, html_extract, lexical_search, mixing,
+                              ngram_join, pii, secrets_ledger, substring_dedup, toxicity, va_search, warc)
 from closurelens.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op11_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.language_report(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op11_hidden_markov": op11_hidden_markov,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_ranked_search": op13_ranked_search,
 }

@@ -2,14 +2,20 @@
 with nulls, ties, repeated rows, long texts, empty tables and clashing columns."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pandas as pd
+import pytest
 
 from closurelens.llm import conversation_repair as turns
+from closurelens.llm import hidden_markov as hmm
 from closurelens.llm import lexical_search as search
 
 SF = "/root/testdata/sf0.001"
@@ -138,3 +144,101 @@ def test_search_of_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert search.search(none, spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert search.search(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+# ---- 11 -----------------------------------------------------------------------------------
+
+def small_model(states, classes, seed):
+    rng = np.random.default_rng(seed)
+    part = lambda *shape: (lambda x: x / x.sum(axis=-1, keepdims=True))(rng.random(shape) + 0.1)
+    names = hmm.Classes({str(i).encode(): (i, 1) for i in range(1, classes)}, 0)
+    return hmm.Model(names, part(states), part(states, states), part(states, classes).T.copy(), np.ones(classes))
+
+
+def by_paths(text, m):
+    """Likelihood and expected counts of one text, summed over every path of states."""
+    k = len(m.first)
+    like, first, pairs, counts = 0.0, np.zeros(k), np.zeros((k, k)), np.zeros(m.emits.shape)
+    for path in itertools.product(range(k), repeat=len(text)):
+        p = m.first[path[0]] * math.prod(m.moves[a, b] for a, b in zip(path, path[1:]))
+        p *= math.prod(m.emits[g, q] for g, q in zip(text, path))
+        like += p
+        first[path[0]] += p
+        for a, b in zip(path, path[1:]):
+            pairs[a, b] += p
+        for g, q in zip(text, path):
+            counts[g, q] += p
+    return like, first / like, pairs / like, counts / like
+
+
+@pytest.mark.parametrize("stretch", [1_000_000, 3])
+def test_expected_counts_equal_all_paths(monkeypatch, stretch):
+    monkeypatch.setattr(hmm, "STRETCH", stretch)
+    rng = random.Random(6)
+    m = small_model(3, 4, 1)
+    texts = sorted([np.array([rng.randrange(4) for _ in range(rng.randint(1, 6))], np.uint16) for _ in range(8)], key=lambda x: -len(x))
+    want = [by_paths(t, m) for t in texts]
+    total, first, pairs, counts = hmm._expected(texts, m)
+    assert math.isclose(total, sum(math.log(w[0]) for w in want), rel_tol=1e-5)
+    for got, i in ((first, 1), (pairs, 2), (counts, 3)):
+        assert np.allclose(got, sum(w[i] for w in want), rtol=1e-4)
+    stack, logs, now = hmm._Stack(texts), np.zeros(len(texts)), None
+    for a, b in zip(stack.cuts[:-1], stack.cuts[1:]):
+        _, scale, now = hmm._forward(stack, m, a, b, now, m.emits)
+        text = np.arange(len(scale)) - np.repeat(stack.o[a:b] - stack.o[a], stack.n[a:b])
+        logs += np.bincount(text, weights=np.log(scale), minlength=len(texts))
+    assert np.allclose(logs, [math.log(w[0]) for w in want], rtol=1e-12)
+
+
+def key_words(tokens):
+    return [w if len(w) <= 64 else b" " + hashlib.sha256(w).digest() for w in tokens]
+
+
+def test_scores_base_by_hand_and_model_by_enumeration(spark):
+    texts = ["a b a", "B  c\u00a0d", None, "", " \t\n", "a b a", "\x1cx y", "É é", "b b b b", "c a b", "w" * 70 + " a", "w" * 70]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "a b"), (3, "")]
+    docs = spark.createDataFrame([(*r, 1, b"", True) for r in rows], "doc_id long, text string, block int, classes binary, held boolean")
+    tokens = [(t or "").encode().lower().split() + [b" "] for _, t in rows]
+    out = [zlib.crc32(str("" if i is None else i).encode()) % 7 == 2 for i, _ in rows]
+    tokens = [key_words(t) for t in tokens]
+    c = Counter(w for t, h in zip(tokens, out) if not h for w in t)
+    total, distinct = sum(c.values()), len(c)
+    got = hmm.language_scores(docs, hmm.held_out_rows(), states=2, top=3, forms=5, rounds=2, block_chars=150).toPandas()
+    assert got.columns.tolist() == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    key = lambda r: (str(r[0]), r[1:4], round(r[4], 9))
+    want = [(float("nan") if i is None else float(i), h, len(t), sum(w in c for w in t),
+             sum(math.log10((c[w] + 1) / (total + distinct + 1)) for w in t)) for (i, _), h, t in zip(rows, out, tokens)]
+    have = [(float(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.base_score) for r in got.itertuples()]
+    assert sorted(map(key, have)) == sorted(map(key, want)) and set(got.train_tokens) == {total}
+    assert got.score.notna().all() and (got.score < 0).all()
+    # one state: a text's score is the product of its class and word factors
+    frequent = sorted((x for x in c.items() if x[0] != b" "), key=lambda x: (-x[1], x[0]))[:3]
+    classes = hmm.Classes({w: (i, n) for i, (w, n) in enumerate(frequent, 1)}, 5)
+    n, v = Counter(), Counter()
+    for w, times in c.items():
+        n[classes.of(w)] += times
+        v[classes.of(w)] += 1
+    mass = {g: n[g] + v[g] + (n[g] == 0 or g > 3) for g in range(classes.n)}
+    emit = {g: (n[g] + 200 * mass[g] / sum(mass.values())) / (total + 200) for g in mass}
+    score = [sum(math.log10(emit[classes.of(w)] * (c[w] + 1) / mass[classes.of(w)]) for w in t) for t in tokens]
+    one = hmm.language_scores(docs, hmm.held_out_rows(), states=1, top=3, forms=5, rounds=3).toPandas()
+    assert np.allclose(sorted(one.score), sorted(score), rtol=1e-5)
+
+
+def test_model_beats_its_base_on_held_out_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = hmm.language_report(docs).toPandas()
+    held = got[got.held_out]
+    assert len(got) == docs.count() and held.score.sum() > held.base_score.sum()
+    _, track = hmm.baum_welch(spark.createDataFrame(
+        [(np.random.default_rng(i).integers(0, 4, 30).astype(np.uint16).tobytes(),) for i in range(20)], "classes binary"),
+        small_model(2, 4, 3), 4)
+    assert all(b >= a - 0.5 for a, b in zip(track, track[1:]))
+
+
+def test_scores_of_empty_and_untrained_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert hmm.language_report(none).count() == 0
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    row = hmm.language_report(spark.createDataFrame([(held, "some words " * 5_000)], "doc_id long, text string")).first()
+    assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (True, 10_001, 0, 0, 0.0)
