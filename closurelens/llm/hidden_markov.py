@@ -37,6 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,8 @@ from closurelens.session import materialize
 
 STATES = 8
 TOP, FORMS = 8192, 4096
+#: frequent words whose counts every task holds; the others are joined
+COMMON = 131_072
 ROUNDS = 6
 BLOCK_CHARS = 3_000_000
 #: tokens of the texts that are sorted by length together, of one batch, and of one stretch of a long text
@@ -57,9 +60,29 @@ _FIXED = 1 << 20
 END = b" "
 
 
-def words_of(raw: bytes) -> list[bytes]:
-    """Words of a UTF-8 text; very long ones by a digest, marked by a space."""
-    return [w if len(w) <= 64 else b" " + hashlib.sha256(w).digest() for w in raw.lower().split()]
+def key_of(word: bytes) -> bytes:
+    """The word, or for a very long one its digest, marked by a space."""
+    return word if len(word) <= 64 else b" " + hashlib.sha256(word).digest()
+
+
+def _compress(raw: bytes) -> bytes:
+    return zstandard.compress(raw, 1)
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, all low bytes first, compressed."""
+    return _compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _unpack_words(lengths: bytes, joined: bytes) -> list[bytes]:
+    ends = np.cumsum(_unpack(lengths)).tolist()
+    raw = zstandard.decompress(joined)
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
 class _Numbers(dict):
@@ -69,7 +92,7 @@ class _Numbers(dict):
 
 
 _BLOCK = ("block long, doc_ids array<{id}>, held array<boolean>, lengths binary, tokens binary, "
-          "words array<binary>, counts array<long>")
+          "word_lengths binary, joined binary, words array<binary>, counts array<long>")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[pa.RecordBatch]:
@@ -77,12 +100,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[pa.Record
 
     def close(kind: pa.DataType) -> pa.RecordBatch:
         nonlocal ids, held, parts, numbers, size
+        words = [key_of(w) for w in numbers]
         train = [p for p, h in zip(parts, held) if not h]
         counts = np.bincount(np.concatenate(train) if train else np.empty(0, np.int64), minlength=len(numbers))
-        tokens = np.concatenate(parts).astype(np.uint16 if len(numbers) <= 65536 else np.uint32)
         row = [uuid.uuid4().int >> 65, ids, held, np.array([len(p) for p in parts], np.int64).tobytes(),
-               tokens.tobytes(), list(numbers), counts.tolist()]
-        types = [pa.int64(), pa.list_(kind), pa.list_(pa.bool_()), pa.binary(), pa.binary(),
+               _pack(np.concatenate(parts)), _pack(np.array([len(w) for w in words])), _compress(b"".join(words)),
+               words, counts.tolist()]
+        types = [pa.int64(), pa.list_(kind), pa.list_(pa.bool_()), *[pa.binary()] * 4,
                  pa.list_(pa.binary()), pa.list_(pa.int64())]
         ids, held, parts, numbers, size = [], [], [], _Numbers(), 0
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)],
@@ -95,7 +119,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[pa.Record
             some = batch.slice(a, 256)
             for doc_id, out, raw in zip(some.column("doc_id").to_pylist(), some.column("held_out").to_pylist(),
                                         some.column("text").cast(pa.binary()).to_pylist()):
-                words = words_of(raw)
+                words = raw.lower().split()
                 words.append(END)
                 ids.append(doc_id), held.append(out)
                 parts.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
@@ -110,7 +134,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[pa.Record
 class Classes:
     """Classes of words: the end 0, frequent words 1.., endings after them."""
 
-    top: dict[bytes, tuple[int, int]]
+    top: dict[bytes, int]
     forms: int
 
     @property
@@ -121,7 +145,7 @@ class Classes:
         if word == END:
             return 0
         if word in self.top:
-            return self.top[word][0]
+            return self.top[word]
         return 1 + len(self.top) + zlib.crc32(word[-3:] + bytes([min(len(word), 15)])) % self.forms
 
 
@@ -146,31 +170,32 @@ def _class_sums(batches: Iterator[pa.RecordBatch], classes: Classes) -> Iterator
     yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(n[g]), pa.array(v[g])], ["g", "n", "v"])
 
 
-def _coder(classes: Classes, mass: np.ndarray, end_count: int, total: int, distinct: int):
+def _coder(classes: Classes, mass: np.ndarray, common: list[tuple[bytes, int]], total: int, distinct: int):
     """Blocks and the counts of their words to one row per text: its classes, what it
     knows, its base score and the part of its score that no state changes."""
+    place = {w: i for i, (w, _) in enumerate(common)}
+    held = np.array([c for _, c in common] + [0], np.int64)
+    held_g = np.array([classes.of(w) for w, _ in common] + [0], np.int64)
+
     def code(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in block.itertuples():
-            words = [bytes(w) for w in row.words]
-            c = np.zeros(len(words), np.int64)
+            words = _unpack_words(row.word_lengths, row.joined)
+            at = np.array([place.get(w, -1) for w in words], np.int64)
+            c, g = held[at], held_g[at]
             c[found.i.to_numpy()] = found.c.to_numpy()
-            for i, w in enumerate(words):
-                if w == END:
-                    c[i] = end_count
-                elif w in classes.top:
-                    c[i] = classes.top[w][1]
-            g = np.array([classes.of(w) for w in words], np.int64)
+            rare = np.flatnonzero(at < 0)
+            g[rare] = [classes.of(words[i]) for i in rare]
             base, part = np.log10((c + 1) / (total + distinct + 1)), np.log10((c + 1) / mass[g])
             lengths = np.frombuffer(row.lengths, np.int64)
-            tokens = np.frombuffer(row.tokens, np.uint16 if len(words) <= 65536 else np.uint32)
+            tokens = _unpack(row.tokens)
             starts = np.cumsum(lengths) - lengths
             known = np.add.reduceat((c > 0)[tokens].astype(np.int64), starts)
             coded = g.astype(np.uint16)[tokens]
             out.append(pd.DataFrame({
                 "doc_id": list(row.doc_ids), "held_out": list(row.held), "n_tokens": lengths, "n_known": known,
                 "base_score": np.add.reduceat(base[tokens], starts), "part": np.add.reduceat(part[tokens], starts),
-                "classes": [coded[a:a + n].tobytes() for a, n in zip(starts, lengths)]}))
+                "classes": [_compress(coded[a:a + n].tobytes()) for a, n in zip(starts, lengths)]}))
         return pd.concat(out) if out else pd.DataFrame(
             {c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "part", "classes")})
 
@@ -222,7 +247,7 @@ class _Stack:
 def _forward(s: _Stack, model: Model, a: int, b: int, before: np.ndarray | None, emits: np.ndarray):
     """Scaled forward recursion over steps a to b: alphas, scales and the last alphas."""
     o = (s.o[a:b + 1] - s.o[a]).tolist()
-    alpha = emits[s.symbols[s.o[a]:s.o[b]]]
+    alpha = np.take(emits, s.symbols[s.o[a]:s.o[b]].astype(np.int64), axis=0)
     scale = np.empty(len(alpha), emits.dtype)
     ones = np.ones(emits.shape[1], emits.dtype)
     moves = model.moves.astype(emits.dtype)
@@ -251,8 +276,8 @@ def _expected(texts: list[np.ndarray], model: Model) -> tuple[float, np.ndarray,
         alpha, scale, _ = _forward(s, model, a, b, before, emits)
         total += np.log(scale, dtype=np.float64).sum()
         o = (s.o[a:b + 1] - s.o[a]).tolist()
-        symbols = s.symbols[s.o[a]:s.o[b]]
-        seen = emits[symbols]
+        symbols = s.symbols[s.o[a]:s.o[b]].astype(np.int64)
+        seen = np.take(emits, symbols, axis=0)
         seen /= scale[:, None]
         beta = np.ones_like(seen)
         for t in range(b - a - 1, -1, -1):
@@ -270,15 +295,14 @@ def _expected(texts: list[np.ndarray], model: Model) -> tuple[float, np.ndarray,
         if a == 0:
             first += alpha[:n[0]].sum(axis=0)
         for j in range(k):
-            counts[:, j] += np.bincount(symbols, weights=alpha[:, j], minlength=len(counts))
+            counts[:, j] += np.bincount(symbols, weights=alpha[:, j].astype(np.float64), minlength=len(counts))
     return total, first, pairs * model.moves, counts
 
 
-def _texts(batches: Iterator[pa.RecordBatch], tag: str | None = None) -> Iterator[tuple[np.ndarray, object]]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, None]]:
     for batch in batches:
-        tags = batch.column(tag).to_pylist() if tag else [None] * batch.num_rows
-        for x, y in zip(batch.column("classes"), tags):
-            yield np.frombuffer(x.as_buffer(), np.uint16), y
+        for x in batch.column("classes"):
+            yield np.frombuffer(zstandard.decompress(x.as_buffer()), np.uint16), None
 
 
 def _expect(model: Model):
@@ -305,7 +329,7 @@ def _score(model: Model):
             for batch in batches:
                 rest = batch.drop_columns(["classes"])
                 for x, i in zip(batch.column("classes"), range(batch.num_rows)):
-                    yield np.frombuffer(x.as_buffer(), np.uint16), rest.slice(i, 1)
+                    yield np.frombuffer(zstandard.decompress(x.as_buffer()), np.uint16), rest.slice(i, 1)
 
         for batch in _batches(rows()):
             s = _Stack([x for x, _ in batch])
@@ -356,7 +380,7 @@ def baum_welch(coded: DataFrame, model: Model, rounds: int) -> tuple[Model, list
 
 
 def language_scores(documents: DataFrame, held_out: Column, states: int = STATES, top: int = TOP, forms: int = FORMS,
-                    rounds: int = ROUNDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+                    rounds: int = ROUNDS, common: int = COMMON, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Scores every text by the model of the rows that are not held out: doc_id,
     held_out, n_tokens, n_known, train_tokens, base_score, score."""
     if not 0 < 1 + top + forms <= 65536:
@@ -369,9 +393,10 @@ def language_scores(documents: DataFrame, held_out: Column, states: int = STATES
         .groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("c")), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     end = F.col("word") == F.lit(bytearray(END))
-    end_count = (counts.where(end).first() or (None, 0))[1]
-    frequent = counts.where(~end).orderBy(F.desc("c"), "word").limit(top)
-    classes = Classes({bytes(r.word): (i, r.c) for i, r in enumerate(frequent.collect(), 1)}, forms)
+    # the end first, then words by falling count: 64 bytes at most each
+    frequent = counts.orderBy(F.desc(end), F.desc("c"), "word").limit(1 + max(top, common)).collect()
+    known = {bytes(r.word): r.c for r in frequent}
+    classes = Classes({w: i for i, w in enumerate([w for w in known if w != END][:top], 1)}, forms)
     n, v = np.zeros(classes.n, np.int64), np.zeros(classes.n, np.int64)
     for r in (counts.mapInArrow(lambda rows: _class_sums(rows, classes), "g long, n long, v long")
               .groupBy("g").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()):
@@ -379,12 +404,12 @@ def language_scores(documents: DataFrame, held_out: Column, states: int = STATES
     mass = (n + v + ((n == 0) | (np.arange(classes.n) > len(classes.top)))).astype(np.float64)
 
     spark = documents.sparkSession
-    listed = spark.createDataFrame([(w,) for w in [END, *classes.top]], "word binary")
+    listed = spark.createDataFrame([(w,) for w in known] or [(END,)], "word binary")
     places = blocks.select(F.col("block").alias("b"), F.posexplode("words").alias("i", "word")).join(F.broadcast(listed), "word", "left_anti")
     found = places.join(counts, "word").select("b", "i", "c")
-    code = _coder(classes, mass, end_count, total, distinct)
+    code = _coder(classes, mass, list(known.items()), total, distinct)
     coded = materialize(
-        blocks.drop("counts").groupBy("block").cogroup(found.groupBy("b")).applyInPandas(
+        blocks.drop("words", "counts").groupBy("block").cogroup(found.groupBy("b")).applyInPandas(
             code, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, part double, classes binary"),
         "lm-coded")
     model, _ = baum_welch(coded.where("not held_out"), _start(classes, mass, states), rounds)

@@ -13,6 +13,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import zstandard
 
 from closurelens.llm import conversation_repair as turns
 from closurelens.llm import hidden_markov as hmm
@@ -151,7 +152,7 @@ def test_search_of_odd_rows(spark):
 def small_model(states, classes, seed):
     rng = np.random.default_rng(seed)
     part = lambda *shape: (lambda x: x / x.sum(axis=-1, keepdims=True))(rng.random(shape) + 0.1)
-    names = hmm.Classes({str(i).encode(): (i, 1) for i in range(1, classes)}, 0)
+    names = hmm.Classes({str(i).encode(): i for i in range(1, classes)}, 0)
     return hmm.Model(names, part(states), part(states, states), part(states, classes).T.copy(), np.ones(classes))
 
 
@@ -203,7 +204,7 @@ def test_scores_base_by_hand_and_model_by_enumeration(spark):
     tokens = [key_words(t) for t in tokens]
     c = Counter(w for t, h in zip(tokens, out) if not h for w in t)
     total, distinct = sum(c.values()), len(c)
-    got = hmm.language_scores(docs, hmm.held_out_rows(), states=2, top=3, forms=5, rounds=2, block_chars=150).toPandas()
+    got = hmm.language_scores(docs, hmm.held_out_rows(), states=2, top=3, forms=5, rounds=2, common=4, block_chars=150).toPandas()
     assert got.columns.tolist() == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     key = lambda r: (str(r[0]), r[1:4], round(r[4], 9))
     want = [(float("nan") if i is None else float(i), h, len(t), sum(w in c for w in t),
@@ -213,7 +214,7 @@ def test_scores_base_by_hand_and_model_by_enumeration(spark):
     assert got.score.notna().all() and (got.score < 0).all()
     # one state: a text's score is the product of its class and word factors
     frequent = sorted((x for x in c.items() if x[0] != b" "), key=lambda x: (-x[1], x[0]))[:3]
-    classes = hmm.Classes({w: (i, n) for i, (w, n) in enumerate(frequent, 1)}, 5)
+    classes = hmm.Classes({w: i for i, (w, _) in enumerate(frequent, 1)}, 5)
     n, v = Counter(), Counter()
     for w, times in c.items():
         n[classes.of(w)] += times
@@ -231,7 +232,7 @@ def test_model_beats_its_base_on_held_out_rows(spark):
     held = got[got.held_out]
     assert len(got) == docs.count() and held.score.sum() > held.base_score.sum()
     _, track = hmm.baum_welch(spark.createDataFrame(
-        [(np.random.default_rng(i).integers(0, 4, 30).astype(np.uint16).tobytes(),) for i in range(20)], "classes binary"),
+        [(zstandard.compress(np.random.default_rng(i).integers(0, 4, 30).astype(np.uint16).tobytes()),) for i in range(20)], "classes binary"),
         small_model(2, 4, 3), 4)
     assert all(b >= a - 0.5 for a, b in zip(track, track[1:]))
 
