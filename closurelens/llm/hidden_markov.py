@@ -379,6 +379,20 @@ def baum_welch(coded: DataFrame, model: Model, rounds: int) -> tuple[Model, list
     return model, track
 
 
+def _least_count(counts: DataFrame, wanted: int) -> int:
+    """The largest bound that at least ``wanted`` words reach (1 if none does), from the
+    numbers of words by the leading 12 bits of their count, so that a sort by count
+    meets few more words than it keeps."""
+    low = F.greatest(F.floor(F.log2("c")) - 11, F.lit(0)).cast("int")
+    bins = counts.select(low.alias("s"), "c").selectExpr("shiftleft(shiftright(c, s), s) AS least")
+    have = 0
+    for r in sorted(bins.groupBy("least").count().collect(), reverse=True):
+        have += r["count"]
+        if have >= wanted:
+            return r.least
+    return 1
+
+
 def language_scores(documents: DataFrame, held_out: Column, states: int = STATES, top: int = TOP, forms: int = FORMS,
                     rounds: int = ROUNDS, common: int = COMMON, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Scores every text by the model of the rows that are not held out: doc_id,
@@ -394,7 +408,9 @@ def language_scores(documents: DataFrame, held_out: Column, states: int = STATES
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     end = F.col("word") == F.lit(bytearray(END))
     # the end first, then words by falling count: 64 bytes at most each
-    frequent = counts.orderBy(F.desc(end), F.desc("c"), "word").limit(1 + max(top, common)).collect()
+    wanted = 1 + max(top, common)
+    least = _least_count(counts, wanted)
+    frequent = counts.where((F.col("c") >= least) | end).orderBy(F.desc(end), F.desc("c"), "word").limit(wanted).collect()
     known = {bytes(r.word): r.c for r in frequent}
     classes = Classes({w: i for i, w in enumerate([w for w in known if w != END][:top], 1)}, forms)
     n, v = np.zeros(classes.n, np.int64), np.zeros(classes.n, np.int64)
