@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_number
 from ..functions.numeric import flag, nan_to_null, parse_numeric, safe_log1p
+from . import ranks
 
 
 def label_codes(df: DataFrame, cols: Sequence[str], suffix: str = "_code") -> DataFrame:
@@ -76,9 +77,16 @@ def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "_z") -> DataF
     return out
 
 
+def key_hash(cols: Sequence[str], seed: int):
+    """A 60-bit number from the seed and the key columns as text, by MD5: the same in
+    any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[
+        F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])), 1, 15), 16, 10).cast("long")
+
+
 def hash_bucket(cols: Sequence[str], seed: int, buckets: int = 100):
     """Stable pseudo-random bucket of a row from its key columns."""
-    return F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in cols]), F.lit(buckets))
+    return F.pmod(key_hash(cols, seed), F.lit(buckets))
 
 
 def hash_split(df: DataFrame, key_cols: Sequence[str], seed: int = 42, test_pct: int = 20,
@@ -89,35 +97,34 @@ def hash_split(df: DataFrame, key_cols: Sequence[str], seed: int = 42, test_pct:
                          .otherwise(F.lit("train")))
 
 
+#: hash cells of the sample; their counts are the only rows that meet in one task
+SAMPLE_CELLS = 4096
+
+
 def hash_sample(df: DataFrame, key_cols: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """Fixed-size sample (O9): exactly the ``n`` rows with the smallest key
-    hash -- independent of partitioning and re-runs.  A narrow prefilter
-    keeps only rows whose hash, mapped to [0, 1), is below ~1.5 n / N (N from
-    one count), so the final top-n sort sees about 1.5 n rows instead of n
-    rows from every partition; if the prefilter keeps fewer than n rows the
-    threshold is doubled (the kept rows always contain the n smallest)."""
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols])
-    hashed = df.withColumn("_h", h)
-    total = df.count()
-    if total <= n:
-        return hashed.orderBy("_h", *key_cols).drop("_h")
-    u = (F.col("_h").cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
-    frac = min(1.0, 1.5 * n / total + 1e-9)
-    while True:
-        kept = hashed.where(u < F.lit(frac))
-        if frac >= 1.0 or kept.count() >= n:
-            break
-        frac = min(1.0, frac * 2)
-    return kept.orderBy("_h", *key_cols).limit(n).drop("_h")
+    """Fixed-size sample (O9): exactly the ``n`` rows with the smallest key hash (all, if
+    fewer; ties by the key columns) -- independent of partitioning and re-runs.
+
+    Rows are counted in hash cells of equal width.  Cells that begin below the
+    n-th row take part; row numbers inside them, one task a cell, finish the
+    cell in which the n-th row lies.  No job runs while the plan is built."""
+    hashed = df.withColumn("_h", key_hash(key_cols, seed)).withColumn(
+        "_cell", F.shiftright("_h", 60 - SAMPLE_CELLS.bit_length() + 1))
+    earlier = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    cells = hashed.groupBy(F.col("_cell").alias("_c")).count().select(
+        "_c", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
+    near = hashed.join(F.broadcast(cells.where(F.col("_before") < n)), F.col("_cell") == F.col("_c"))
+    inside = Window.partitionBy("_cell").orderBy("_h", *key_cols)
+    return (near.withColumn("_r", F.col("_before") + F.row_number().over(inside)).where(F.col("_r") <= n)
+            .drop("_h", "_cell", "_c", "_before", "_r"))
 
 
 def stratified_folds(df: DataFrame, key_cols: Sequence[str], label: str, k: int = 3,
                      seed: int = 42, name: str = "fold") -> DataFrame:
     """Stratified k-fold ids (M13): within each class, rows are dealt round
-    robin in key-hash order, so every fold gets ``n_class/k`` +- 1 rows of each
-    class.  The window is partitioned by the label; a class holding most rows
-    is split further by a hash salt, dealing round robin within each salt
-    (balance then holds to +- the number of salts)."""
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols])
-    w = Window.partitionBy(label, F.pmod(h, F.lit(64))).orderBy(h, *key_cols)
-    return df.withColumn(name, F.pmod(F.row_number().over(w) - 1 + F.pmod(h, F.lit(64)), F.lit(k)).cast("int"))
+    robin in key-hash order by their exact row number, so the folds of a class
+    differ by one row at most, however large the class is."""
+    hashed = df.withColumn("_h", key_hash(key_cols, seed))
+    order = [F.col("_h").asc(), *[F.asc_nulls_first(c) for c in key_cols]]
+    numbered = ranks.row_numbers(hashed, [label], order, "_fold_row")
+    return numbered.withColumn(name, F.pmod(F.col("_fold_row") - 1, F.lit(k)).cast("int")).drop("_h", "_fold_row")

@@ -1,55 +1,27 @@
 """Exact classification metrics.
 
 Scores are first aggregated to one row per distinct score.  The running sums
-that AUC and AP need are computed with a distributed prefix sum: range
-partition by score, cumulative sums inside each partition (pandas on Arrow
-batches), then add the totals of all earlier partitions -- never a window
-over a single partition."""
+that AUC and AP need come from written range shards and the totals of earlier
+shards (:mod:`closurelens.operators.ranks`) -- never a window over a single
+partition, and never two evaluations of a sampled range cut."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from . import ranks
 
 
 def prefix_sums(df: DataFrame, order_col: str, value_cols: Sequence[str], descending: bool = False,
                 partitions: int | None = None) -> DataFrame:
     """Inclusive running sums of ``value_cols`` in ``order_col`` order
     (``order_col`` unique).  Adds ``cum_<c>`` columns."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    o = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    ranged = df.repartitionByRange(n, o).sortWithinPartitions(o)
-    fields = ranged.schema.fields + [T.StructField("_pid", T.IntegerType())] + [
-        T.StructField(f"cum_{c}", T.DoubleType()) for c in value_cols]
-    schema = T.StructType(fields)
-
-    def local(it):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        carry = {c: 0.0 for c in value_cols}
-        for pdf in it:
-            pdf = pdf.copy()
-            pdf["_pid"] = pid
-            for c in value_cols:
-                cs = pdf[c].astype("float64").cumsum() + carry[c]
-                if len(cs):
-                    carry[c] = float(cs.iloc[-1])
-                pdf[f"cum_{c}"] = cs
-            yield pdf
-
-    loc = ranged.mapInPandas(local, schema)
-    # partition totals (one row per partition) -> exclusive offsets
-    tot = loc.groupBy("_pid").agg(*[F.max(f"cum_{c}").alias(f"_t_{c}") for c in value_cols])
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0.0)).alias(f"_o_{c}")
-                               for c in value_cols])
-    j = loc.join(F.broadcast(off), "_pid")
-    return j.withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"_o_{c}") for c in value_cols}).drop(
-        "_pid", *[f"_o_{c}" for c in value_cols])
+    order = [F.col(order_col).desc() if descending else F.col(order_col).asc()]
+    return ranks.running_sums(ranks.shards(df, [], order, "prefix", partitions), [], order,
+                              {f"cum_{c}": F.col(c) for c in value_cols})
 
 
 def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:

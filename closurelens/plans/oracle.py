@@ -337,6 +337,39 @@ mi_t AS (
          sum(n) OVER (PARTITION BY feature, y) AS ny FROM mi_cells),
 mi AS (SELECT feature, {R('sum((n / nn) * ln((n * nn) / (nx * ny)))', 6)} AS mutual_info FROM mi_t GROUP BY feature)"""
 SQL["mutual_info"] = with_ctes("SELECT * FROM mi", FCTES + [MI])
+MI_QUANTILES = """mq_r AS (SELECT feature, y, floor((rank() OVER (PARTITION BY feature ORDER BY value) - 1) * 10
+    / count(*) OVER (PARTITION BY feature)) AS bin FROM mi_long),
+mq_cells AS (SELECT feature, bin, y, count(*) AS n FROM mq_r GROUP BY ALL),
+mq_t AS (SELECT *, sum(n) OVER (PARTITION BY feature) AS nn, sum(n) OVER (PARTITION BY feature, bin) AS nx,
+         sum(n) OVER (PARTITION BY feature, y) AS ny FROM mq_cells)"""
+_mi_long_cte = MI.split("\nmi_rng")[0].rstrip(",")
+SQL["mutual_info_quantiles"] = with_ctes(
+    f"SELECT feature, {R('sum((n / nn) * ln((n * nn) / (nx * ny)))', 6)} AS mutual_info FROM mq_t GROUP BY feature",
+    FCTES + [_mi_long_cte, MI_QUANTILES])
+
+
+def _psi(x: str) -> str:
+    """The digamma function of a whole number of 1 or more: eight steps and a series."""
+    z = f"({x} + 8.0::DOUBLE)"
+    return (f"(ln({z}) - 1 / (2 * {z}) - 1 / (12 * {z}**2) + 1 / (120 * {z}**4) - 1 / (252 * {z}**6) + 1 / (240 * {z}**8)"
+            + "".join(f" - 1 / ({x} + {j}.0::DOUBLE)" for j in range(8)) + ")")
+
+
+_sides = [(f, j) for j in (1, 2, 3) for f in ("lag", "lead")]
+MI_NEIGHBOURS = f"""mk_c AS (SELECT feature, y, value + 0.0 AS value, count(*) AS n FROM mi_long GROUP BY ALL),
+mk_s AS (SELECT feature, y, sum(n) AS ny FROM mk_c GROUP BY ALL HAVING sum(n) > 1),
+mk AS (SELECT mk_c.*, ny FROM mk_c JOIN mk_s USING (feature, y)),
+mk_w AS (SELECT *, {', '.join(f'abs({f}(value, {j}) OVER w - value) AS d_{f}{j}, {f}(n, {j}) OVER w AS n_{f}{j}' for f, j in _sides)}
+  FROM mk WINDOW w AS (PARTITION BY feature, y ORDER BY value)),
+mk_l AS (SELECT feature, y, value, n, ny, list_sort(flatten([list_transform(range(least(3, n - 1)::BIGINT), lambda k: 0.0::DOUBLE),
+  {', '.join(f'list_transform(range(least(3, coalesce(n_{f}{j}, 0))::BIGINT), lambda k: d_{f}{j})' for f, j in _sides)}]))[least(3, ny - 1)::BIGINT] AS d FROM mk_w),
+mk_m AS (SELECT a.feature, a.y, a.value, any_value(a.n) AS n, any_value(a.ny) AS ny, any_value(a.d) AS d, sum(b.n) AS m
+  FROM mk_l a JOIN mk b ON a.feature = b.feature AND (a.d = 0 AND b.value = a.value
+    OR b.value > a.value - a.d AND b.value < a.value + a.d) GROUP BY a.feature, a.y, a.value),
+mk_t AS (SELECT feature, {_psi('sum(n)')} + sum(n * ({_psi('CASE WHEN d = 0 THEN n ELSE least(3, ny - 1) END')}
+  - {_psi('ny')} - {_psi('m')})) / sum(n) AS v FROM mk_m GROUP BY feature)"""
+SQL["mutual_info_neighbours"] = with_ctes(
+    f"SELECT feature, {R('greatest(v, 0)', 6)} AS mutual_info FROM mk_t", FCTES + [_mi_long_cte, MI_NEIGHBOURS])
 _grp = {"status": ["status_f_ratio", "status_o_ratio"], "flag": ["flag_a_ratio", "flag_n_ratio", "flag_r_ratio"],
         "line": [f"line_{i}_ratio" for i in range(1, 8)], "trade": ["tx_count", "tx_amount"]}
 _case = "CASE " + " ".join(f"WHEN feature IN ({', '.join(repr(f) for f in fs)}) THEN '{g}'" for g, fs in _grp.items()) + " END"
@@ -600,7 +633,7 @@ SQL["reverse_geocode"] = with_ctes(f"""SELECT p.id, {R('p.lat', 6)} AS lat, {R('
   {R('b.distance_m', 6)} AS distance_m
 FROM pts p LEFT JOIN (
   SELECT id, station_id, distance_m FROM (
-    SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance_m, station_id) AS rn FROM pd WHERE distance_m <= 2000)
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance_m, station_id) AS rn FROM pd)
   WHERE rn = 1) b USING (id)""", [PTS])
 
 SQL["incremental_append"] = SQL["reverse_geocode"]
@@ -625,3 +658,10 @@ SQL["density"] = with_ctes(f"""SELECT 'closure_rate' AS feature, {R('dg.x', 6)}
        {R('sum(c * exp(-0.5 * pow((dg.x - m) / h, 2))) / (n * h * 2.5066282746310002)', 6)} AS density
 FROM dg, dm, dh GROUP BY dg.x, h, n""", FCTES + [DENS])
 SQL["incremental_append_stream"] = SQL["reverse_geocode"]
+
+# samples, split and folds by the MD5 of the seed and the row key
+_hash = "CAST('0x' || substr(md5(concat_ws('|', '42', month, district, dong, industry)), 1, 15) AS BIGINT)"
+SQL["hash_split"] = F_(f"SELECT {KEYS4}, closed_label, CASE WHEN {_hash} % 100 < 20 THEN 'test' ELSE 'train' END AS split FROM feats")
+SQL["hash_sample"] = F_(f"SELECT {KEYS4}, closed_label FROM feats ORDER BY {_hash}, {KEYS4} LIMIT 5000")
+SQL["stratified_folds"] = F_(f"""SELECT {KEYS4}, closed_label, CAST((row_number() OVER (PARTITION BY closed_label
+  ORDER BY {_hash}, {KEYS4}) - 1) % 3 AS INTEGER) AS fold FROM feats""")

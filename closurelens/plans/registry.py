@@ -22,7 +22,7 @@ from ..operators import cluster as cu
 from ..operators import explain as ex
 from ..operators import features as fe
 from ..operators import geojoin as gj
-from ..operators import impute, keys, panel, population
+from ..operators import impute, information as info, keys, panel, population
 from ..operators import metrics as mt
 from ..operators import models as md
 from ..operators import names as nm
@@ -260,6 +260,16 @@ def q_mutual_info(spark, d):
     return st.mutual_info(domain.features(spark, d), domain.FEATURES, domain.LABEL)
 
 
+@query("mutual_info_quantiles")
+def q_mutual_info_quantiles(spark, d):
+    return info.mutual_info_quantiles(domain.features(spark, d), domain.FEATURES, domain.LABEL)
+
+
+@query("mutual_info_neighbours")
+def q_mutual_info_neighbours(spark, d):
+    return info.mutual_info_neighbours(domain.features(spark, d), domain.FEATURES, domain.LABEL)
+
+
 @query("mi_group_top")
 def q_mi_group_top(spark, d):
     mi = st.mutual_info(domain.features(spark, d), domain.FEATURES, domain.LABEL)
