@@ -340,6 +340,7 @@ def score(model: BoostedModel, df: DataFrame) -> DataFrame:
     """Adds ``p1`` = P(class 1) and ``prediction``."""
     def run(values: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for cols in values:
+            cols = [cols] if isinstance(cols, pd.Series) else cols
             x = np.nan_to_num(np.column_stack([c.to_numpy(np.float64) for c in cols]), nan=0.0)
             yield pd.Series(1 / (1 + np.exp(-model.margins(x))))
 
@@ -358,7 +359,7 @@ class Boosting:
         self.spark, self.features, self.bins, self.seed = df.sparkSession, list(features), bins, seed
         x = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(features)]
         rows = df.where(F.col(label).isNotNull()).select(
-            *x, F.col(label).cast("int").alias("y"), (F.col(fold) if fold else F.lit(-2)).cast("int").alias("fold"))
+            *x, F.col(label).cast("int").alias("y"), (F.coalesce(F.col(fold).cast("int"), F.lit(-2)) if fold else F.lit(-2)).alias("fold"))
         names = [f"x{i}" for i in range(len(x))]
         cuts = rows.approxQuantile(names, [i / bins for i in range(1, bins)], 0.25 / bins)
         self.edges = [np.unique(np.array(c, np.float64))[:bins - 1] for c in cuts]

@@ -80,6 +80,12 @@ def compile_model(trees: list[dict], weights: Sequence[float], scale: float = 2.
     return {"base": base, "leaves": leaves}
 
 
+def compile_boosted(model, scale: float = 1.0) -> dict:
+    """Leaves of a :class:`closurelens.operators.boosting.BoostedModel`: its margin is the
+    log-odds, its cover the sum of Hessians."""
+    return compile_model([{n: x[:6] for n, x in tree.items()} for tree in model.trees], [1.0] * len(model.trees), scale)
+
+
 def _weights(d: int) -> np.ndarray:
     return np.array([math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d) for k in range(d)])
 

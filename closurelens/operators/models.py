@@ -1,26 +1,28 @@
 """Closure classifiers and their evaluation.
 
-XGBoost and LightGBM are not available; both are re-aimed on Spark's
-``GBTClassifier`` with the reference's class-weighting schemes expressed as a
-weight column (scale_pos_weight = neg/pos on positives; "balanced" =
-n / (2 n_class)).  The random forest is Spark's.  Metrics are the exact
-operators of :mod:`closurelens.operators.metrics`."""
+The two boosted models are second-order histogram boosting
+(:mod:`closurelens.operators.boosting`): trees by level with positives weighted
+neg / pos, and trees by leaf with balanced classes.  The random forest is
+Spark's, with a weight column.  Metrics are the exact operators of
+:mod:`closurelens.operators.metrics`."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from . import boosting as bo
 from . import metrics as mt
 
 
@@ -45,32 +47,25 @@ def with_weights(df: DataFrame, label: str, scheme: str, name: str = "weight") -
     return df.withColumn(name, w)
 
 
-MODEL_SPECS = {
-    # the reference's three estimators, re-aimed on Spark ML
-    "RandomForest": ("rf", "balanced", {"numTrees": 100, "maxDepth": 10}),
-    "GBT-xgb": ("gbt", "pos_ratio", {"maxIter": 50, "maxDepth": 6, "stepSize": 0.3}),
-    "GBT-lgbm": ("gbt", "balanced", {"maxIter": 50, "maxDepth": 5, "stepSize": 0.1}),
+#: the reference's three estimators with their libraries' defaults
+FOREST = {"numTrees": 100, "maxDepth": 10}
+BOOSTED = {
+    "Boosting-levels": bo.Settings(trees=100, depth=6, rate=0.3, l2=1.0, min_hessian=1.0, weight="pos_ratio"),
+    "Boosting-leaves": bo.Settings(trees=100, depth=0, leaves=31, rate=0.1, l2=0.0, min_hessian=1e-3, min_rows=20,
+                                   weight="balanced"),
 }
 
 
-def make_estimator(kind: str, params: Mapping, label: str, seed: int = 42, weight: str = "weight"):
-    if kind == "rf":
-        est = RandomForestClassifier(labelCol=label, featuresCol="features", weightCol=weight, seed=seed)
-    else:
-        est = GBTClassifier(labelCol=label, featuresCol="features", weightCol=weight, seed=seed)
-    return est.setParams(**params)
-
+def fit_forest(train: DataFrame, features: Sequence[str], label: str, params: Mapping, seed: int = 42) -> PipelineModel:
+    w = with_weights(train, label, "balanced")
+    forest = RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="weight", seed=seed).setParams(**params)
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), forest]).fit(w)
 
-def fit(train: DataFrame, features: Sequence[str], label: str, kind: str, params: Mapping,
-        scheme: str, seed: int = 42) -> PipelineModel:
-    w = with_weights(train, label, scheme)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"),
-                            make_estimator(kind, params, label, seed)])
-    return pipe.fit(w)
 
-
-def scores(model: PipelineModel, df: DataFrame) -> DataFrame:
+def scores(model: PipelineModel | bo.BoostedModel, df: DataFrame) -> DataFrame:
     """Predictions with ``p1`` = P(class 1)."""
+    if isinstance(model, bo.BoostedModel):
+        return bo.score(model, df)
     return model.transform(df).withColumn("p1", vector_to_array("probability")[1])
 
 
@@ -83,73 +78,58 @@ def evaluate(pred: DataFrame, label: str, name: str) -> DataFrame:
                       F.round(ap, 6).alias("pr_auc"), F.round(auc, 6).alias("roc_auc"))
 
 
-def compare(train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
-            specs: Mapping = MODEL_SPECS, seed: int = 42, parallelism: int = 3) -> DataFrame:
-    """Fit the models concurrently (independent Spark jobs from driver
-    threads, as ``CrossValidator(parallelism=...)`` does) and evaluate each
+def compare(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, forest: Mapping = FOREST,
+            boosted: Mapping[str, bo.Settings] = BOOSTED, seed: int = 42) -> DataFrame:
+    """Fits the forest and the boosted models, the latter together, and evaluates each
     on the test split."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    def one(item):
-        name, (kind, scheme, params) = item
-        return name, fit(train, features, label, kind, params, scheme, seed)
-
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        fitted = list(pool.map(one, specs.items()))
-    out = None
-    for name, m in fitted:
-        r = evaluate(scores(m, test), label, name)
-        out = r if out is None else out.unionByName(r)
-    return out
+    fitted = {"RandomForest": fit_forest(train, features, label, forest, seed)}
+    fitted |= zip(boosted, bo.Boosting(train, features, label, seed=seed).fit(list(boosted.values())))
+    # each score is computed once for its three metrics
+    rated = [evaluate(materialize(scores(m, test).select(label, "prediction", "p1"), "scores"), label, n)
+             for n, m in fitted.items()]
+    return reduce(DataFrame.unionByName, rated)
 
 
-# search space of the reference's tuner, mapped onto GBTClassifier
-SEARCH_SPACE = {"maxDepth": (3, 10), "stepSize": (0.01, 0.3), "maxIter": (10, 50),
-                "subsamplingRate": (0.6, 1.0), "featureSubsetStrategy": (0.6, 1.0)}
+#: search space of the reference's tuner
+TRIALS = 50
+SEARCH_SPACE = {"depth": (3, 10), "rate": (0.01, 0.3), "trees": (100, 1000), "subsample": (0.6, 1.0), "colsample": (0.6, 1.0)}
 
 
-def sample_params(n_trials: int, seed: int = 42, space: Mapping = SEARCH_SPACE) -> list[dict]:
-    """Seeded random search (M12; the reference's TPE sampler is not
-    available): integers uniform, step size log-uniform, fractions uniform."""
+def sample_settings(n_trials: int, seed: int = 42, space: Mapping = SEARCH_SPACE) -> list[bo.Settings]:
+    """Seeded random search (M12; the reference's TPE sampler is not available):
+    integers uniform, rate log-uniform, fractions uniform."""
     rng = np.random.default_rng(seed)
     out = []
     for _ in range(n_trials):
-        lo, hi = space["stepSize"]
-        out.append({
-            "maxDepth": int(rng.integers(space["maxDepth"][0], space["maxDepth"][1] + 1)),
-            "stepSize": float(math.exp(rng.uniform(math.log(lo), math.log(hi)))),
-            "maxIter": int(rng.integers(space["maxIter"][0], space["maxIter"][1] + 1)),
-            "subsamplingRate": float(rng.uniform(*space["subsamplingRate"])),
-            "featureSubsetStrategy": f"{rng.uniform(*space['featureSubsetStrategy']):.3f}",
-        })
+        lo, hi = space["rate"]
+        out.append(bo.Settings(
+            depth=int(rng.integers(space["depth"][0], space["depth"][1] + 1)),
+            rate=float(math.exp(rng.uniform(math.log(lo), math.log(hi)))),
+            trees=int(rng.integers(space["trees"][0], space["trees"][1] + 1)),
+            subsample=float(rng.uniform(*space["subsample"])), colsample=float(rng.uniform(*space["colsample"]))))
     return out
 
 
-def random_search(train: DataFrame, features: Sequence[str], label: str, fold_col: str,
-                  n_trials: int = 8, seed: int = 42, parallelism: int | None = None) -> tuple[DataFrame, dict]:
-    """k-fold cross-validated random search on ROC-AUC with the stratified
-    fold column (M12, M13).  Returns (trial table, best params)."""
+def random_search(train: DataFrame, features: Sequence[str], label: str, fold_col: str, n_trials: int = TRIALS,
+                  seed: int = 42, space: Mapping = SEARCH_SPACE) -> tuple[DataFrame, bo.Settings]:
+    """k-fold cross-validated random search on ROC-AUC with the stratified fold column
+    (M12, M13).  All trials and folds grow together on one binned table.  Returns
+    (trial table, best settings: highest mean AUC, first trial among equal ones)."""
     spark = train.sparkSession
-    w = with_weights(train, label, "pos_ratio")
-    w = VectorAssembler(inputCols=list(features), outputCol="features").transform(w)
-    gbt = GBTClassifier(labelCol=label, featuresCol="features", weightCol="weight", seed=seed)
-    trials = sample_params(n_trials, seed)
-    maps = [{getattr(gbt, k): v for k, v in t.items()} for t in trials]
-    ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
-                                       metricName="areaUnderROC")
-    cv = CrossValidator(estimator=gbt, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
-                        parallelism=parallelism or n_trials, seed=seed)
-    cvm = cv.fit(w)
-    rows = [(i, t["maxDepth"], t["stepSize"], t["maxIter"], t["subsamplingRate"],
-             float(t["featureSubsetStrategy"]), float(m)) for i, (t, m) in enumerate(zip(trials, cvm.avgMetrics))]
-    table = spark.createDataFrame(rows, "trial int, max_depth int, step_size double, max_iter int, "
-                                        "subsample double, colsample double, mean_auc double")
-    best = trials[int(np.argmax(cvm.avgMetrics))]
-    return table, best
-
-
-def importances(model: PipelineModel, features: Sequence[str], spark: SparkSession) -> DataFrame:
-    """Feature importances of the fitted trees, sorted."""
-    imp = model.stages[-1].featureImportances.toArray()
-    return spark.createDataFrame([(f, float(v)) for f, v in zip(features, imp)],
-                                 "feature string, importance double").orderBy(F.col("importance").desc())
+    trials = sample_settings(n_trials, seed, space)
+    folds = sorted(r[0] for r in train.select(fold_col).distinct().collect() if r[0] is not None)
+    runs = [replace(t, hold=f) for t in trials for f in folds]
+    auc = bo.Boosting(train, features, label, fold_col, seed=seed).held_out_auc(runs)
+    mean = {r.trial: r.auc for r in auc.groupBy(F.floor(F.col("model") / len(folds)).alias("trial")).agg(
+        F.avg("auc").alias("auc")).collect()}
+    rows = [(i, t.depth, t.rate, t.trees, t.subsample, t.colsample, mean.get(i)) for i, t in enumerate(trials)]
+    table = spark.createDataFrame(rows, "trial int, max_depth int, step_size double, trees int, subsample double, "
+                                        "colsample double, mean_auc double")
+    return table, max(enumerate(trials), key=lambda x: (mean.get(x[0]) or 0.0, -x[0]))[1]
+
+
+def importances(model: bo.BoostedModel, spark: SparkSession) -> DataFrame:
+    """Feature importances of the fitted trees, sorted (M15): the mean gain of a
+    feature's cuts, as shares."""
+    return spark.createDataFrame(list(model.importances().items()), "feature string, importance double").orderBy(
+        F.col("importance").desc(), "feature")

@@ -221,33 +221,31 @@ def model_features(spark, d) -> list[str]:
 
 
 _MODELS: dict = {}
-TUNE_TRIALS = 6
+#: trees of a trial in the registered queries, a tenth of the reference's 100 to 1000
+#: (:data:`closurelens.operators.models.SEARCH_SPACE`); README has the seconds of both
+TUNE_TREES = (10, 100)
 
 
 def explained_model(spark, d):
-    """The tuned GBT (the reference's final boosted model, re-aimed) fitted
-    on the train split and saved; returns (pipeline model, saved path,
-    compiled trees, model frame).  Cached per application and input."""
+    """The tuned boosted model (the reference's final model) fitted on the train split
+    and saved; returns (model, saved path, compiled trees, model frame).  Cached per
+    application and input."""
     import os
     import uuid
 
+    from ..operators import boosting as bo
     from ..operators import explain as ex
-    from ..operators import models as md
     from ..session import checkpoint_dir
     k = _key(spark, d)
     if k in _MODELS:
         return _MODELS[k]
     mf = model_frame(spark, d)
-    # the final model of the reference: the boosted model refitted on the
-    # train split with the best parameters of the random search
-    _, best = search(spark, d, TUNE_TRIALS)
-    m = md.fit(mf.where("split = 'train'"), model_features(spark, d), LABEL, "gbt", best, "pos_ratio", SEED)
-    path = os.path.join(checkpoint_dir(spark), "closurelens", "models", f"gbt-{uuid.uuid4().hex}")
-    m.write().overwrite().save(path)
-    gbt, gbt_path = m.stages[-1], path + "-trees"
-    gbt.write().overwrite().save(gbt_path)
-    compiled = ex.compile_model(ex.read_trees(spark, gbt_path), gbt.treeWeights)
-    _MODELS[k] = (m, path, compiled, mf)
+    # the boosted model refitted on the train split with the best settings of the search
+    _, best = search(spark, d)
+    m, = bo.Boosting(mf.where("split = 'train'"), model_features(spark, d), LABEL, seed=SEED).fit([best])
+    path = os.path.join(checkpoint_dir(spark), "closurelens", "models", f"boosted-{uuid.uuid4().hex}")
+    m.save(spark, path)
+    _MODELS[k] = (m, path, ex.compile_boosted(m), mf)
     return _MODELS[k]
 
 
@@ -272,14 +270,14 @@ def shap_long(spark, d, n: int = 5000) -> DataFrame:
 _SEARCH: dict = {}
 
 
-def search(spark, d, n_trials: int):
-    """Random search over the train split (cached per input folder)."""
+def search(spark, d):
+    """Random search of 50 trials over the train split (cached per input folder)."""
     from ..operators import models as md
-    k = _key(spark, d, n_trials)
+    k = _key(spark, d)
     if k not in _SEARCH:
         mf = model_frame(spark, d)
         table, best = md.random_search(mf.where("split = 'train'"), model_features(spark, d), LABEL, "fold",
-                                       n_trials, SEED)
+                                       seed=SEED, space=md.SEARCH_SPACE | {"trees": TUNE_TREES})
         _SEARCH[k] = (materialize(table, "search"), best)
     return _SEARCH[k]
 

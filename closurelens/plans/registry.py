@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from . import domain
 from ..functions.dates import months_between_keys
 from ..functions.numeric import parse_numeric
+from ..operators import boosting as bo
 from ..operators import clean as cl
 from ..operators import cluster as cu
 from ..operators import explain as ex
@@ -544,10 +545,8 @@ def q_incremental_append(spark, d):
 
 @query("model_roundtrip")
 def q_model_roundtrip(spark, d):
-    from pyspark.ml import PipelineModel
-
-    m, path, _, mf = domain.explained_model(spark, d)
-    loaded = PipelineModel.load(path)
+    _, path, _, mf = domain.explained_model(spark, d)
+    loaded = bo.BoostedModel.load(spark, path)
     return md.scores(loaded, mf.where("split = 'test'")).select(*KEY, domain.LABEL, "prediction", "p1")
 
 
@@ -585,7 +584,7 @@ def q_model_compare(spark, d):
 
 @query("tune_search")
 def q_tune_search(spark, d):
-    table, _ = domain.search(spark, d, domain.TUNE_TRIALS)
+    table, _ = domain.search(spark, d)
     return table
 
 
@@ -594,13 +593,13 @@ def q_model_result(spark, d):
     """The tuned model (best search parameters, refitted on train)
     evaluated on the test split (M14)."""
     m, _, _, mf = domain.explained_model(spark, d)
-    return md.evaluate(md.scores(m, mf.where("split = 'test'")), domain.LABEL, "GBT tuned")
+    return md.evaluate(md.scores(m, mf.where("split = 'test'")), domain.LABEL, "Boosting tuned")
 
 
 @query("feature_importance")
 def q_feature_importance(spark, d):
     m, _, _, _ = domain.explained_model(spark, d)
-    return md.importances(m, domain.model_features(spark, d), spark)
+    return md.importances(m, spark)
 
 
 # ---------------------------------------------------------------- attributions
