@@ -456,10 +456,6 @@ def q_names_embed_ready(spark, d):
 
 # ---------------------------------------------------------------- spatial and fuzzy joins
 
-# first search radius; points without a reference in it are searched farther
-GEOCODE_RADIUS_M = 2000.0
-
-
 def _geo(spark, d):
     return fx.geo_points(spark, d, "est"), fx.geo_points(spark, d, "mer")
 
@@ -509,7 +505,7 @@ def q_near_station(spark, d):
 
 @query("reverse_geocode")
 def q_reverse_geocode(spark, d):
-    out = gj.nearest(fx.est_points(spark, d), fx.stations(spark, d), GEOCODE_RADIUS_M)
+    out = gj.nearest(fx.est_points(spark, d), fx.stations(spark, d))
     return r6(out, "lat", "lon", "distance_m")
 
 
@@ -534,7 +530,7 @@ def q_stratified_folds(spark, d):
 def q_incremental_append(spark, d):
     """Geocoded points appended in two overlapping batches, the second one
     repeated: the stored table holds every point exactly once."""
-    pts = gj.nearest(fx.est_points(spark, d), fx.stations(spark, d), GEOCODE_RADIUS_M)
+    pts = gj.nearest(fx.est_points(spark, d), fx.stations(spark, d))
     path = sio.versioned_path(spark, "geocoded")
     first = pts.where(F.col("id") % 2 == 0)
     sio.incremental_append(first, path, "id")
@@ -663,7 +659,7 @@ def q_incremental_append_stream(spark, d):
     pts.where(F.col("id") % 2 == 0).write.mode("append").parquet(src)
 
     def geocode(batch):
-        return gj.nearest(batch, stations, GEOCODE_RADIUS_M)
+        return gj.nearest(batch, stations)
 
     for _ in range(2):
         start_incremental(spark.readStream.schema(pts.schema).parquet(src), out, "id", ck,
