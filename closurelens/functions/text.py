@@ -101,16 +101,6 @@ def strip_company(c) -> Column:
     return strip_ws(F.replace(s, F.lit(COMPANY_WORD), F.lit("")))
 
 
-def brand_matches(name: Column, brand: str) -> Column:
-    """Short Latin brands (<= 2 chars) need word boundaries, others are
-    plain substrings (X33)."""
-    import re
-    if len(brand) <= 2 and re.search(r"[a-z]", brand):
-        quoted = brand.replace("\\E", "\\E\\\\E\\Q")
-        return name.rlike(r"(?U)\b\Q" + quoted + r"\E\b")
-    return name.contains(brand)
-
-
 def special_tokens(c) -> Column:
     """Embedding cleanup (X36): brackets dropped, ',' and '/' to spaces,
     characters outside Hangul / a-z / digits / space / - & . middle-dot

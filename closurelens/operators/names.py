@@ -8,9 +8,11 @@ reaches the driver is the brand dictionary, which is bounded by
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -44,23 +46,57 @@ def brand_dictionary(cleaned: DataFrame, top_n: int = 500) -> list[str]:
     return [r["brand"] for r in rows]
 
 
+#: characters of the grams that the dictionary is indexed by; shorter brands are their own gram
+GRAM = 3
+#: dictionaries up to this many brands, of some 100 bytes each, are broadcast; larger ones are joined by a shuffle
+BROADCAST_BRANDS = 100_000
+
+
+def brand_index(brands: Sequence[str]) -> list[tuple[int, str, str, str | None]]:
+    """(order, brand, gram, pattern): one gram per brand, the one that the fewest brands
+    hold (the first among equal ones), so that common beginnings do not gather
+    brands.  Brands of two characters or less with a Latin letter must stand alone
+    and have a pattern.  Repeated and empty brands count where they stand first."""
+    rows = [(i, b) for i, b in enumerate(dict.fromkeys(brands))]
+    grams = {b: [b[k:k + GRAM] for k in range(max(1, len(b) - GRAM + 1))] for _, b in rows}
+    held = Counter(g for gs in grams.values() for g in set(gs))
+    out = []
+    for i, b in rows:
+        alone = len(b) <= 2 and re.search(r"[a-z]", b)
+        pattern = r"(?U)\b\Q" + b.replace("\\E", "\\E\\\\E\\Q") + r"\E\b" if alone else None
+        out.append((i, b, min(grams[b], key=lambda g: held[g]), pattern))
+    return out
+
+
 def extract_brand(df: DataFrame, brands: Sequence[str], name: str = "name_for_brand",
                   out: str = "brand") -> DataFrame:
-    """First dictionary brand found in the name (J15).  The dictionary is an
-    array literal (bounded by ``brand_top_n``) scanned with ``filter``: one
-    compact expression inside whole-stage codegen, no join, and cheap to
-    repeat when the optimizer pushes a predicate on the brand down."""
-    import re
+    """First dictionary brand found in the name (J15), null if there is none.
+
+    A name that contains a brand contains the brand's gram, so the grams of the
+    distinct names are joined to an inverted index of the brands, and only brands
+    that share their gram are verified; the smallest order wins.  A name thus
+    costs its length, not the size of the dictionary.  Null names have no brand;
+    an empty dictionary finds none."""
     if not brands:
         return df.withColumn(out, F.lit(None).cast("string"))
-    arr = F.array(*[F.struct(F.lit(b).alias("b"),
-                             F.lit(bool(len(b) <= 2 and re.search(r"[a-z]", b))).alias("w"))
-                    for b in brands])
-    col = F.col(name)
-    hit = F.filter(arr, lambda e: F.when(
-        e["w"], F.regexp(col, F.concat(F.lit(r"(?U)\b\Q"), e["b"], F.lit(r"\E\b"))))
-        .otherwise(col.contains(e["b"])))
-    return df.withColumn(out, F.get(hit, 0)["b"])
+    spark = df.sparkSession
+    index = spark.createDataFrame(brand_index(brands), "_order int, _brand string, _gram string, _pattern string")
+    if len(brands) <= BROADCAST_BRANDS:
+        index = F.broadcast(index)
+    names = df.select(F.col(name).alias("_name")).where(F.col("_name").isNotNull()).distinct()
+    places = F.sequence(F.lit(1), F.greatest(F.length("_name"), F.lit(1)))
+
+    def cut(length: int) -> Column:
+        return F.transform(places, lambda i: F.substring(F.col("_name"), i, F.lit(length)))
+
+    cuts = [cut(g) for g in range(1, GRAM + 1)]
+    grams = names.select("_name", F.explode(F.array_distinct(F.concat(*cuts, F.array(F.lit(""))))).alias("_gram"))
+    found = F.when(F.col("_pattern").isNull(), F.col("_name").contains(F.col("_brand"))).otherwise(
+        F.regexp(F.col("_name"), F.col("_pattern")))
+    best = (grams.join(index, "_gram").where(found).groupBy("_name")
+            .agg(F.min(F.struct("_order", "_brand")).alias("_best")))
+    return (df.join(best, df[name] == best["_name"], "left")
+            .withColumn(out, F.col("_best._brand")).drop("_name", "_best"))
 
 
 def resolve_hold(cleaned: DataFrame, brands: Sequence[str], min_brand_freq: int = 500,

@@ -57,3 +57,33 @@ def test_dong_infix_idempotent(spark, name, expected):
     once = df.select(insert_je("d", None).alias("d"))
     twice = once.select(insert_je("d", None).alias("d"))
     assert once.first()["d"] == expected and twice.first()["d"] == expected
+
+
+def test_brand_index_equals_a_scan_of_50_000_brands(spark):
+    import random
+    import re
+    rng = random.Random(5)
+    letters = "가나다라마바사아abcde1 "
+    brands = list(dict.fromkeys("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(60_000)))[:50_000]
+    brands = sorted(brands, key=lambda b: (-len(b), b)) + ["a", "가", "a\\E", ""]
+    names = [None, "", "a", "x a y", "zz"] + ["".join(rng.choice(letters + "zq") for _ in range(rng.randint(1, 25))) for _ in range(60)]
+
+    def word(c):
+        return c.isalnum() or c == "_"
+
+    def alone(b, n):
+        at = [m.start() for m in re.finditer("(?=" + re.escape(b) + ")", n)]
+        edge = lambda i: (i > 0 and word(n[i - 1])) != (i < len(n) and word(n[i]))
+        return any(edge(i) and edge(i + len(b)) for i in at)
+
+    def first(n):
+        return next((b for b in brands if (alone(b, n) if len(b) <= 2 and re.search("[a-z]", b) else b in n)), None)
+
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names * 2)], "uid int, name_for_brand string")
+    out = nm.extract_brand(df, brands)
+    assert out.columns == ["uid", "name_for_brand", "brand"]
+    got = {r.uid: r.brand for r in out.collect()}
+    assert got == {i: None if n is None else first(n) for i, n in enumerate(names * 2)}
+    # only brands that share a gram are verified
+    held = [g for _, _, g, _ in nm.brand_index(brands)]
+    assert max(held.count(g) for g in set(held[:2_000])) < 500
