@@ -7,9 +7,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import moments
+
 
 def _stack(df: DataFrame, cols: Sequence[str], key: str = "feature", value: str = "value") -> DataFrame:
     """Unpivot (narrow: one explode, no shuffle)."""
@@ -100,48 +103,18 @@ def corr_target(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
     return _stack(row, cols, "feature", "corr").orderBy(F.col("corr").desc_nulls_last())
 
 
-def pairwise_moments(df: DataFrame, cols: Sequence[str]) -> dict[str, np.ndarray]:
-    """Pairwise-complete moment sums of all column pairs in ONE aggregation:
-    per row, flattened outer products of (shifted value, non-null mask) are
-    built with array functions and summed by ``Summarizer`` as one vector of
-    4 p^2 entries (a compact plan however many pairs there are).  Values are
-    shifted by the column means (one small aggregate first) for numerical
-    stability; correlation is shift invariant."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Summarizer
-    p = len(cols)
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    mu = [float(means[f"m{i}"] or 0.0) for i in range(p)]
-    v = F.array(*[F.coalesce(F.col(c).cast("double") - F.lit(mu[i]), F.lit(0.0)) for i, c in enumerate(cols)])
-    m = F.array(*[F.col(c).isNotNull().cast("double") for c in cols])
-
-    def outer(a, b, f):
-        return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: f(x, y))))
-
-    big = F.concat(outer(v, m, lambda x, y: x * y), outer(v, m, lambda x, y: x * x * y),
-                   outer(v, v, lambda x, y: x * y), outer(m, m, lambda x, y: x * y))
-    tot = df.select(array_to_vector(big).alias("o")).agg(Summarizer.sum(F.col("o")).alias("s")).first()["s"]
-    a = np.asarray(tot.toArray()).reshape(4, p, p)
-    return {"vm": a[0], "v2m": a[1], "vv": a[2], "n": a[3]}
-
-
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """All pairwise Pearson correlations, pairwise complete (A16), from the
-    p x p moment sums of one pass.  Undefined (constant or empty) pairs are
-    null."""
-    mo = pairwise_moments(df, cols)
-    out = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            n, sx, sy = mo["n"][i, j], mo["vm"][i, j], mo["vm"][j, i]
-            sxx, syy, sxy = mo["v2m"][i, j], mo["v2m"][j, i], mo["vv"][i, j]
-            vx, vy = n * sxx - sx * sx, n * syy - sy * sy
-            c = None
-            if n > 1 and vx > 0 and vy > 0:
-                c = float((n * sxy - sx * sy) / np.sqrt(vx * vy))
-                c = max(-1.0, min(1.0, c))
-            out.append((a, b, c))
-    return df.sparkSession.createDataFrame(out, "feature_a string, feature_b string, corr double")
+    """All pairwise Pearson correlations, pairwise complete (A16), from the p x p
+    moments of one pass.  Undefined (constant or empty) pairs are null."""
+    def rows(m: np.ndarray) -> pd.DataFrame:
+        n, _, squares, products = m
+        both = squares * squares.T
+        ok = (n > 1) & (both > 0)
+        c = np.clip(products / np.sqrt(np.where(ok, both, 1.0)), -1.0, 1.0)
+        return pd.DataFrame([(a, b, float(c[i, j]) if ok[i, j] else None)
+                             for i, a in enumerate(cols) for j, b in enumerate(cols)], columns=["feature_a", "feature_b", "corr"])
+
+    return moments.from_moments(df, cols, rows, "feature_a string, feature_b string, corr double")
 
 
 def mutual_info(df: DataFrame, cols: Sequence[str], label: str, bins: int = 10) -> DataFrame:
@@ -178,24 +151,6 @@ def group_top(scores: DataFrame, groups: Mapping[str, Sequence[str]], feature: s
             .select("group", feature, score))
 
 
-def gram(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """X^T X and column sums in one aggregation pass: p(p+1)/2 + p sums on
-    the executors; the p x p result (bounded by the feature count) comes
-    back to the driver."""
-    xs = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]
-    p = len(cols)
-    aggs = [F.sum(xs[i] * xs[j]).alias(f"g{i}_{j}") for i in range(p) for j in range(i, p)]
-    aggs += [F.sum(xs[i]).alias(f"s{i}") for i in range(p)] + [F.count(F.lit(1)).alias("n")]
-    r = df.agg(*aggs).first()
-    G = np.zeros((p + 1, p + 1))
-    for i in range(p):
-        for j in range(i, p):
-            G[i, j] = G[j, i] = r[f"g{i}_{j}"]
-        G[i, p] = G[p, i] = r[f"s{i}"]
-    G[p, p] = r["n"]
-    return G
-
-
 def vif(df: DataFrame, cols: Sequence[str], centered: bool = False, high: float = 10.0) -> DataFrame:
     """Variance inflation factors (M4) after fill-0.  Uncentred (no
     intercept) like the reference's call: VIF_i = G_ii * (G^-1)_ii with
@@ -204,25 +159,22 @@ def vif(df: DataFrame, cols: Sequence[str], centered: bool = False, high: float
     its own tolerance 1 - R^2 against the others, so badly scaled columns do no
     harm and only a feature in an exact dependency (or without variation) gives
     Infinity.  ``high_vif`` flags VIF > ``high`` (F13)."""
-    G = gram(df, cols)
-    p = len(cols)
-    if centered:
-        n = G[p, p]
-        mu = G[:p, p] / n
-        M = G[:p, :p] / n - np.outer(mu, mu)
-    else:
-        M = G[:p, :p]
-    size = np.sqrt(np.clip(np.diag(M), 0, None))
-    raw = np.diag(G)[:p] / (G[p, p] if centered else 1.0)
-    flat = np.diag(M) <= (1e-14 if centered else 0.0) * raw
-    scale = np.where(flat, 1.0, size)
-    C = M / np.outer(scale, scale)
-    out = []
-    for i, c in enumerate(cols):
-        rest = [j for j in range(p) if j != i and not flat[j]]
-        r = C[rest, i]
-        left = 1.0 - float(r @ np.linalg.pinv(C[np.ix_(rest, rest)], rcond=1e-13, hermitian=True) @ r) if rest else 1.0
-        out.append((c, float("inf") if flat[i] or left < 1e-10 else 1.0 / min(1.0, left)))
-    spark = df.sparkSession
-    res = spark.createDataFrame(out, "feature string, vif double")
+    def rows(m: np.ndarray) -> pd.DataFrame:
+        n, mean, _, products = m
+        around = products + (0.0 if centered else n * mean * mean.T)
+        M = around / max(n[0, 0], 1)
+        raw = np.diag(products + n * mean * mean.T) / max(n[0, 0], 1)
+        flat = np.diag(M) <= (1e-14 if centered else 0.0) * raw
+        scale = np.where(flat, 1.0, np.sqrt(np.clip(np.diag(M), 0, None)))
+        C = M / np.outer(scale, scale)
+        out = []
+        for i, c in enumerate(cols):
+            rest = [j for j in range(len(cols)) if j != i and not flat[j]]
+            r = C[rest, i]
+            left = 1.0 - float(r @ np.linalg.pinv(C[np.ix_(rest, rest)], rcond=1e-13, hermitian=True) @ r) if rest else 1.0
+            out.append((c, float("inf") if flat[i] or left < 1e-10 else 1.0 / min(1.0, left)))
+        return pd.DataFrame(out, columns=["feature", "vif"])
+
+    filled = df.select(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in cols])
+    res = moments.from_moments(filled, cols, rows, "feature string, vif double")
     return res.withColumn("high_vif", (F.col("vif") > high).cast("int")).orderBy(F.col("vif").desc())
