@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import moments
+from . import moments, ranks
+
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
 def _stack(df: DataFrame, cols: Sequence[str], key: str = "feature", value: str = "value") -> DataFrame:
@@ -25,31 +27,52 @@ def null_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _stack(row, cols, "feature", "nulls")
 
 
-def describe(df: DataFrame, cols: Sequence[str], exact: bool = True, accuracy: int = 100000) -> DataFrame:
-    """count, mean, sample std, min, quartiles, max (A9, pandas
-    ``describe``) in one aggregation pass.  ``exact`` quartiles interpolate
-    linearly like pandas but keep a value->count map per column, which suits
-    the panel (bounded by dong x industry x month); ``exact=False`` uses
-    ``percentile_approx`` (bounded memory, rank error 1/accuracy, no
-    interpolation) for unbounded inputs."""
-    def q(x, p):
-        return F.percentile(x, F.lit(p)) if exact else F.percentile_approx(x, p, accuracy)
+def quantiles(df: DataFrame, cols: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """Exact quantiles (feature, share, value), linearly interpolated like pandas, of
+    each column's non-null values; null if it has none.
+
+    Equal values are counted first and their ranks come from range shards, so that no
+    task holds a column: it holds a shard, and a value that most rows share is one
+    row.  NaN ranks above all numbers."""
+    long = _stack(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), cols).where("value IS NOT NULL")
+    counted = long.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    order = [F.col("value").asc()]
+    ranked = ranks.running_sums(ranks.shards(counted, ["feature"], order, "quantiles"), ["feature"], order, {"upto": F.col("n")})
+    total = counted.groupBy(F.col("feature").alias("f")).agg(F.sum("n").alias("total"))
+    wanted = F.explode(F.array(*[F.lit(float(p)) for p in shares])).alias("share")
+    at = total.select("f", wanted, "total").withColumn("place", F.col("share") * (F.col("total") - 1) + 1)
+    held = at.join(ranked, F.col("f") == F.col("feature"))
+    inside = lambda r: (F.col("upto") - F.col("n") < r) & (F.col("upto") >= r)
+    low, high = F.floor("place"), F.ceil("place")
+    ends = held.where(inside(low) | inside(high)).groupBy("feature", "share", "place").agg(
+        F.min("value").alias("low"), F.max("value").alias("high"))
+    value = F.col("low") + (F.col("place") - F.floor("place")) * (F.col("high") - F.col("low"))
+    return ends.select("feature", "share", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(value).alias("value"))
 
+
+def describe(df: DataFrame, cols: Sequence[str], exact: bool = True, accuracy: int = 100000) -> DataFrame:
+    """count, mean, sample std, min, quartiles, max (A9, pandas ``describe``): one
+    aggregation pass, and exact quartiles by distributed ranks (:func:`quantiles`).
+    ``exact=False`` uses ``percentile_approx`` (rank error 1/accuracy, no
+    interpolation) in the same pass."""
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}|count"), F.avg(x).alias(f"{c}|mean"),
-                 F.stddev_samp(x).alias(f"{c}|std"), F.min(x).alias(f"{c}|min"),
-                 q(x, 0.25).alias(f"{c}|q25"), q(x, 0.5).alias(f"{c}|q50"),
-                 q(x, 0.75).alias(f"{c}|q75"),
-                 F.max(x).alias(f"{c}|max")]
+        aggs += [F.count(x).alias(f"{c}|count"), F.avg(x).alias(f"{c}|mean"), F.stddev_samp(x).alias(f"{c}|std"),
+                 F.min(x).alias(f"{c}|min"), F.max(x).alias(f"{c}|max")]
+        aggs += [] if exact else [F.percentile_approx(x, p, accuracy).alias(f"{c}|{q}") for q, p in QUARTILES.items()]
     row = df.agg(*aggs)
-    stats = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
+    stats = ["count", "mean", "std", "min", *([] if exact else QUARTILES), "max"]
     # one output row per column from the single aggregate row (no union of
     # branches re-reading the aggregate)
     per = F.array(*[F.struct(F.lit(c).alias("feature"),
                              *[F.col(f"`{c}|{s}`").cast("double").alias(s) for s in stats]) for c in cols])
-    return row.select(F.explode(per).alias("_d")).select("_d.*")
+    out = row.select(F.explode(per).alias("_d")).select("_d.*")
+    if exact:
+        q = quantiles(df, cols, list(QUARTILES.values())).groupBy("feature").agg(
+            *[F.max(F.when(F.col("share") == p, F.col("value"))).alias(name) for name, p in QUARTILES.items()])
+        out = out.join(q, "feature", "left")
+    return out.select("feature", "count", "mean", "std", "min", *QUARTILES, "max")
 
 
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFrame:

@@ -116,3 +116,22 @@ def test_correlations_of_many_batches_with_gaps(spark):
                 assert abs(got[a, b] - np.corrcoef(v[ok, i], v[ok, j])[0, 1]) < 1e-9
     assert {r["corr"] for r in stats.corr_matrix(df.limit(0), cols).collect()} == {None}
     assert stats.vif(df.limit(0), cols).count() == 4
+
+
+def test_quartiles_of_shared_values_and_empty_columns(spark):
+    rng = np.random.default_rng(6)
+    cols = {"even": rng.normal(size=4_000), "hot": np.where(rng.random(4_000) < 0.7, 2.0, rng.normal(size=4_000)),
+            "few": rng.integers(0, 3, 4_000).astype(float)}
+    rows = [(*(None if rng.random() < 0.1 else float(v) for v in r), None) for r in zip(*cols.values())]
+    names = [*cols, "none"]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(7)
+    got = {r.feature: r for r in stats.describe(df, names).collect()}
+    shares = [0.0, 0.1, 0.333, 1.0]
+    more = {(r.feature, r.share): r.value for r in stats.quantiles(df, names, shares).collect()}
+    for i, c in enumerate(cols):
+        v = np.array([r[i] for r in rows if r[i] is not None])
+        assert np.allclose([got[c].q25, got[c].q50, got[c].q75], np.percentile(v, [25, 50, 75]), rtol=0, atol=1e-12)
+        assert np.allclose([more[c, p] for p in shares], np.quantile(v, shares), rtol=0, atol=1e-12)
+        exact = [r["value"] for r in df.selectExpr(f"percentile({c}, 0.5) AS value").collect()]
+        assert abs(got[c].q50 - exact[0]) < 1e-12
+    assert got["none"]["count"] == 0 and got["none"].q50 is None
