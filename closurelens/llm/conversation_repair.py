@@ -307,7 +307,9 @@ def repair(original: DataFrame, rows: DataFrame) -> DataFrame:
             .select("conv_id", "shard", "symbol", "initial", "copies"))
     cut = runs.mapInArrow(_cut, _PIECES.format(id=kind))
     sized = cut.join(counts.select(F.col("conv_id").alias("c"), "n_rows"), F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
-    found = materialize(sized.mapInPandas(
+    # searches cost time, not bytes: dealt to all tasks, which merging by size would undo
+    n = int(original.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = materialize(sized.repartition(n, "conv_id", "shard", "piece").mapInPandas(
         _search_pieces, f"conv_id {kind}, shard long, piece long, n_rows long, whole boolean, illegal long, "
                         f"head string, last string, states {_TABLE}"), "turn-pieces")
     answers = found.where("whole").select(
