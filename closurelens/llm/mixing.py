@@ -26,6 +26,8 @@ equal columns are kept or left together; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -56,23 +58,27 @@ def _form(t: Column) -> dict[str, Column]:
             "__f_size": F.log1p(F.col("n_tokens"))}
 
 
-def tag(docs: DataFrame) -> DataFrame:
-    """docs with n_tokens and, if it has none, topic."""
+def measure(docs: DataFrame) -> DataFrame:
+    """docs with n_tokens and, if it has no topic, the measures of the form of the text."""
     t = text_of()
     spaces = F.btrim(t, F.lit(" \t\n\x0b\f\r"))
     out = docs.withColumn("n_tokens", F.when(spaces == "", 1).otherwise(F.size(F.split(spaces, r"\s+"))).cast("long"))
-    if "topic" in docs.columns:
-        return out
-    out = out.withColumns(_form(t))
+    return out if "topic" in docs.columns else out.withColumns(_form(t))
+
+
+def fit_topics(forms: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Fits the topics on all measured rows; returns the step that puts topic in place of the measures."""
+    if "topic" in forms.columns:
+        return lambda measured: measured
     names = list(GRID)
-    cells = materialize(out.groupBy(*[(F.round(F.col(f) / g) * g).alias(f) for f, g in GRID.items()])
+    cells = materialize(forms.groupBy(*[(F.round(F.col(f) / g) * g).alias(f) for f, g in GRID.items()])
                         .agg(F.count("*").cast("double").alias("__rows")).sortWithinPartitions(*names), "topic-cells")
     rows = F.col("__rows")
     n_cells = cells.count()
+    if n_cells < 2:  # one form of text, or no text at all
+        return lambda measured: measured.drop(*names).withColumn("topic", F.lit("topic0"))
     moments = cells.agg(F.sum(rows), *[F.sum(F.col(f) * rows) for f in names],
                         *[F.sum(F.col(f) * F.col(f) * rows) for f in names]).first()
-    if n_cells < 2:  # one form of text, or no text at all
-        return out.drop(*names).withColumn("topic", F.lit("topic0"))
     scaled = {}
     for i, f in enumerate(names):
         mean = moments[1 + i] / moments[0]
@@ -81,9 +87,13 @@ def tag(docs: DataFrame) -> DataFrame:
     assemble = VectorAssembler(inputCols=names, outputCol="__x")
     means = KMeans(featuresCol="__x", predictionCol="__topic", weightCol="__rows", k=min(TOPICS, n_cells), seed=SEED, maxIter=10).fit(
         assemble.transform(cells.withColumns(scaled)))
-    out = means.transform(assemble.transform(out.withColumns(scaled)))
-    return out.withColumn("topic", F.concat(F.lit("topic"), F.col("__topic").cast("string"))).drop(
-        "__x", "__topic", *names)
+
+    def predict(measured: DataFrame) -> DataFrame:
+        out = means.transform(assemble.transform(measured.withColumns(scaled)))
+        return out.withColumn("topic", F.concat(F.lit("topic"), F.col("__topic").cast("string"))).drop(
+            "__x", "__topic", *names)
+
+    return predict
 
 
 def _category(d: str) -> Column:
@@ -168,14 +178,23 @@ def _weighed(tagged: DataFrame, weights: DataFrame) -> DataFrame:
         "selected", (_draw() < F.col("probability")).cast("int")).drop(*[f"__c_{d}" for d in DIMENSIONS])
 
 
+def _inputs(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(*more, "doc_id", "text", "source", "lang", *["topic"] * ("topic" in docs.columns))
+
+
 def mix_report(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, repeats, selected of every document."""
-    columns = ["doc_id", "text", "source", "lang"] + ["topic"] * ("topic" in docs.columns)
-    tagged = materialize(tag(docs.select(*columns)).select("doc_id", *DIMENSIONS, "n_tokens"), "mix-tags")
+    forms = materialize(measure(_inputs(docs)).drop("text"), "mix-forms")
+    tagged = fit_topics(forms)(forms).select("doc_id", *DIMENSIONS, "n_tokens")
     return _weighed(tagged, cell_weights(tagged, shares))
 
 
 def sample_to_targets(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """The sampled documents with their columns, topic, n_tokens, weight, probability and repeats."""
-    tagged = tag(docs.drop("n_tokens", "weight", "probability", "repeats", "selected"))
-    return _weighed(tagged, cell_weights(tagged, shares)).where("selected = 1").drop("selected")
+    """The sampled documents with their columns, topic, n_tokens, weight, probability and repeats
+    (each in place of a column of that name; a topic of the documents is taken as their topic)."""
+    forms = materialize(measure(_inputs(docs)).drop("text"), "mix-forms")
+    topics = fit_topics(forms)
+    rows = topics(measure(_inputs(docs, F.struct("*").alias("__row"))))
+    kept = _weighed(rows, cell_weights(topics(forms), shares)).where("selected = 1")
+    added = ["topic", "n_tokens", "weight", "probability", "repeats"]
+    return kept.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns if c not in added], *added)
