@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from closurelens.llm import (decontaminate, html_extract, mixing, ngram_join, pii, secrets_ledger,
                              substring_dedup, toxicity, va_search, warc)
@@ -412,3 +413,39 @@ def test_pipeline_runs_its_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_copies", "decontamination", "personal_data", "mixing"]
     out = corpus_pipeline.run(spark, SF)
     assert set(docs_of(spark, []).columns) <= set(out.columns) and 0 < out.count() < 200
+
+
+def test_raking_equals_numpy(spark):
+    """The raked weights are those of a plain loop over an array of cells."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    cells = np.zeros((4, 3, 2))
+    rows = []
+    for i, cell in enumerate(rng.integers(0, 24, 300)):
+        s, l, t = np.unravel_index(cell, cells.shape)
+        n = int(rng.integers(1, 40))
+        cells[s, l, t] += n
+        rows.append((i, " ".join(["w"] * n), f"s{s}", f"l{l}", f"t{t}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
+    w, total = cells.copy(), cells.sum()
+    wants = []
+    for axis, name in enumerate(mixing.DIMENSIONS):
+        share = (cells.sum(axis=tuple({0, 1, 2} - {axis})) / total) ** mixing.POWERS[name]
+        wants.append(share / share.sum() * total)
+    for _ in range(mixing.ROUNDS * 4):
+        for axis, want in enumerate(wants):
+            has = w.sum(axis=tuple({0, 1, 2} - {axis}))
+            w *= (want / np.where(has > 0, has, 1)).reshape([-1 if a == axis else 1 for a in range(3)])
+    for r in mixing.mix_report(df).collect():
+        at = int(r.source[1:]), int(r.lang[1:]), int(r.topic[1:])
+        assert r.weight == pytest.approx(w[at] / cells[at], rel=1e-3)
+
+
+def test_sample_keeps_clashing_columns(spark):
+    df = docs_of(spark, ["some words here"] * 20 + [None, ""]).withColumns(
+        {"__x": F.lit("a"), "__row": F.lit("b"), "__f_word": F.lit("c"), "selected": F.lit("d"), "weight": F.lit("e")})
+    got = mixing.sample_to_targets(df)
+    assert set(df.columns) <= set(got.columns) and len(set(got.columns)) == len(got.columns)
+    for r in got.collect():
+        assert (r["__x"], r["__row"], r["__f_word"], r["selected"]) == ("a", "b", "c", "d") and r["weight"] != "e"
