@@ -92,3 +92,67 @@ def test_grid_join_everywhere(spark):
         got = {(r.l_id, r.r_id) for r in within_distance(df, df, 100.0, hot_rows=hot).collect()}
         assert got == {(a[0], b[0]) for a in pts for b in pts if dist(a, b) <= 100.0}
     assert {(0, 1), (2, 3), (4, 5), (6, 7), (8, 9)} <= got
+
+
+def _lev(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
+    return row[-1]
+
+
+def _edited(rnd, name, letters):
+    out = list(name)
+    for _ in range(rnd.randint(0, 4)):
+        at = rnd.randint(0, len(out))
+        step = rnd.choice("ids")
+        if step == "i" or not out:
+            out.insert(at, rnd.choice(letters))
+        elif step == "d":
+            del out[min(at, len(out) - 1)]
+        else:
+            out[min(at, len(out) - 1)] = rnd.choice(letters)
+    return "".join(out)
+
+
+def test_segment_signatures_lose_no_pair(spark):
+    rnd = random.Random(3)
+    letters = "ab카페é"
+    left = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 16))) for _ in range(150)] + [None, "a", "ab"]
+    right = [_edited(rnd, rnd.choice(left[:150]), letters) for _ in range(250)] + [None, "", "a"]
+    L = spark.createDataFrame([(1, n) for n in left], "k int, e string")
+    R = spark.createDataFrame([(1, n) for n in right] + [(2, n) for n in left], "k int, m string")
+    for sim in (0.55, 0.7, 0.9):
+        got = {(r.e, r.m) for r in gj.similar_names(L, R, ["k"], "e", "m", sim).collect()}
+        exp = {(a, b) for a in left for b in right if a and b and 1 - _lev(a, b) / max(len(a), len(b)) >= sim}
+        assert got == exp and len(exp) > 20
+
+
+def test_hot_building_meets_by_name(spark):
+    """Equal rows with every cell, some cells and no cell taken by name; candidates of
+    a hot cell grow with its rows, not with their square."""
+    rnd = random.Random(8)
+
+    def name():
+        return "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10))
+
+    def rows(n):
+        est = [(i, name(), 35.0 + rnd.uniform(0, 0.0004), 129.0) for i in range(n)]
+        mer = [(i, _edited(rnd, e[1], "xyz"), e[2], e[3]) for i, e in enumerate(est)]
+        far = [(n + i, name(), 35.1 + rnd.uniform(0, 0.01), 129.0) for i in range(40)]
+        schema = "id long, name string, lat double, lon double"
+        return spark.createDataFrame(est + far, schema), spark.createDataFrame(mer + far, schema)
+
+    E, M = rows(300)
+    results = [sorted((r.e_id, r.m_id, r.similarity_score) for r in gj.fuzzy_geo_match(E, M, hot_pairs=h).collect())
+               for h in (None, 0, 10_000, 10 ** 9)]
+    assert results[0] == results[1] == results[2] == results[3] and len(results[0]) > 150
+    met = []
+    for n in (400, 1600):
+        E, M = rows(n)
+        pre = gj._candidates(E.toDF("e_id", "e_name", "e_lat", "e_lon"), M.toDF("m_id", "m_name", "m_lat", "m_lon"),
+                             100.0, 0.7, 1000)
+        met.append(pre.count())
+    assert met[1] < 6 * met[0] and met[1] < 1600 * 1600 / 50
