@@ -1,17 +1,20 @@
 """Deterministic sharded WARC writer and reader.
 
 Writing: payload digests are grouped (partial counts, no group is gathered) to
-find the response of every payload; records are range-sorted by page_id and
-digest, so equal rows are neighbours; each task streams its range into gzip
-members, one per record, and starts a new file when the compressed size reaches
-``ROLL_BYTES``.  Headers and digests are made anew; record ids, dates and gzip
-headers depend on the record alone, so a repeated task writes the same bytes.
+find the response of every payload; records stand in the order of page_id, digest
+and url, so equal rows are neighbours, and the order is cut into shards by exact
+running sums of payload bytes, so the cuts depend on the rows alone: not on range
+samples, partition settings or the layout of the input.  A task streams a shard
+into gzip members, one per record, and starts a new file when the compressed size
+reaches ``ROLL_BYTES``.  Headers and digests are made anew; record ids, dates and
+gzip headers depend on the record alone.  So the same pages always give the same
+files with the same bytes.  Rows equal in page_id and digest stay in one shard.
 
 Committing: a task writes to a name of its own attempt and returns a manifest
 row per file; the manifest is a Parquet table, so rows of lost attempts are
 never in it.  A second job renames each listed file to its final name (a file
 that already has it is left alone) and readers open listed files only.  Left
-over temporary files are never read.
+over temporary files are never read, and removed once all files are committed.
 
 Files go through ``pyarrow.fs`` to the URI of the shared checkpoint folder.
 
@@ -39,9 +42,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from closurelens.llm.common import shared_dir
+from closurelens.operators import ranks
 
 ROLL_BYTES = 64 << 20
 MIN_BYTES = 0
+#: payload bytes of a shard at most (beyond one row's), and shards of a smaller table
+SHARD_BYTES, SHARDS = 256 << 20, 64
+#: bytes counted for the headers of a record
+HEAD_BYTES = 512
 LEVEL = 4
 DATE = "1970-01-01T00:00:00Z"
 _MANIFEST = "tmp string, path string, n_records long, n_bytes long, sha256 string"
@@ -87,7 +95,7 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-_PREPARED = ("page_id", "url", "sha1", "length", "data", "best")
+_PREPARED = ("page_id", "url", "sha1", "length", "data", "best", "shard")
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +112,7 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 data.append(member(record(page_id, url, payload, len(payload), digest(payload), None)))
             yield pa.RecordBatch.from_arrays(
                 [part.column("page_id"), part.column("url"), pa.array(sha1, pa.string()),
-                 pa.array(length, pa.int64()), pa.array(data, pa.binary())], list(_PREPARED[:-1]))
+                 pa.array(length, pa.int64()), pa.array(data, pa.binary())], list(_PREPARED[:-2]))
 
 
 def _writer(folder: str, roll: int, min_bytes: int):
@@ -114,24 +122,28 @@ def _writer(folder: str, roll: int, min_bytes: int):
         attempt = f"{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         out, n, rows, seq, sha, tmp = None, 0, [], 0, None, ""
         last: tuple | None = None
+        here: int | None = None
 
         def close() -> None:
             nonlocal out, seq
             if out is not None:
                 out.close()
-                rows.append((tmp, f"{root}/warc/part-{task.partitionId():06d}-{seq:05d}.warc.gz", n, size, sha.hexdigest()))
+                rows.append((tmp, f"{root}/warc/part-{here:06d}-{seq:05d}.warc.gz", n, size, sha.hexdigest()))
                 out, seq = None, seq + 1
 
         size = 0
         for b in batches:
-            for page_id, url, sha1, length, data, best in zip(*(b.column(c).to_pylist() for c in _PREPARED)):
+            for page_id, url, sha1, length, data, best, shard in zip(*(b.column(c).to_pylist() for c in _PREPARED)):
+                if shard != here:
+                    close()
+                    here, seq = shard, 0
                 first = (page_id, sha1) != last
                 last = (page_id, sha1)
                 if length >= min_bytes and not (page_id == best and first):
                     name = base64.b32encode(bytes.fromhex(sha1)).decode()
                     data = member(record(page_id, url, b"", length, name, (best,)))
                 if out is None:
-                    tmp = f"{root}/tmp/{attempt}-{seq:05d}"
+                    tmp = f"{root}/tmp/{attempt}-{shard:06d}-{seq:05d}"
                     fs.create_dir(f"{root}/tmp", recursive=True)
                     out, n, size, sha = fs.open_output_stream(tmp, compression=None), 0, 0, hashlib.sha256()
                 out.write(data)
@@ -161,22 +173,37 @@ def _commit(folder: str):
     return run
 
 
+def _plan(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(page_id, sha1, best, shard) of every pair of page_id and digest, and the number of shards."""
+    keys = rows.groupBy("page_id", F.sha1("html").alias("sha1")).agg(F.sum(F.octet_length("html") + HEAD_BYTES).alias("bytes"))
+    order = [F.asc_nulls_first("page_id"), F.asc("sha1")]
+    placed = ranks.running_sums(ranks.shards(keys, [], order, "warc-order"), [], order, {"upto": F.col("bytes")})
+    total = placed.agg(F.max("upto")).first()[0] or 0
+    size = min(SHARD_BYTES, -(-total // SHARDS)) or 1
+    best = keys.groupBy("sha1").agg(F.max("page_id").alias("best"))
+    plan = placed.withColumn("shard", F.floor((F.col("upto") - F.col("bytes")) / size).cast("int")).join(best, "sha1")
+    return plan.select(F.col("page_id").alias("at_id"), F.col("sha1").alias("at_sha1"), "best", "shard"), -(-total // size)
+
+
 def write(pages: DataFrame, folder: str, roll: int = ROLL_BYTES, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Writes the archives under the folder and returns the committed manifest
     (tmp, path, n_records, n_bytes, sha256)."""
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url",
                         F.coalesce("html", F.lit("")).alias("html"))
-    best = rows.groupBy(F.sha1("html").alias("sha1")).agg(F.max("page_id").alias("best"))
+    plan, shards = _plan(rows)
     prepared = rows.mapInArrow(_prepare, "page_id long, url string, sha1 string, length long, data binary")
-    named = prepared.join(best, "sha1")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = named.repartitionByRange(parts, "page_id", "sha1").sortWithinPartitions("page_id", "sha1", "url")
+    named = prepared.join(plan, prepared.page_id.eqNullSafe(F.col("at_id")) & (prepared.sha1 == F.col("at_sha1")))
+    parts = max(1, min(shards, max(SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    ordered = named.repartition(parts, "shard").sortWithinPartitions("shard", "page_id", "sha1", "url")
     manifest = os.path.join(folder, "manifest")
     ordered.select(*_PREPARED).mapInArrow(_writer(folder, roll, min_bytes), _MANIFEST) \
         .write.mode("error").parquet(manifest + "-staged")
     staged = spark.read.schema(_MANIFEST).parquet(manifest + "-staged")
     staged.repartition(parts, "path").mapInPandas(_commit(folder), _MANIFEST).write.mode("error").parquet(manifest)
+    fs, root = _open_fs(folder)
+    if fs.get_file_info(f"{root}/tmp").type == pafs.FileType.Directory:
+        fs.delete_dir(f"{root}/tmp")
     return spark.read.schema(_MANIFEST).parquet(manifest)
 
 

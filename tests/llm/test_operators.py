@@ -449,3 +449,24 @@ def test_sample_keeps_clashing_columns(spark):
     assert set(df.columns) <= set(got.columns) and len(set(got.columns)) == len(got.columns)
     for r in got.collect():
         assert (r["__x"], r["__row"], r["__f_word"], r["selected"]) == ("a", "b", "c", "d") and r["weight"] != "e"
+
+
+def test_warc_files_depend_on_the_pages_alone(spark):
+    """5,000 pages written from two layouts under two partition settings: the same files."""
+    rng = random.Random(9)
+    rows = [(i if i % 3 else 7, f"http://h/{i}", words(rng, rng.randint(0, 200)) if i % 5 else "copy") for i in range(5000)]
+    rows += [(None, None, None), (None, "http://n", "no id"), (7, "http://h/x", "copy"), (8, "http://long", "y" * 3_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for parts, pages in (("8", df), ("13", df.repartition(3, "url"))):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            folder = shared_dir(spark, "warc-test")
+            manifest = warc.write(pages, folder, roll=20_000)
+            seen.append(sorted((r.path.rsplit("/", 1)[1], r.n_records, r.n_bytes, r.sha256) for r in manifest.collect()))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] and len(seen[0]) > 20 and sum(r[1] for r in seen[0]) == len(rows)
+    got = warc.read(spark, manifest, folder).toPandas()
+    assert sorted(got.payload_bytes) == sorted(len((h or "").encode()) for _, _, h in rows)
+    assert ((got.payload_digest == warc.digest(b"copy")) & (got.record_type == "response")).sum() == 1
