@@ -50,7 +50,7 @@ MIN_BYTES = 0
 SHARD_BYTES, SHARDS = 256 << 20, 64
 #: bytes counted for the headers of a record
 HEAD_BYTES = 512
-LEVEL = 4
+LEVEL = 6
 DATE = "1970-01-01T00:00:00Z"
 _MANIFEST = "tmp string, path string, n_records long, n_bytes long, sha256 string"
 _RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -107,11 +107,11 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sha1, length, data = [], [], []
             for page_id, url, html in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html"))):
                 payload = html.encode()
-                sha1.append(hashlib.sha1(payload).hexdigest())
+                sha1.append(hashlib.sha1(payload).digest())
                 length.append(len(payload))
                 data.append(member(record(page_id, url, payload, len(payload), digest(payload), None)))
             yield pa.RecordBatch.from_arrays(
-                [part.column("page_id"), part.column("url"), pa.array(sha1, pa.string()),
+                [part.column("page_id"), part.column("url"), pa.array(sha1, pa.binary()),
                  pa.array(length, pa.int64()), pa.array(data, pa.binary())], list(_PREPARED[:-2]))
 
 
@@ -140,7 +140,7 @@ def _writer(folder: str, roll: int, min_bytes: int):
                 first = (page_id, sha1) != last
                 last = (page_id, sha1)
                 if length >= min_bytes and not (page_id == best and first):
-                    name = base64.b32encode(bytes.fromhex(sha1)).decode()
+                    name = base64.b32encode(sha1).decode()
                     data = member(record(page_id, url, b"", length, name, (best,)))
                 if out is None:
                     tmp = f"{root}/tmp/{attempt}-{shard:06d}-{seq:05d}"
@@ -175,7 +175,7 @@ def _commit(folder: str):
 
 def _plan(rows: DataFrame) -> tuple[DataFrame, int]:
     """(page_id, sha1, best, shard) of every pair of page_id and digest, and the number of shards."""
-    keys = rows.groupBy("page_id", F.sha1("html").alias("sha1")).agg(F.sum(F.octet_length("html") + HEAD_BYTES).alias("bytes"))
+    keys = rows.groupBy("page_id", F.unhex(F.sha1("html")).alias("sha1")).agg(F.sum(F.octet_length("html") + HEAD_BYTES).alias("bytes"))
     order = [F.asc_nulls_first("page_id"), F.asc("sha1")]
     placed = ranks.running_sums(ranks.shards(keys, [], order, "warc-order"), [], order, {"upto": F.col("bytes")})
     total = placed.agg(F.max("upto")).first()[0] or 0
@@ -192,7 +192,7 @@ def write(pages: DataFrame, folder: str, roll: int = ROLL_BYTES, min_bytes: int
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url",
                         F.coalesce("html", F.lit("")).alias("html"))
     plan, shards = _plan(rows)
-    prepared = rows.mapInArrow(_prepare, "page_id long, url string, sha1 string, length long, data binary")
+    prepared = rows.mapInArrow(_prepare, "page_id long, url string, sha1 binary, length long, data binary")
     named = prepared.join(plan, prepared.page_id.eqNullSafe(F.col("at_id")) & (prepared.sha1 == F.col("at_sha1")))
     parts = max(1, min(shards, max(SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     ordered = named.repartition(parts, "shard").sortWithinPartitions("shard", "page_id", "sha1", "url")
