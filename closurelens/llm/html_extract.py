@@ -31,12 +31,11 @@ from pyspark.sql import functions as F
 
 #: fixed lists of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template title textarea iframe svg math select".split())
+RAW = frozenset("script style noscript template title textarea iframe select".split())
 BLOCK = frozenset(
     "html body head p div article section nav header footer aside main h1 h2 h3 h4 h5 h6 ul ol li dl dt dd "
     "table thead tbody tfoot tr td th caption blockquote pre form fieldset legend figure figcaption address hr "
     "details summary dialog menu center button label option".split())
-#: a start tag of BLOCK ends an open paragraph
 #: class and id words by what they tell
 CUES = {
     "menu": "nav menu navbar navigation breadcrumb breadcrumbs toc tabs pager pagination skip toolbar topbar",
@@ -53,7 +52,7 @@ CUES = {
 _CUE = {w: k for k, ws in CUES.items() for w in ws.split()}
 _PHRASES = re.compile(r"©|copyright|all rights reserved|cookie|subscribe|sign up|newsletter|advertis|sponsored|"
                       r"privacy policy|terms of|log in|click here|read more|share this|leave a reply", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<([/!?]?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']+|\"[^\"]*\"|'[^']*')*+)/?>"
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<([/!?]?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>=]+|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+)/?>"
                   r"|<[!?/][^>]*(?:>|\Z)", re.S)
 _CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -130,7 +129,7 @@ def blocks_of(page: str) -> list[Block]:
             if not page[m.start():at].endswith("/>"):
                 close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = close.end() if close else size
-            if tag in ("script", "style", "title", "template", "noscript", "iframe"):
+            if tag in ("script", "style", "title", "template", "noscript", "iframe") and not opened["svg"]:
                 end_block()
             continue
         if tag in BLOCK:
@@ -144,7 +143,8 @@ def blocks_of(page: str) -> list[Block]:
             pieces.append(" ")
         if tag in VOID:
             continue
-        feats = _tag_features(tag, m[3] if len(m[3]) < 400 else m[3][:4000])
+        # long attributes are read whole, beside the cache
+        feats = (_tag_features if len(m[3]) < 400 else _tag_features.__wrapped__)(tag, m[3])
         main = MARK in m[3]
         stack.append((tag, feats, main))
         opened[tag] += 1
@@ -206,6 +206,14 @@ _LAYOUTS = [
     "<body><nav>{n}</nav><form action=/s><p>{c}</p></form><aside><p>{p}</p><p>{p}</p></aside><footer><p>{p}</p></footer>",
     "<body><div class=ad><p>{p}</p></div><div class=story-body data-article><p>{p}</p>{P}<p>{s}</p></div><div class=ad>{p}</div>"
     "<div class=related>{n}</div><div class=replies><p>{p}</p><p>{p}</p></div>",
+    "<body><nav>{n}</nav><article><h1 data-article>{s}</h1><section data-article>{P}</section><aside><p>{p}</p></aside>"
+    "<section data-article>{P}</section><footer><p>{p}</p>{n}</footer></article>",
+    "<body><dialog open><p>{c}</p><button>{s}</button></dialog><article><h1 data-article>{s}</h1><p data-article>{p}</p><form><p>{c}</p>"
+    "</form><p data-article>{p}</p><div class=cookie-notice><p>{p}</p></div><p data-article>{c}</p></article><footer>{s}</footer>",
+    "<body><article><h1 data-article>{s}</h1><p data-article>{p}</p><aside>{c}</aside><p data-article>{p}</p><p data-article>{c}</p>"
+    "<form>{s}</form><div class=notice>{c}</div><p data-article>{s}</p><footer>{c}</footer></article><dialog>{c}</dialog>",
+    "<body><div>{n}</div><div data-article><h1>{s}</h1><p>{p}</p><p>{p}</p></div><div>{n}</div>",
+    "<body><div><a href=/>{s}</a> <a href=/y>{s}</a></div><div data-article><h1>{s}</h1>{P}</div><div><a href=/z>{s}</a></div>",
 ]
 LABELLED_FILLS = 12
 

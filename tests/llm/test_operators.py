@@ -470,3 +470,43 @@ def test_warc_files_depend_on_the_pages_alone(spark):
     got = warc.read(spark, manifest, folder).toPandas()
     assert sorted(got.payload_bytes) == sorted(len((h or "").encode()) for _, _, h in rows)
     assert ((got.payload_digest == warc.digest(b"copy")) & (got.record_type == "response")).sum() == 1
+
+
+NESTED = [
+    ("<p title=it's>Hello there, this is the text of a page.</p>", "Hello there, this is the text of a page."),
+    ("<body><article><h1>Title here</h1><p>First paragraph is long enough to be read as text.</p><aside>Side words stand here."
+     "</aside><p>Second paragraph goes on with the story told.</p><footer>Foot of it.</footer><form>Fill it in</form>"
+     "<div class='cookie-notice'>We use things.</div></article>",
+     "Title here\nFirst paragraph is long enough to be read as text.\nSecond paragraph goes on with the story told."),
+    ("<body><dialog>Please accept it all.</dialog><article><h1>Title here</h1><p>First paragraph is long enough to be read.</p></article>",
+     "Title here\nFirst paragraph is long enough to be read."),
+    ("<body><div><a href=/a>Home</a> <a href=/b>News</a></div><div><h1>Title here</h1><p>First paragraph is long enough to be "
+     "read as text.</p><p>Second one goes on with the story that was told.</p></div><div><a href=/d>Next</a></div>",
+     "Title here\nFirst paragraph is long enough to be read as text.\nSecond one goes on with the story that was told."),
+    ("<body><article><p>The formula <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <svg><title>no</title><text>drawn</text></svg> "
+     "hold.</p></article>", "The formula x=2 and drawn hold."),
+    ("<body><div data-x=\"" + "y " * 6000 + "\" class=sidebar><p>Words at the side.</p></div><article><p>The text stands here, as told."
+     "</p></article>", "The text stands here, as told."),
+]
+
+
+@pytest.mark.parametrize("page,text", NESTED)
+def test_html_nested_boilerplate_and_markup(page, text):
+    assert html_extract.main_text(page, html_extract.model()) == text
+
+
+def test_viterbi_equals_enumeration():
+    from itertools import product
+
+    crf = html_extract.model()
+    m0, m1, start = crf.moves
+    for page in html_extract.labelled_pages(1, seed=5):
+        found = html_extract.blocks_of(page)[:9]
+        gains = [sum(crf.gain.get(f, 0.0) for f in html_extract.block_features(b)) for b in found]
+
+        def score(labels):
+            moves = start[labels[0]] + sum((m0, m1)[a][b] for a, b in zip(labels, labels[1:]))
+            return moves + sum(g for g, k in zip(gains, labels) if k)
+
+        best = max(map(score, product((0, 1), repeat=len(found))))
+        assert score(crf.decode(found)) == pytest.approx(best)
