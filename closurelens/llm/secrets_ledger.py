@@ -34,9 +34,11 @@ from pyspark.sql import functions as F
 from closurelens.llm.common import shared_dir, text_of
 from closurelens.session import materialize
 
-RULE_VERSION = "1"
+RULE_VERSION = "2"
 BASE = ("assign", "access", "hex")
-_ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+#: letters of either case and no others: ignoring case would take the long s and the Kelvin sign too
+_KEY = re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", "password|passwd|secret|token|api_?key")
+_ASSIGN = re.compile(rf"""({_KEY})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
@@ -85,10 +87,11 @@ _FOUND = "blob binary, n_assign long, n_access long, n_hex long, base_sha256 str
 
 
 def read_ledger(spark: SparkSession, ledger: str, version: str = RULE_VERSION) -> DataFrame:
-    """The ledger's rows of one rule version; no rows where nothing is stored yet."""
+    """The ledger's rows of one rule version, one a blob (scans at one time may append the
+    same findings twice); no rows where nothing is stored yet."""
     path = os.path.join(ledger, f"rules={version}")
     try:
-        return spark.read.schema(_FOUND).parquet(path)
+        return spark.read.schema(_FOUND).parquet(path).dropDuplicates(["blob"])
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -120,7 +123,7 @@ def oracle() -> str:
     """SQL of the base columns; the added kinds find nothing in the given tables."""
     places = """list_transform(range(1, len(m_{k}) + 1), lambda i: {{'s': CAST(list_sum(list_transform(p_{k}[1:i], lambda x: length(x)))
   + coalesce(list_sum(list_transform(m_{k}[1:i - 1], lambda x: length(x))), 0) AS BIGINT), 'm': m_{k}[i]}})"""
-    assign = """((?i:password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    assign = f"""({_KEY})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
     patterns = {"assign": assign, "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
     holds = {"assign": f"length(regexp_extract(x.m, '{assign}', 2)) >= 6",
              "access": "length(x.m) >= 20", "hex": "length(x.m) >= 24"}

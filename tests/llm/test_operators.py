@@ -510,3 +510,14 @@ def test_viterbi_equals_enumeration():
 
         best = max(map(score, product((0, 1), repeat=len(found))))
         assert score(crf.decode(found)) == pytest.approx(best)
+
+
+def test_secret_ledger_written_twice_and_letters_of_either_case(spark):
+    ledger = secrets_ledger.new_ledger(spark)
+    df = docs_of(spark, ["PassWord = hunter2hunter2", "pa\u017f\u017fword=hunter2hunter2", "to\u212aen=hunter2hunter2", None, ""])
+    first = {r.doc_id: (r.n_assign, r.spans) for r in secrets_ledger.scan(df, ledger).collect()}
+    assert [first[i][0] for i in sorted(first)] == [1, 0, 0, 0, 0]
+    path = f"{ledger}/rules={secrets_ledger.RULE_VERSION}"
+    secrets_ledger.materialize(spark.read.parquet(path), "twice").write.mode("append").parquet(path)
+    again = secrets_ledger.scan(df, ledger).collect()
+    assert len(again) == 5 and {r.doc_id: (r.n_assign, r.spans) for r in again} == first
