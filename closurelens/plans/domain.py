@@ -283,10 +283,11 @@ def search(spark, d):
 
 
 def matched_pairs(spark, d) -> DataFrame:
-    """Silver matched pairs of the fuzzy name + distance join, written once
-    per run; best match and the affiliation flag start from it."""
+    """Silver matched pairs of the fuzzy name + distance join that can be an
+    establishment's best, written once per run; best match and the affiliation flag
+    start from it."""
     from ..operators import geojoin as gj
-    return _gold("silver-matched", d, lambda: gj.fuzzy_geo_match(
+    return _gold("silver-matched", d, lambda: gj.best_pairs(
         fx.geo_points(spark, d, "est"), fx.geo_points(spark, d, "mer")), spark=spark)
 
 

@@ -41,7 +41,7 @@ def write_stage_tables(spark: SparkSession, sf_dir: str, root: str | None = None
     final = nm.embed_ready(nm.final_names(cleaned, nm.brand_dictionary(cleaned), min_brand_freq))
     out["names_final"] = _write(final, root, "names_final")
     est, mer = fx.geo_points(spark, sf_dir, "est"), fx.geo_points(spark, sf_dir, "mer")
-    best = gj.best_match(gj.fuzzy_geo_match(est, mer))
+    best = gj.best_match(gj.best_pairs(est, mer))
     out["affiliation"] = _write(gj.affiliation_flag(est.select("id", "name"), best), root, "affiliation")
     # store panel, transactions, population, gold panel (sorted like the reference's write)
     out["store_counts"] = _write(domain.counts(spark, sf_dir), root, "store_counts")

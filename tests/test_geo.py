@@ -156,3 +156,49 @@ def test_hot_building_meets_by_name(spark):
                              100.0, 0.7, 1000)
         met.append(pre.count())
     assert met[1] < 6 * met[0] and met[1] < 1600 * 1600 / 50
+
+
+def _crowd(spark):
+    """Few places and names, repeated ids, whole rows that come twice and nulls."""
+    rnd = random.Random(21)
+    names = ["alpha bolt", "alpha boltx", "beta ring", None]
+
+    def rows(n, shift):
+        out = [(rnd.randint(0, n // 2), rnd.choice(names), 35.0 + rnd.randint(0, 4) * 0.0003 + shift, 129.0) for _ in range(n)]
+        return out + out[:5] + [(None, "beta ring", 35.0 + shift, 129.0), (3, "beta ring", None, 129.0), (4, "beta ring", 0.0 * -1, 0.0)]
+
+    schema = "id long, name string, lat double, lon double"
+    return [spark.createDataFrame(rows(n, s), schema) for n, s in ((90, 0.0), (70, 0.0001))]
+
+
+def test_no_side_of_the_cell_join_is_broadcast(spark):
+    """Small files unpack to 27 copies a row; only the lists of hot cells and classes are sent to all tasks."""
+    from closurelens.plans import registry
+    for name in ("haversine", "name_similarity", "fuzzy_geo_match"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.split("\n") if "Join" in line and "Inner" in line and "_n#" not in line]
+        assert joins and all("SortMergeJoin" in line for line in joins), (name, joins)
+
+
+def test_members_multiply_classes_out(spark):
+    E, M = _crowd(spark)
+    e, m = E.collect(), M.collect()
+    exp = sorted(((a.id is None, a.id or 0), (b.id is None, b.id or 0)) for a in e for b in m
+                 if None not in (a.lat, b.lat) and _hav((a.lat, a.lon), (b.lat, b.lon)) <= 100.0)
+    at = ["lat", "lon"]
+    near = gj._near_places(E.select(*at).distinct(), M.select(*at).distinct(), 100.0, "l_", "r_")
+    for rows in (1000, 4):
+        got = gj.members(near, E, M, at, "l_", "r_", rows).collect()
+        assert sorted(((r.l_id is None, r.l_id or 0), (r.r_id is None, r.r_id or 0)) for r in got) == exp
+    got = gj.within_distance(E, M, 100.0)
+    assert got.columns == ["l_id", "l_name", "l_lat", "l_lon", "r_id", "r_name", "r_lat", "r_lon", "distance_m"]
+    assert got.count() == len(exp) > 2000
+
+
+def test_best_pairs_are_the_best_of_all_pairs(spark):
+    E, M = _crowd(spark)
+    every, some = gj.fuzzy_geo_match(E, M), gj.best_pairs(E, M)
+    assert some.columns == every.columns and some.count() <= E.count() < every.count()
+    best = [sorted(map(str, gj.best_match(p).select("e_id", "m_id", "distance_m", "similarity_score").collect()))
+            for p in (every, some)]
+    assert best[0] == best[1] and len(best[0]) > 20
