@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import moments, ranks
@@ -119,10 +119,20 @@ def density(df: DataFrame, col: str, grid: int = 50, bins: int = 512) -> DataFra
         "feature", F.col("d.x").alias("x"), F.col("d.density").alias("density"))
 
 
+def pearson(a, b) -> Column:
+    """Pearson correlation over the rows that have both values, null if either does not
+    vary there.  ``corr`` divides by the zero spread of such a column, an error
+    under ANSI mode."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def corr_target(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
     """Pearson correlation of each column with the target, pairwise complete,
-    sorted descending (A15)."""
-    row = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in cols])
+    sorted descending (A15); null if undefined, as in :func:`corr_matrix`."""
+    row = df.agg(*[pearson(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in cols])
     return _stack(row, cols, "feature", "corr").orderBy(F.col("corr").desc_nulls_last())
 
 

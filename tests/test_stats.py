@@ -135,3 +135,11 @@ def test_quartiles_of_shared_values_and_empty_columns(spark):
         exact = [r["value"] for r in df.selectExpr(f"percentile({c}, 0.5) AS value").collect()]
         assert abs(got[c].q50 - exact[0]) < 1e-12
     assert got["none"]["count"] == 0 and got["none"].q50 is None
+
+
+def test_correlation_with_a_constant_target_is_null(spark):
+    rows = [(1, float(i), 2.0 * i if i % 3 else None, None) for i in range(40)]
+    df = spark.createDataFrame(rows, "y int, a double, b double, c double")
+    assert {r.feature: r["corr"] for r in stats.corr_target(df, ["a", "b", "c"], "y").collect()} == {"a": None, "b": None, "c": None}
+    got = {r.feature: r["corr"] for r in stats.corr_target(df, ["a", "b", "y", "c"], "a").collect()}
+    assert abs(got["a"] - 1) < 1e-12 and abs(got["b"] - 1) < 1e-12 and got["y"] is None and got["c"] is None
