@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .stats import pearson
+
 
 def read_trees(spark: SparkSession, gbt_path: str) -> list[dict]:
     """Node tables of a saved GBT model (its ``data`` folder)."""
@@ -208,7 +210,7 @@ def dependence(long: DataFrame, keys: Sequence[str], feature: str, bins: int = 1
     tgt = tgt.withColumn("bin", b.cast("int"))
     others = long.where(F.col("feature") != feature).select(*keys, "feature", "value")
     j = tgt.join(others, list(keys))
-    corr = j.groupBy("feature", "bin").agg(F.corr("tphi", "value").alias("c"))
+    corr = j.groupBy("feature", "bin").agg(pearson("tphi", "value").alias("c"))
     score = corr.groupBy("feature").agg(F.sum(F.abs(F.coalesce("c", F.lit(0.0)))).alias("s"))
     inter = score.orderBy(F.col("s").desc(), "feature").select("feature").limit(1).scalar()
     per_bin = j.where(F.col("feature") == inter).groupBy("bin").agg(

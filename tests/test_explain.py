@@ -31,3 +31,14 @@ def test_treeshap_matches_brute_force_and_margin(spark, tmp_path):
     long = ex.shap_values(df.where(F.col("id") < 50), model, ["a", "b", "c", "d"], ["id"])
     s = long.groupBy("id").agg(F.sum("phi").alias("s"), F.first("base_value").alias("b"), F.first("margin").alias("m"))
     assert all(abs(r["b"] + r["s"] - r["m"]) < 1e-9 for r in s.collect())
+
+
+def test_dependence_with_equal_attributions_in_a_bin(spark):
+    rows = []
+    for i in range(40):
+        low = i < 20
+        rows += [(i, "t", float(i), 0.5 if low else float(i)), (i, "u", float(i % 7), 0.0), (i, "w", 3.0, 0.0)]
+    long = spark.createDataFrame(rows, "id int, feature string, value double, phi double")
+    got = {r.bin: r for r in ex.dependence(long, ["id"], "t", bins=2).collect()}
+    assert got[0].mean_phi == 0.5 and got[0].rows == 20 and got[1].rows == 20
+    assert {r.interaction_feature for r in got.values()} == {"u"}
