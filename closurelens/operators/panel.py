@@ -55,10 +55,13 @@ def _alive_bounds(start: str, end: str, open_col: str, close_col: str):
     """First and last alive month inside the window.  ``greatest`` and ``least``
     skip nulls, so an unknown open month, or a close month that is given but not
     a month, is made a null bound: such a row is alive in no month."""
-    open_d, close_d = key_to_date(open_col), key_to_date(close_col)
+    return _bounds_of(start, end, key_to_date(open_col), key_to_date(close_col), F.col(close_col).isNull())
+
+
+def _bounds_of(start: str, end: str, open_d: Column, close_d: Column, stays: Column):
     end_d = key_to_date(F.lit(end))
     lo = F.when(open_d.isNotNull(), F.greatest(open_d, key_to_date(F.lit(start))))
-    hi = (F.when(F.col(close_col).isNull(), end_d)
+    hi = (F.when(stays, end_d)
           .when(close_d.isNotNull(), F.least(F.add_months(close_d, -1), end_d)))
     return lo, hi
 
@@ -120,35 +123,40 @@ def panel_counts(stores: DataFrame, start: str, end: str, keys: Sequence[str] =
     In an outer join null keys never match, so a cell with a null key keeps
     separate alive-side and closed-side rows: the side tag joins the grouping
     key only for such rows."""
-    open_d = key_to_date(open_col)
-    lo, hi = _alive_bounds(start, end, open_col, close_col)
+    # each key is parsed once, and months are numbers until the cells are counted: an
+    # exploded row costs a few integer operations
+    any_null = F.lit(False)
+    for k in keys:
+        any_null = any_null | F.col(k).isNull()
+    s = stores.select(*keys, any_null.alias("_null"), _is1(affiliated_col).cast("int").alias("_f"),
+                      _is1(station_col).cast("int").alias("_s"), F.col(close_col).isNull().alias("_stays"),
+                      F.col(close_col).isin(month_keys(start, end)).alias("_ends"),
+                      key_to_date(open_col).alias("_open"), key_to_date(close_col).alias("_close"))
+    lo, hi = _bounds_of(start, end, F.col("_open"), F.col("_close"), F.col("_stays"))
     # alive months are all strictly before the close month, so an event is a
     # closing event exactly when its month is the (in-window) close month
-    close_d = F.when(F.col(close_col).isin(month_keys(start, end)), key_to_date(close_col))
-    empty = F.array().cast("array<date>")
-    alive = F.when(lo <= hi, F.sequence(lo, hi, F.expr("INTERVAL 1 MONTH")))
-    closed = F.when(close_d.isNotNull(), F.array(close_d))
-    events = F.concat(F.coalesce(alive, empty), F.coalesce(closed, empty))
-    u = stores.select(*keys, open_col, close_d.alias("_cd"), _is1(affiliated_col).cast("int").alias("_f"),
-                      _is1(station_col).cast("int").alias("_s"), F.explode(events).alias("_d"))
+    s = s.select(*keys, "_null", "_f", "_s", F.col("_open").alias("_od"), F.when(F.col("_ends"), F.col("_close")).alias("_cd"),
+                 lo.alias("_lo"), hi.alias("_hi"))
+    s = s.withColumns({c: F.year(c) * 12 + F.month(c) - 1 for c in ("_od", "_cd", "_lo", "_hi")})
+    empty = F.array().cast("array<int>")
+    alive = F.when(F.col("_lo") <= F.col("_hi"), F.sequence("_lo", "_hi"))
+    closed = F.when(F.col("_cd").isNotNull(), F.array("_cd"))
+    u = s.withColumn("_d", F.explode(F.concat(F.coalesce(alive, empty), F.coalesce(closed, empty))))
     is_c = F.coalesce(F.col("_d") == F.col("_cd"), F.lit(False)).cast("int")
-    u = u.select(date_to_key("_d").alias(month_col), *keys, (1 - is_c).alias("_a"), is_c.alias("_c"),
+    u = u.select("_d", *keys, "_null", (1 - is_c).alias("_a"), is_c.alias("_c"),
                  (F.col("_f") * (1 - is_c)).alias("_f"), (F.col("_s") * (1 - is_c)).alias("_s"),
-                 F.when(is_c == 0, (F.year("_d") - F.year(open_d)) * 12
-                        + F.month("_d") - F.month(open_d)).alias("months_open"))
-    any_null = F.lit(False)
-    for k in (month_col, *keys):
-        any_null = any_null | F.col(k).isNull()
-    u = u.withColumn("_side", F.when(any_null, F.col("_c")).otherwise(F.lit(0)))
-    g = u.groupBy(month_col, *keys, "_side").agg(
+                 F.when(is_c == 0, F.col("_d") - F.col("_od")).alias("months_open"))
+    u = u.withColumn("_side", F.when(F.col("_null"), F.col("_c")).otherwise(F.lit(0)))
+    g = u.groupBy("_d", *keys, "_side").agg(
         F.sum("_a").cast("long").alias("alive"),
         F.sum("_c").cast("long").alias("closed"),
         F.sum("_f").cast("long").alias("affiliated"),
         F.sum("_s").cast("long").alias("near_station"),
         F.coalesce(F.avg("months_open"), F.lit(0.0)).alias("avg_months"),
     )
+    first = F.make_date(F.floor(F.col("_d") / 12).cast("int"), F.col("_d") % 12 + 1, F.lit(1))
     return g.select(
-        month_col, *keys, "alive", "closed", (F.col("alive") + F.col("closed")).alias("total"),
+        date_to_key(first).alias(month_col), *keys, "alive", "closed", (F.col("alive") + F.col("closed")).alias("total"),
         "affiliated", "near_station",
         F.round(F.col("avg_months") / 12.0, 2).alias("avg_years"),
     )

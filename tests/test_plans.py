@@ -57,3 +57,10 @@ def test_panel_counts_two_shuffles(spark):
     shuffles = re.findall(r"^\(\d+\) Exchange$", txt, re.M)
     # lineitem reduced per order, then the single panel aggregation
     assert len(shuffles) == 2, shuffles
+
+
+def test_panel_counts_parse_each_month_key_once(spark):
+    plan = registry.QUERIES["panel_counts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    parsed = plan.lower().count("yyyy-mm-dd")
+    # the open and the close month of an establishment; its months are numbers
+    assert parsed == 2, parsed
