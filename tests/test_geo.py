@@ -190,6 +190,12 @@ def test_members_multiply_classes_out(spark):
     for rows in (1000, 4):
         got = gj.members(near, E, M, at, "l_", "r_", rows).collect()
         assert sorted(((r.l_id is None, r.l_id or 0), (r.r_id is None, r.r_id or 0)) for r in got) == exp
+    keys = ["name", *at]
+    named = gj._near_places(E.select(*keys).distinct(), M.select(*keys).distinct(), 100.0, "l_", "r_")
+    for rows in (1000, 4):
+        got = gj.members(named, E, M, keys, "l_", "r_", rows).collect()
+        assert sorted(((r.l_id is None, r.l_id or 0), (r.r_id is None, r.r_id or 0)) for r in got) == exp
+        assert any(r.l_name is None for r in got)
     got = gj.within_distance(E, M, 100.0)
     assert got.columns == ["l_id", "l_name", "l_lat", "l_lon", "r_id", "r_name", "r_lat", "r_lon", "distance_m"]
     assert got.count() == len(exp) > 2000
