@@ -49,6 +49,8 @@ STEP = 32
 TOLERANCE = 1e-6
 CHUNK_ROWS = 512
 CHUNK_CHARS = 4_000_000
+#: tiles of so few texts have their pairs listed and are compared together
+SMALL_TILE = 64
 
 
 def _band_arrow(bands: int, rows: int):
@@ -128,34 +130,93 @@ def prune(left: np.ndarray, right: np.ndarray, same: bool, threshold: float,
     return i, j
 
 
-def _tile(threshold: float):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ti, tj = key[1], key[2]
-        pdf = pdf.sort_values("nid")
-        nid, docs = pdf.nid.to_numpy(), pdf.n_docs.to_numpy()
-        sets = [shingle_set(t) for t in pdf.text]
-        starts = np.cumsum([0, *map(len, sets[:-1])])
-        values = minhash(np.concatenate(sets), starts, N_HASHES)
-        a = np.flatnonzero(pdf.chunk.to_numpy() == ti)
-        b = a if ti == tj else np.flatnonzero(pdf.chunk.to_numpy() == tj)
-        i, j = prune(values[a], values[b], ti == tj, threshold)
+def _small_pairs(chunk: np.ndarray, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of one tile: of a chunk with itself, or of two chunks."""
+    if tile[0] == tile[1]:
+        return np.triu_indices(len(chunk), 1)
+    return tuple(x.ravel() for x in np.meshgrid(np.flatnonzero(chunk == tile[0]), np.flatnonzero(chunk == tile[1]),
+                                                indexing="ij"))
+
+
+def _pruned(values: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """As ``prune``, of the given pairs."""
+    count = np.zeros(len(i), dtype=np.int32)
+    for n in range(STEP, values.shape[1] + 1, STEP):
+        count += (values[i, n - STEP:n] == values[j, n - STEP:n]).sum(axis=1)
+        keep = count >= min_matches(n, threshold, TOLERANCE)
+        i, j, count = i[keep], j[keep], count[keep]
+    return i, j
+
+
+def _compared(pdf: pd.DataFrame, starts: np.ndarray, threshold: float) -> pd.DataFrame:
+    """Compares the texts of each tile; the rows of a tile follow each other from its start."""
+    nid, docs, chunk = pdf.nid.to_numpy(), pdf.n_docs.to_numpy(), pdf.chunk.to_numpy()
+    tiles = pdf[["ti", "tj"]].to_numpy()
+    n = len(nid)
+    sets = [shingle_set(t) for t in pdf.text]
+    values = minhash(np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])]), N_HASHES)
+    small, links = [], []
+    for lo, hi in zip(starts, np.append(starts[1:], n)):
+        if hi - lo <= SMALL_TILE:
+            i, j = _small_pairs(chunk[lo:hi], tiles[lo])
+            small.append((lo + i, lo + j))
+            continue
+        a = lo + np.flatnonzero(chunk[lo:hi] == tiles[lo, 0])
+        same = tiles[lo, 0] == tiles[lo, 1]
+        b = a if same else lo + np.flatnonzero(chunk[lo:hi] == tiles[lo, 1])
+        i, j = prune(values[a], values[b], same, threshold)
         i, j = a[i], b[j]
-        ok = exact_similar(sets, i, j, threshold)
-        i, j = i[ok], j[ok]
-        n = len(nid)
-        root = np.arange(n)
-        while True:
-            old = root.copy()
-            np.minimum.at(root, i, root[j])
-            np.minimum.at(root, j, root[i])
-            root = root[root]
-            if (root == old).all():
-                break
-        texts = np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
-        linked = (np.bincount(i, weights=docs[j], minlength=n)
-                  + np.bincount(j, weights=docs[i], minlength=n))
-        return pd.DataFrame({"nid": nid, "texts": texts.astype("int64"),
-                             "linked": linked.astype("int64"), "hook": nid[root]})
+        ok = exact_similar(sets[lo:hi], i - lo, j - lo, threshold)
+        links.append((i[ok], j[ok]))
+    if small:
+        i, j = _pruned(values, *(np.concatenate(x) for x in zip(*small)), threshold)
+        for at in range(0, len(i), 1000):  # so few that the pairs are looked at one by one
+            p, q = i[at:at + 1000], j[at:at + 1000]
+            ok = exact_similar(sets, p, q, threshold)
+            links.append((p[ok], q[ok]))
+    i, j = (np.concatenate(x) for x in zip(*links)) if links else np.empty((2, 0), dtype=np.int64)
+    root = np.arange(n)
+    while True:
+        old = root.copy()
+        np.minimum.at(root, i, root[j])
+        np.minimum.at(root, j, root[i])
+        root = root[root]
+        if (root == old).all():
+            break
+    texts = np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+    linked = (np.bincount(i, weights=docs[j], minlength=n)
+              + np.bincount(j, weights=docs[i], minlength=n))
+    return pd.DataFrame({"nid": nid, "texts": texts.astype("int64"),
+                         "linked": linked.astype("int64"), "hook": nid[root]})
+
+
+def _tiles(threshold: float):
+    """Tiles in order: small ones are compared together, up to ``CHUNK_CHARS`` characters at once."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in frames:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            key = pdf[["grp", "ti", "tj"]].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
+            # the last tile may go on in the next frame
+            rest = pdf.iloc[starts[-1]:]
+            yield from parts(pdf.iloc[:starts[-1]], starts[:-1])
+        if rest is not None:
+            yield from parts(rest, np.zeros(1, dtype=np.int64))
+
+    def parts(pdf: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
+        if not len(starts):
+            return
+        ends = np.append(starts[1:], len(pdf))
+        chars = np.cumsum(pdf.text.str.len().to_numpy())[ends - 1]
+        at = 0
+        while at < len(starts):
+            done = chars[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(chars, done + CHUNK_CHARS, "right")))
+            lo = starts[at]
+            yield _compared(pdf.iloc[lo:ends[to - 1]], starts[at:to] - lo, threshold)
+            at = to
 
     return run
 
@@ -174,8 +235,10 @@ def verified_members(texts: DataFrame, sizes: DataFrame, threshold: float) -> Da
              .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
              .select("grp", F.least("chunk", "other").alias("ti"), F.greatest("chunk", "other").alias("tj"),
                      "nid", "n_docs", "chunk", "text"))
-    return tiles.groupBy("grp", "ti", "tj").applyInPandas(
-        _tile(threshold), "nid long, texts long, linked long, hook long")
+    # by number, as tiles of few bytes may take long
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (tiles.repartition(n, "grp", "ti", "tj").sortWithinPartitions("grp", "ti", "tj", "nid")
+            .mapInPandas(_tiles(threshold), "nid long, texts long, linked long, hook long"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
