@@ -37,6 +37,7 @@ rows; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -58,6 +59,8 @@ RECALL = 0.99
 PARAGRAPH, SEED = 0, 1
 #: paragraphs a task keeps in mind to give their bands once
 SEEN_KEPT = 200_000
+#: tables have one file for so many units of the texts, and for each core, at most
+UNITS_A_FILE = 1_000_000
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -240,14 +243,14 @@ def _same_as_before(order: Window, start: str, length: Column) -> Column:
     return F.when(follows, 0).otherwise(1)
 
 
-def repeated_ranges(found: DataFrame) -> DataFrame:
+def repeated_ranges(found: DataFrame, files: int | None = None) -> DataFrame:
     """Ranges of repeated windows, from the blocks (see ``_found``)."""
     rows = found.where(F.col("kind") == SEED)
     # texts of one document may share windows; theirs are blocks of one window
     blocks = rows.where("not several").union(rows.where("several").dropDuplicates(["doc_id", "word_start", "unit"]))
     kinds = materialize(blocks.groupBy("seed", "unit").agg(
         F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"),
-        F.max("n_windows").alias("length"), F.max("x").alias("x")), "passage-blocks")
+        F.max("n_windows").alias("length"), F.max("x").alias("x")), "passage-blocks", files=files)
     kinds = kinds.join(kinds.groupBy("seed").agg(F.count("*").alias("n_kinds")), "seed")
     # the only kind of block of its seed: its windows occur where it occurs
     pure = kinds.where("n_kinds = 1 and first < last").select(
@@ -257,7 +260,7 @@ def repeated_ranges(found: DataFrame) -> DataFrame:
         blocks.select("unit", "doc_id", "windows")
         .join(mixed, (F.col("unit") == F.col("u")) & (F.col("doc_id") == F.col("first")))
         .select("unit", "first", "last", "n", F.posexplode("windows").alias("pos", "x"))
-        .dropDuplicates(["unit", "pos"]), "passage-windows")
+        .dropDuplicates(["unit", "pos"]), "passage-windows", files=files)
     repeats = (windows.groupBy("x").agg(F.min("first").alias("first"), F.max("last").alias("last"),
                                         F.sum("n").alias("n")).where("first < last"))
     inside = Window.partitionBy("unit").orderBy("pos")
@@ -295,11 +298,14 @@ def repeated_passages(docs: DataFrame, threshold: float = SIMILARITY) -> DataFra
     given = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     units = materialize(given.mapInArrow(
         _units(bands), "doc_id long, kind byte, unit long, word_start int, n_words int, bands array<long>"), "passage-units")
+    # each file costs its executor a few processes (chmod): few, if the shuffle has far more partitions than the rows need
+    files = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(units.count() / UNITS_A_FILE))
 
     lines = units.where(F.col("kind") == PARAGRAPH)
     edges = _shared(lines.select("unit", F.explode("bands").alias("band")), "band", "unit")
-    groups = connected_components(edges.select(F.col("unit").alias("a"), F.col("low").alias("b")), "passage-candidates")
-    paragraphs = materialize(lines.select("doc_id", "unit", "word_start", "n_words"), "passage-paragraphs")
+    groups = connected_components(edges.select(F.col("unit").alias("a"), F.col("low").alias("b")), "passage-candidates",
+                                  files=files)
+    paragraphs = materialize(lines.select("doc_id", "unit", "word_start", "n_words"), "passage-paragraphs", files=files)
 
     # the key of a line is its hash, so one of the equal lines stands for all
     wanted = (paragraphs.join(groups, F.col("unit") == F.col("node")).groupBy("unit").agg(F.min("doc_id").alias("doc_id"))
@@ -307,22 +313,23 @@ def repeated_passages(docs: DataFrame, threshold: float = SIMILARITY) -> DataFra
               .union(_shared(units.where(F.col("kind") == SEED).select("unit", "doc_id"), "unit", "doc_id")
                      .select("doc_id", "unit", F.lit(None).cast("long"))))
     asked = materialize(wanted.groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"), F.collect_set("line").alias("lines")),
-                        "passage-asked")
+                        "passage-asked", files=files)
     discard(units)
     several = given.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("several"))
     asked_of = asked.join(several, "doc_id", "left").withColumn("several", F.coalesce("several", F.lit(False)))
     found = materialize(given.join(asked_of, "doc_id").select("doc_id", "text", "seeds", "lines", "several")
-                        .mapInArrow(_found, _FOUND), "passage-found")
+                        .mapInArrow(_found, _FOUND), "passage-found", files=files)
     discard(asked)
 
     texts = materialize(found.where(F.col("kind") == PARAGRAPH).select("unit", "line")
                         .join(groups, F.col("unit") == F.col("node"))
                         .select(F.col("unit").alias("nid"), F.col("root").alias("grp"), F.lit(1).alias("n_docs"),
-                                F.col("line").alias("text")).dropDuplicates(["nid"]), "passage-lines")
+                                F.col("line").alias("text")).dropDuplicates(["nid"]), "passage-lines", files=files)
     checked = materialize(verified_members(texts, texts.select("grp", F.length("text").alias("n_chars")), threshold),
-                          "passage-checked")
+                          "passage-checked", files=files)
     discard(texts)
-    roots = connected_components(checked.select(F.col("nid").alias("a"), F.col("hook").alias("b")), "passage-links")
+    roots = connected_components(checked.select(F.col("nid").alias("a"), F.col("hook").alias("b")), "passage-links",
+                                 files=files)
     discard(checked)
 
     classed = (paragraphs.join(roots, F.col("unit") == F.col("node"), "left")
@@ -331,10 +338,10 @@ def repeated_passages(docs: DataFrame, threshold: float = SIMILARITY) -> DataFra
                .where("first < last").select("unit", "first"))
     columns = ["doc_id", "kind", "word_start", "n_words", "unit", "first"]
     return (classed.join(repeats, "unit").withColumn("kind", F.lit("paragraph")).select(columns)
-            .union(repeated_ranges(found).withColumn("kind", F.lit("window")).select(columns))
+            .union(repeated_ranges(found, files).withColumn("kind", F.lit("window")).select(columns))
             .select("doc_id", "kind", F.col("word_start").cast("long").alias("word_start"),
                     F.col("n_words").cast("long").alias("n_words"), F.col("unit").alias("class_id"),
-                    (F.col("doc_id") > F.col("first")).alias("removed")))
+                    (F.col("doc_id") > F.col("first")).alias("removed")).coalesce(files))
 
 
 _PIECE = re.compile(r"\S+")

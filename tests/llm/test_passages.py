@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import os
 import random
+import time
 from collections import defaultdict
 
 import pandas as pd
@@ -120,3 +121,53 @@ def test_small_and_large_tiles_link_the_same_texts(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "CHUNK_CHARS", 3000)  # few tiles at once
     monkeypatch.setattr(ngram_join, "SMALL_TILE", 0)
     assert links().equals(small)
+
+
+def test_shuffle_files_go_with_the_table_they_made(spark):
+    from closurelens.session import materialize
+
+    def shuffled() -> int:
+        dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return sum(len(glob.glob(os.path.join(d, "*", "shuffle_*"))) for d in dirs)
+
+    def settled(most: int) -> int:  # removed in the background
+        for _ in range(50):
+            if shuffled() <= most:
+                break
+            time.sleep(0.2)
+        return shuffled()
+
+    for setting in (None, "false"):
+        if setting:
+            spark.conf.set(session._CLEANUP, setting)
+        before = shuffled()
+        df = spark.range(10_000).selectExpr("id % 700 AS k", "id").groupBy("k").count()
+        assert len(materialize(df, "counted").collect()) == 700
+        assert settled(before) <= before
+        assert spark.conf.get(session._CLEANUP, None) == setting
+        assert df.count() == 700  # the frame itself can be run again
+    spark.conf.unset(session._CLEANUP)
+
+
+def test_small_tables_are_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "UNITS_A_FILE", 10**9, raising=False)
+    rng = random.Random(81)
+    rows = []
+    for g in range(150):
+        lines = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(3)]
+        rows += [(3 * g + k, "\n".join(lines[k:] + [f"{lines[0]} {k} end"])) for k in range(3)]
+    settings = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        # the texts come in few partitions, the shuffles are dealt over many
+        got = substring_dedup.repeated_passages(spark.createDataFrame(rows, DOCS).coalesce(2))
+        assert got.where("kind = 'paragraph'").count() >= 900
+        most = spark.sparkContext.defaultParallelism
+        assert got.rdd.getNumPartitions() <= most
+        made = {t: len(glob.glob(os.path.join(t, "part-*"))) for t in tables(tmp_path, "passage")}
+        assert len(made) >= 6 and max(made.values()) <= most < 60
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
