@@ -250,20 +250,20 @@ def explained_model(spark, d):
 
 
 _SHAP: dict = {}
-#: the sample comes from a global top-n in one partition; attributions are dealt to this many tasks
-SHAP_TASKS = 64
+#: attributions are dealt to this many tasks at least, and to more so that none explains more rows than this on average
+SHAP_TASKS, SHAP_ROWS = 64, 10_000
 
 
-def shap_long(spark, d, n: int = 5000) -> DataFrame:
-    """Attributions for a fixed-size hash sample of training rows (the
-    reference explains 5,000 training rows), written once to the shared
-    folder: five reports read them."""
+def shap_long(spark, d) -> DataFrame:
+    """Attributions for all training rows (the reference explains 5,000 of them),
+    written once to the shared folder: five reports read them."""
     from ..operators import explain as ex
-    k = _key(spark, d, n)
+    k = _key(spark, d)
     if k not in _SHAP:
         m, path, compiled, mf = explained_model(spark, d)
-        sample = fe.hash_sample(mf.where("split = 'train'"), ROW_KEY, n, SEED)
-        _SHAP[k] = materialize(ex.shap_values(sample.repartition(SHAP_TASKS, *ROW_KEY), compiled, model_features(spark, d), ROW_KEY), "shap")
+        train = mf.where("split = 'train'")
+        tasks = max(SHAP_TASKS, -(-train.count() // SHAP_ROWS))
+        _SHAP[k] = materialize(ex.shap_values(train.repartition(tasks, *ROW_KEY), compiled, model_features(spark, d), ROW_KEY), "shap")
     return _SHAP[k]
 
 

@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from closurelens.operators import explain as ex
+from closurelens.plans import domain
 
 
 def test_treeshap_matches_brute_force_and_margin(spark, tmp_path):
@@ -42,3 +43,22 @@ def test_dependence_with_equal_attributions_in_a_bin(spark):
     got = {r.bin: r for r in ex.dependence(long, ["id"], "t", bins=2).collect()}
     assert got[0].mean_phi == 0.5 and got[0].rows == 20 and got[1].rows == 20
     assert {r.interaction_feature for r in got.values()} == {"u"}
+
+
+def test_every_training_row_is_explained(spark, monkeypatch):
+    """More training rows than the reference's sample of 5,000: the reports count each of them."""
+    n, feats = 6000, ["station_rate", "visitors"]
+    key = {"month": "2000-01", "district": "d", "industry": "i"}
+    mf = spark.range(n + 300).select(
+        *[F.lit(v).alias(k) for k, v in key.items()], F.col("id").cast("string").alias("dong"),
+        (F.col("id") % 100 / 100).alias("station_rate"), (F.col("id") % 7).cast("double").alias("visitors"),
+        F.when(F.col("id") < n, "train").otherwise("test").alias("split"))
+    tree = {0: (0.0, 10.0, 1, 2, 0, 0.5), 1: (-1.0, 5.0, -1, -1, -1, 0.0), 2: (1.0, 5.0, -1, -1, -1, 0.0)}
+    monkeypatch.setattr(domain, "_SHAP", {})
+    monkeypatch.setattr(domain, "explained_model", lambda s, d: (None, "", ex.compile_model([tree], [1.0], 1.0), mf))
+    monkeypatch.setattr(domain, "model_features", lambda s, d: feats)
+    long = domain.shap_long(spark, "rows of this test")
+    assert long.count() == n * len(feats)
+    got = ex.dependence(long, domain.ROW_KEY, "station_rate").collect()
+    assert sum(r.rows for r in got) == n
+    assert {r.feature: r.rows for r in ex.by_value(long).groupBy("feature").agg(F.sum("rows").alias("rows")).collect()} == dict.fromkeys(feats, n)
