@@ -4,6 +4,7 @@ distances at the radius."""
 import math
 import random
 
+from pyspark.sql import functions as F
 
 from closurelens.functions.geo import EARTH_RADIUS_M, cell_size_deg
 from closurelens.operators import geojoin as gj
@@ -208,3 +209,40 @@ def test_best_pairs_are_the_best_of_all_pairs(spark):
     best = [sorted(map(str, gj.best_match(p).select("e_id", "m_id", "distance_m", "similarity_score").collect()))
             for p in (every, some)]
     assert best[0] == best[1] and len(best[0]) > 20
+
+
+def test_pairs_of_rows_are_neither_measured_nor_rounded_one_by_one(spark):
+    """What an equal place or name shares is computed before its rows are multiplied out."""
+    from closurelens.plans import registry
+    for name, within in (("name_similarity", "levenshtein("),):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+        last = plan.index("explode(_r")
+        assert "round(" not in plan[:last] and within not in plan[:last], name
+        assert "round(" in plan[last:] and within in plan[last:], name
+        if name == "name_similarity":  # no join, so no shuffle, of pairs of names
+            assert "join" not in plan[:plan.index(within)], name
+
+
+def test_members_share_what_equal_names_have(spark):
+    """Names in classes of places against brute force, in whole and in dealt classes, with null
+    names and ids, rows that come twice and classes of several units."""
+    E, M = _crowd(spark)
+    e, m = E.collect(), M.collect()
+
+    def sim(a, b):
+        return None if None in (a, b) else round(1 - _lev(a, b) / max(len(a), len(b)), 6)
+
+    exp = sorted(str((a.id, a.name, b.id, b.name, sim(a.name, b.name))) for a in e for b in m
+                 if None not in (a.lat, b.lat) and _hav((a.lat, a.lon), (b.lat, b.lon)) <= 100.0)
+    at = ["lat", "lon"]
+    near = gj._near_places(E.select(*at).distinct(), M.select(*at).distinct(), 100.0, "e_", "m_")
+    add = {"s": F.round(gj.name_similarity("e_name", "m_name"), 6)}
+    for rows in (1000, 4):
+        got = gj.members(near, E, M, at, "e_", "m_", rows, by=["name"], columns=["id"], add=add)
+        assert got.columns == ["e_name", "e_id", "m_name", "m_id", "distance_m", "s"]
+        assert sorted(str((r.e_id, r.e_name, r.m_id, r.m_name, r.s)) for r in got.collect()) == exp
+    assert max(sum(1 for a in e if a.lat == b.lat) for b in e) > gj.UNIT_ROWS
+    got = gj.within_distance(E, M, 100.0, digits=1, columns=["id"])
+    assert got.columns == ["l_id", "r_id", "distance_m"]
+    rows = got.collect()
+    assert len(rows) == len(exp) and all(r.distance_m == round(r.distance_m, 1) for r in rows) and any(r.l_id is None for r in rows)
