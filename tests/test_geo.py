@@ -214,7 +214,7 @@ def test_best_pairs_are_the_best_of_all_pairs(spark):
 def test_pairs_of_rows_are_neither_measured_nor_rounded_one_by_one(spark):
     """What an equal place or name shares is computed before its rows are multiplied out."""
     from closurelens.plans import registry
-    for name, within in (("name_similarity", "levenshtein("),):
+    for name, within in (("haversine", "asin("), ("name_similarity", "levenshtein(")):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
         last = plan.index("explode(_r")
         assert "round(" not in plan[:last] and within not in plan[:last], name
